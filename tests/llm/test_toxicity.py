@@ -1,0 +1,69 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from ticksmith.llm import queries, toxicity
+
+from .common import no_documents, odd_documents
+
+
+@pytest.fixture(scope="module")
+def scored(spark, small):
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, small).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    return got, labels
+
+
+def test_held_out_documents_are_told_apart(scored):
+    got, labels = scored
+    held = [(got[d].score, y) for d, y in labels.items() if got[d].held_out]
+    y = np.array([b for _, b in held])
+    s = np.array([a for a, _ in held])
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+    assert auc > 0.9 and ((s >= 0.5) == y).mean() > 0.9
+
+
+def test_folds_and_decisions(scored, spark, small):
+    got, _ = scored
+    assert len(got) == spark.read.parquet(f"{small}/documents.parquet").count()
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+
+
+def test_held_out_labels_never_count(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    from pyspark.sql import functions as F
+
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
+
+
+def test_noisy_or_and_offending_sentences():
+    model = toxicity.Model(-4.0, {f: 5.0 for f in toxicity.word_features("vile")[:1]})
+    score = model.scorer()
+    text = "A calm start. You are vile! Then calm again."
+    p, worst = score(text)
+    each = [score(s)[0] for s in ("A calm start.", " You are vile!", " Then calm again.")]
+    assert p == pytest.approx(1 - np.prod([1 - q for q in each]))
+    assert [text[a:b] for a, b, _ in worst] == [" You are vile!"]
+    assert score(None) == score("") and 0 < score("")[0] < 0.5
+
+
+def test_spans_hold_with_letters_that_grow_in_lower_case():
+    model = toxicity.Model(-4.0, {f: 9.0 for f in toxicity.word_features("vile")[:1]})
+    text = "İİİ calm. Vile one."
+    assert [text[a:b] for a, b, _ in model.scorer()(text)[1]] == [" Vile one."]
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(0, None), (None, 1), (4, 1), (5, 0), (5, 1), (9, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score_documents(docs, model).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.keep_clean(docs, toxicity.Model()).count() == docs.count()
+    assert toxicity.keep_clean(docs, toxicity.Model()).schema == docs.schema
+    assert toxicity.score_documents(no_documents(spark), model).collect() == []
+    assert toxicity.train(no_documents(spark), labels) == toxicity.Model()
+    assert toxicity.train(docs, labels.where("false")) == toxicity.Model()

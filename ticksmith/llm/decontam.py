@@ -3,7 +3,8 @@
 Test items come in blocks of at most ``BLOCK_ITEMS``, whose n-grams and words go to all tasks; each block meets all
 documents, so a benchmark of any size is handled and what is broadcast stays bounded. For a block, a first pass counts
 in how many documents each of its word trigrams stands. Of every ``SPREAD`` neighbouring trigrams of an item the rarest
-becomes a seed, so each part of an item has one however frequent the item is. A second pass looks up the seeds in each
+becomes a seed, so each part of an item has one however frequent the item is: an edited copy is tried if any
+``SPREAD + 2`` words in a row are left as they were. A second pass looks up the seeds in each
 document; a document's window around an item's seeds is aligned with the item (match +2, mismatch -1, gap -1, over
 words). The pair counts if the best local alignment reaches ``threshold`` of the score of an exact copy.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 20_000
-GRAM, SPREAD, MIN_WORDS = 3, 4, 8
+GRAM, SPREAD, MIN_WORDS = 3, 2, 8
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 
 words_of = re.compile(r"\w+").findall
@@ -99,7 +100,7 @@ class Items:
                 # An alignment of the threshold leaves at most this share of words unmatched, so several seeds survive
                 # unless the item is short or heavily edited; one seed is enough to try.
                 a, b = max(0, lo - len(item) // 2), min(len(ids), hi + len(item) + len(item) // 2)
-                if np.isin(item, ids[a:b]).mean() < threshold / 2:
+                if np.isin(item, ids[a:b]).mean() < threshold / 2 or _score(item, ids[a:b]) < threshold * MATCH * len(item):
                     continue
                 best = max(best, _align(item, ids[a:b], a))
             share = best[0] / (MATCH * len(item))
@@ -117,6 +118,21 @@ def _runs(diagonals: list[int], width: int) -> Iterator[tuple[int, int, int]]:
             start = k
 
 
+def _score(item: np.ndarray, window: np.ndarray) -> int:
+    """The best score of ``_align`` alone, which most candidates don't reach the threshold with."""
+    place = np.arange(len(window) + 1) * -GAP
+    row, best = np.zeros(len(window) + 1, np.int64), 0
+    for word in item:
+        now = row + GAP
+        np.maximum(now[1:], row[:-1] + np.where(window == word, MATCH, MISMATCH), out=now[1:])
+        np.maximum(now, 0, out=now)
+        now += place
+        np.maximum.accumulate(now, out=now)
+        row = now - place
+        best = max(best, int(row.max()))
+    return best
+
+
 def _align(item: np.ndarray, window: np.ndarray, offset: int) -> tuple[float, int, int]:
     """Smith-Waterman with a linear gap cost: the best score, and where the passage begins and ends in the document.
 

@@ -48,10 +48,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "block", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False):
         self.name, self.parent, self.drop = name, parent, drop
+        self.block = self if parent is None or name in BLOCK else parent.block  # the nearest block around the place
         self.parts: list[Node | str] = []  # children and texts in page order
 
 
@@ -83,6 +84,7 @@ def parse(page: str) -> Node:
     root = node = Node("html", None)
     at, size = 0, len(page)
     depth_article = 0
+    begun = set()  # names of elements so far; an end tag of no other name can close anything
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -98,7 +100,7 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            up = node
+            up = node if name in begun else root
             while up is not root and up.name != name:
                 if up.name in SCOPE and name not in SCOPE:
                     up = root
@@ -137,15 +139,14 @@ def parse(page: str) -> Node:
                 at = end.end() if end else size
                 continue
             node = new
+            begun.add(name)
             depth_article += name in ("article", "main")
     return root
 
 
 def _end_paragraph(node: Node, root: Node) -> Node:
     """A block ends an open paragraph or heading around it, with the inline elements left open in it."""
-    up = node
-    while up is not root and up.name not in BLOCK:
-        up = up.parent
+    up = node.block
     return up.parent if up is not root and up.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else node
 
 
@@ -209,14 +210,13 @@ def article(root: Node) -> Node:
         if node.density >= threshold and node.chars:
             content.append(top[id(node)] if node.total or _children(node) else node)
             stack.extend(_children(node))
-    common = path[::-1]
-    for node in content:
-        up, line = node, set()
-        while up is not None:
-            line.add(id(up))
-            up = up.parent
-        common = [n for n in common if id(n) in line]
-    return _with_flow(common[-1] if common else best, threshold)
+    # the lowest node on the path that is above all content: places of a subtree are one range of page order
+    place = {id(n): k for k, n in enumerate(nodes)}
+    end = dict.fromkeys(place, 0)
+    for node in reversed(nodes):
+        end[id(node)] = max([place[id(node)] + 1, *(end[id(x)] for x in _children(node)[-1:])])
+    first, last = (f((place[id(n)] for n in content), default=place[id(best)]) for f in (min, max))
+    return _with_flow(next((n for n in path if place[id(n)] <= first and last < end[id(n)]), best), threshold)
 
 
 #: Elements that carry an article's text wherever they stand; others must reach the threshold.

@@ -10,7 +10,7 @@ are scored where they are read, without a shuffle. The model is a table of at mo
 
 Defined results: null text is empty and has one sentence without words; its score is the bias alone. Labels of null
 doc_id or null toxic are left out; where a doc_id has several labels, any 1 counts. Rows of the sample's texts with
-equal doc_id all count. Without usable labels of both kinds the model is its starting bias: no row is predicted toxic.
+equal doc_id all count. Without usable labels of both kinds the model has no weights and so low a bias that no row is predicted toxic.
 An empty table gives no rows. A row with null doc_id is scored and counts as held out. Other columns are ignored by
 ``score_documents`` and kept by ``keep_clean``.
 """
@@ -35,6 +35,8 @@ MAX_ROWS = 8000
 FEATURES, MIN_SHARE, MIN_DOCS = 1 << 18, 1 / 400, 3
 STEMS = (4, 5)
 EPOCHS, RATE, RIDGE, START = 120, 0.1, 5e-5, -6.0
+#: The bias without usable labels: so low that no number of sentences adds up to a toxic document.
+UNTAUGHT = -60.0
 
 _END = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,7 +60,7 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Model:
-    bias: float = START
+    bias: float = UNTAUGHT
     weights: dict[int, float] = field(default_factory=dict)
 
     def scorer(self):
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     found = rows.coalesce(1).mapInPandas(one, "feature long, weight double").collect()
     table = {r["feature"]: r["weight"] for r in found}
-    return Model(table.pop(-1, START), table)
+    return Model(table.pop(-1, UNTAUGHT), table)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
