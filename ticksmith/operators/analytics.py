@@ -89,3 +89,13 @@ def update_metrics(curve: DataFrame, by: list[str], initial_equity: Column | flo
     out = curve.groupBy(*by).agg(F.max_by("equity", order).alias("equity"), F.max("equity").alias("peak"), F.min("equity").alias("worst"), F.min_by("equity", order).alias("first"))
     base = F.col("first") if initial_equity is None else F.lit(initial_equity)
     return out.select(*by, (F.col("equity") - base).alias("current_pnl"), F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0).alias("current_drawdown"), (F.col("equity") - F.col("worst")).alias("above_worst"))
+
+
+def mark_to_market(snapshots: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Snapshots (symbol, cash, position_size, avg_entry_price) marked at each symbol's newest quote.
+
+    The quotes are one row a symbol after an aggregation that combines on the map side; Spark picks the join by size.
+    """
+    newest = ticks.groupBy("symbol").agg(F.max_by(F.coalesce("last", "bid"), F.struct("ts", "id")).alias("mark"))
+    paper = F.col("position_size") * (F.col("mark") - F.coalesce("avg_entry_price", "mark"))
+    return snapshots.join(newest, "symbol", "left").withColumns({"equity": F.col("cash") + F.col("position_size") * F.coalesce("mark", F.lit(0.0)), "unrealized_pnl": paper})

@@ -18,7 +18,7 @@ from ticksmith.functions.costs import CostModel
 from ticksmith.operators.risk import Gate, RiskConfig
 from ticksmith.schemas import FOLD
 
-_NAMES = FOLD.fieldNames()
+_NAMES = [c.split()[0] for c in FOLD.split(", ")]
 
 
 class _Rows:
@@ -35,9 +35,9 @@ class _Rows:
         self.rows.append(self.head | {"kind": kind, "seq": seq} | values)
 
     def frame(self) -> pd.DataFrame:
-        out = pd.DataFrame(self.rows, columns=_NAMES)
-        for name, kind in (("allowed", "boolean"), ("seq", "int64")):
-            out[name] = out[name].astype(kind)
+        # plain objects: Arrow takes each column's kind from the declared schema
+        out = pd.DataFrame(self.rows, columns=_NAMES, dtype=object)
+        out["ts"] = pd.to_datetime(out["ts"])
         return out
 
 

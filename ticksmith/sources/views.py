@@ -14,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pair_of(key: str):
+    return F.element_at(F.array(*map(F.lit, PAIRS)), (F.col(key) % len(PAIRS) + 1).cast("int"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as quote ticks: the event type is the venue, four pairs by user."""
-    pair = F.element_at(F.array(*map(F.lit, PAIRS)), (F.col("user_id") % 4 + 1).cast("int"))
+    pair = pair_of("user_id")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("exchange"),
@@ -37,7 +41,7 @@ def price_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as order books of eight levels a side, one a minute."""
+    """Embeddings as order books of eight levels a side, one a minute, dealt over the pairs."""
 
     def side(first: int, sign: int):
         return F.transform(F.slice("embedding", first, DEPTH), lambda x, i: F.struct(F.round(100 + sign * 0.05 * (i + 1), 4).alias("price"), F.round(F.abs(x.cast("double")) * 10, 4).alias("size")))
@@ -46,7 +50,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     # mids move by label, so that signals change
     shift = F.col("label") % 5 * 0.01
     moved = lambda c: F.transform(c, lambda x: F.struct(F.round(x["price"] + shift, 4).alias("price"), x["size"].alias("size")))
-    return e.select(F.col("vec_id").alias("id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("vec_id") * 60).alias("ts"), moved(side(1, -1)).alias("bids"), moved(side(DEPTH + 1, 1)).alias("asks"))
+    return e.select(F.col("vec_id").alias("id"), pair_of("vec_id").alias("symbol"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("vec_id") * 60).alias("ts"), moved(side(1, -1)).alias("bids"), moved(side(DEPTH + 1, 1)).alias("asks"))
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
