@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from ticksmith.llm.storage import written
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 4, 4
+#: Blocks that must agree, at every size: of 6 blocks 2, so 15 rotations and subtrees by 21 bits or more. Ten thousand
+#: million distinct fingerprints leave about five thousand in a subtree.
+EXACT = 2
 #: Node pairs that are walked at once; more wait on a stack.
 FRONTIER = 1 << 20
 #: Node pairs with so few leaf pairs are compared leaf by leaf.
@@ -103,15 +106,6 @@ def rotate(fp: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def exact_blocks(n: int) -> int:
-    """Blocks that must agree, by the number of distinct fingerprints: subtrees hold few fingerprints at any size.
-
-    With budget 4: 1 of 5 blocks (12 bits, 5 rotations) up to 2^17 fingerprints, 2 of 6 (21 bits, 15 rotations) up to
-    2^26, 3 of 7 (27 bits, 35 rotations) beyond.
-    """
-    return 1 if n <= 1 << 17 else 2 if n <= 1 << 26 else 3
-
-
 class Forest:
     """Trees over places 0..n-1; each is labelled by its smallest place."""
 
@@ -249,7 +243,7 @@ def _join(budget: int, exact: int):
     return run
 
 
-def trie_self_join(fps: DataFrame, budget: int = BUDGET, exact: int = 1) -> DataFrame:
+def trie_self_join(fps: DataFrame, budget: int = BUDGET, exact: int = EXACT) -> DataFrame:
     """(a, b): edges whose connected components are those of all pairs within ``budget`` bits. ``fps``: distinct fp."""
     turns = rotations(budget, exact)
 
@@ -286,7 +280,7 @@ def components(edges: DataFrame, label: str = "near-labels") -> DataFrame:
         roots = now.select("node", "root")
 
 
-def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, exact: int = EXACT) -> DataFrame:
     """(uid, doc_id, fp, component_id, first_uid) of every row; first_uid marks the row that stands for its group.
 
     ``uid_col``: a stored unique long column, for callers that join the result back.
@@ -294,7 +288,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", t
     prints = written(fingerprints(docs, id_col, text_col, uid_col), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     classes = written(prints.groupBy("fp").agg(F.min(order).alias("low")), "simhash-classes")
-    edges = trie_self_join(classes, budget, exact_blocks(classes.count()))
+    edges = trie_self_join(classes, budget, exact)
     roots = components(edges)
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = named.groupBy("root").agg(F.min("low").alias("low"))
