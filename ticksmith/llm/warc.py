@@ -41,11 +41,11 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages with digest, record_type and refers_to, by a shuffle of digests only.
+    """Pages with digest, record_type and refers_to.
 
-    The grouping combines on the map side. Only digests that occur twice are joined back; a page's own digest is the
-    join key, and one that a third of all pages share is a skewed key of the streamed side, which adaptive execution
-    splits.
+    The grouping shuffles headers only and combines on the map side. Digests that occur twice are joined back to the
+    pages: where Spark can't broadcast them by size, pages move once with their payloads. A digest that a third of all
+    pages share is then a skewed key of the streamed side, which adaptive execution splits.
     """
     uid = F.monotonically_increasing_id()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload")).withColumns({"uid": uid, "digest": base32_sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
