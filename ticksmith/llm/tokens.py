@@ -46,6 +46,11 @@ class SegmentEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 0xFFFF else "<u4")
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.mode = _mode(spec)
+        #: Tokens that begin with the space byte: in a group of segments, exactly the first token of each.
+        self.opens = None
+        if self.mode == "spaces":
+            self.opens = np.zeros(self.tok.get_vocab_size(), bool)
+            self.opens[[i for token, i in self.tok.get_vocab().items() if token.startswith("Ġ")]] = True
         self.room = cache_segments
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -126,14 +131,21 @@ class SegmentEncoder:
         for s, e in zip(odd, self.tok.encode_batch_fast([lead + s for s in odd], add_special_tokens=False), strict=True):
             out[s] = self._bytes(e.ids)
         width = self.dtype.itemsize
-        for k in range(0, len(plain), GROUP):
-            group = plain[k : k + GROUP]
-            e = self.tok.encode(lead + " ".join(group), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(s) + 1 for s in group[:-1]])
-            owner = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-            ends = np.cumsum(np.bincount(owner, minlength=len(group))) * width
-            joined, a = self._bytes(e.ids), 0
-            for s, b in zip(group, ends.tolist(), strict=True):
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        if self.opens is None:
+            found = ((group, self.tok.encode(lead + " ".join(group), add_special_tokens=False)) for group in groups)
+        else:
+            found = zip(groups, self.tok.encode_batch_fast([lead + " ".join(group) for group in groups], add_special_tokens=False), strict=True)
+        for group, e in found:
+            ids = np.asarray(e.ids, self.dtype)
+            if self.opens is None:
+                starts = np.cumsum([0] + [len(s) + 1 for s in group[:-1]])
+                owner = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+                ends = np.cumsum(np.bincount(owner, minlength=len(group)))
+            else:
+                ends = np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+            joined, a = ids.tobytes(), 0
+            for s, b in zip(group, (ends * width).tolist(), strict=True):
                 out[s] = joined[a:b]
                 a = b
         return out
