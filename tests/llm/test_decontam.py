@@ -95,6 +95,37 @@ def test_planted_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9] and kept.schema == frame.schema
 
 
+def test_heavily_edited_copies_equal_all_pairs(spark):
+    """Every fourth or third word changed, or a word put after each: down to no three words in a row left intact."""
+    item = " ".join(f"w{k * k % 97}x{k}" for k in range(60))
+    kinds = [(4, "swap"), (4, "drop"), (3, "swap"), (3, "drop"), (1, "add"), (2, "swap"), (2, "drop")]
+    docs = [(k, prose(30 + k, 300) + " " + edited(item, *kind) + " " + prose(50 + k, 300)) for k, kind in enumerate(kinds)]
+    want = brute(docs, [(7, item)])
+    assert {d for d, _ in want} >= {0, 1, 2, 3, 4}
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == want
+
+
+def test_seeds_lose_no_pair():
+    """Random edits of items of common words, at several thresholds and seed counts."""
+    rng = np.random.default_rng(5)
+    for threshold in (0.1, 0.3, 0.5, 0.8):
+        tests = [(k, " ".join(f"v{x}" for x in rng.integers(0, 40, rng.integers(8, 40)))) for k in range(12)]
+        docs = []
+        for d in range(60):
+            out = [f"v{x}" for x in rng.integers(0, 60, 30)]
+            for w in tests[d % 12][1].split():
+                kind = rng.random() / (0.3 + d % 5)
+                out += [w] if kind > 0.2 else [[], ["zz"], [w, "qq"]][rng.integers(3)]
+            docs.append((d, " ".join(out + [f"v{x}" for x in rng.integers(0, 60, 30)])))
+        items = D.Items(tests)
+        often = np.zeros(len(items.keys), np.int64)
+        for _, t in docs:
+            np.add.at(often, D.pair_hits(items.keys, items.numbers(t))[1], 1)
+        items.choose_seeds(often, threshold)
+        assert {(d, m[0]): m[1] for d, t in docs for m in items.matches(t)} == brute(docs, tests, threshold) != {}
+
+
 def test_small_blocks_give_the_same(spark, tiny, monkeypatch):
     whole = sorted(map(tuple, queries.op10_decontamination(spark, tiny).collect()))
     monkeypatch.setattr(D, "BLOCK_ITEMS", 7)

@@ -1,14 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment decides.
+"""Benchmark decontamination: word pairs find candidates, Smith-Waterman alignment decides.
 
-Test items come in blocks of at most ``BLOCK_ITEMS``, whose n-grams and words go to all tasks; each block meets all
-documents, so a benchmark of any size is handled and what is broadcast stays bounded. For a block, a first pass counts
-in how many documents each of its word trigrams stands. Of every ``SPREAD`` neighbouring trigrams of an item the rarest
-becomes a seed, so each part of an item has one however frequent the item is: an edited copy is tried if any
-``SPREAD + 2`` words in a row are left as they were. A second pass looks up the seeds in each
-document; a document's window around an item's seeds is aligned with the item (match +2, mismatch -1, gap -1, over
-words). The pair counts if the best local alignment reaches ``threshold`` of the score of an exact copy.
+Test items come in blocks of at most ``BLOCK_ITEMS``, whose word pairs and words go to all tasks; each block meets all
+documents, so a benchmark of any size is handled and what is broadcast stays bounded. A document's window around an
+item's seeds is aligned with the item (match +2, mismatch -1, gap -1, over words). The pair counts if the best local
+alignment reaches ``threshold`` of the score of an exact copy.
 
-Both passes read each document once, where it lies; only counts by trigram are shuffled. A passage in a third of all
+Seeds lose no such pair. An item of L words reaches ``t`` of its score with m matched words and at most 2m - 2tL words
+that are missing, new or other. So at least tL - 1 of its words are matched together with the next matched one over
+no word or one, on either side: a word pair at distance 1 or 2 in the item stands at distance 1 or 2 in the document.
+Seeds are an item's pairs by the place of their first word, so any tL - 1 - ``NEED`` places can be left out, and
+``NEED`` hits are still sure; those left out are the most frequent, from a first pass that counts each pair in all
+documents. A second pass looks up the seeds in each document and aligns where enough places are hit.
+
+Both passes read each document once, where it lies; only counts by pair are shuffled. A passage in a third of all
 documents costs each of them its own alignment and gathers nowhere.
 
 Defined results: words are lower-cased ``\\w+``; null text is empty and matches nothing. Items with null text or under
@@ -19,6 +23,7 @@ each give their rows. A null doc_id stays null. Empty tables give no rows. Other
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,94 +33,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 20_000
-GRAM, SPREAD, MIN_WORDS = 3, 2, 8
+STEPS, NEED, MIN_WORDS = (1, 2), 4, 8
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 
 words_of = re.compile(r"\w+").findall
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """A key for each place's trigram; -1 where a word is unknown. ``ids`` are below 2^21."""
-    if len(ids) < GRAM:
-        return np.zeros(0, np.int64)
-    a, b, c = ids[:-2], ids[1:-1], ids[2:]
-    return np.where((a >= 0) & (b >= 0) & (c >= 0), (a << 42) | (b << 21) | c, -1)
+def pairs(ids: np.ndarray, step: int) -> np.ndarray:
+    """A key for each place's word and the one ``step`` places on; -1 where one is unknown."""
+    a, b = ids[:-step], ids[step:]
+    return np.where((a >= 0) & (b >= 0), (a << 32) | b, -1)
+
+
+def pair_hits(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a document, and numbers, of the pairs in ``keys``; a pair stands at distance 1 or 2."""
+    places, numbers = [], []
+    for step in STEPS:
+        g = pairs(ids, step)
+        at = np.flatnonzero(g >= 0)
+        if len(at) and len(keys):
+            k = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
+            same = keys[k] == g[at]
+            places.append(at[same])
+            numbers.append(k[same])
+    return (np.concatenate(places), np.concatenate(numbers)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class Items:
-    """A block of test items: their words by number, and places of trigrams."""
+    """A block of test items: their words by number, and places of word pairs."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
         self.ids, self.words = [], []
         for item_id, text in items:
-            found = words_of((text or "").lower())
-            if len(found) >= MIN_WORDS:
+            own = words_of((text or "").lower())
+            if len(own) >= MIN_WORDS:
                 self.ids.append(item_id)
-                self.words.append(np.array([self.number.setdefault(w, len(self.number)) for w in found], np.int64))
-        of = [grams(w) for w in self.words]
-        self.keys = np.unique(np.concatenate(of)) if of else np.zeros(0, np.int64)
-        self.of = [np.searchsorted(self.keys, g) for g in of]  # trigrams' numbers by place
-        self.seeds: dict[int, list[tuple[int, int]]] = {}  # trigram's number -> items and places
+                self.words.append(np.array([self.number.setdefault(w, len(self.number)) for w in own], np.int64))
+        self.keys = np.unique(np.concatenate([pairs(w, step) for w in self.words for step in STEPS])) if self.words else np.zeros(0, np.int64)
 
     def numbers(self, text: str) -> np.ndarray:
-        found = words_of(text.lower())
-        return np.fromiter(map(self.number.get, found, [-1] * len(found)), np.int64, len(found))
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document, and numbers, of the items' trigrams."""
-        g = grams(ids)
-        at = np.flatnonzero(g >= 0)
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
-        found = self.keys[k] == g[at]
-        return at[found], k[found]
-
-    def choose_seeds(self, spread: np.ndarray) -> None:
-        """The rarest trigram of each run of SPREAD neighbours; equal ones by place."""
-        self.seeds = {}
-        for i, g in enumerate(self.of):
-            rarity = spread[g]
-            places = {k + int(rarity[k : k + SPREAD].argmin()) for k in range(max(1, len(g) - SPREAD + 1))}
-            for p in sorted(places):
-                self.seeds.setdefault(int(g[p]), []).append((i, p))
-        self.is_seed = np.zeros(len(self.keys), bool)
-        self.is_seed[list(self.seeds)] = True
-
-    def matches(self, text: str, threshold: float) -> list[tuple[int, float, int, int]]:
+        own = words_of(text.lower())
+        return np.fromiter(map(self.number.get, own, [-1] * len(own)), np.int64, len(own))
+
+    def choose_seeds(self, often: np.ndarray, threshold: float) -> None:
+        """The rarest places of each item, so many that ``need`` of them are hit in any passage of the threshold."""
+        self.threshold = threshold
+        self.need = np.zeros(len(self.words), np.int64)
+        seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pairs' numbers, items, places
+        for i, w in enumerate(self.words):
+            of = [np.searchsorted(self.keys, pairs(w, step)) for step in STEPS]
+            total = often[of[0]]
+            total[: len(of[1])] += often[of[1]]
+            sure = math.ceil(threshold * len(w) - 1e-9) - 1
+            self.need[i] = max(0, min(sure, NEED))
+            use = np.sort(np.argsort(total, kind="stable")[: len(total) - max(0, sure - NEED)])
+            for k in of:
+                p = use[use < len(k)]
+                seeds.append((k[p], np.full(len(p), i), p))
+        k, self.seed_item, self.seed_place = (np.concatenate(x) for x in zip(*seeds, strict=True)) if seeds else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(k, kind="stable")
+        used, first = np.unique(k[order], return_index=True)
+        self.seed_item, self.seed_place = self.seed_item[order], self.seed_place[order]
+        self.seed_keys, self.seed_at = self.keys[used], np.append(first, len(k))
+        self.whole = np.flatnonzero(self.need == 0)  # so low a threshold that no pair is sure: align with all documents
+
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Items and windows (begin, end) that hold all passages of the threshold."""
+        for i in self.whole.tolist():
+            yield i, 0, len(ids)
+        place, k = pair_hits(self.seed_keys, ids)
+        first, size = self.seed_at[k], self.seed_at[k + 1] - self.seed_at[k]
+        seed = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        item = self.seed_item[seed]
+        many = np.bincount(item, minlength=len(self.words)) >= np.maximum(self.need, 1)
+        use = np.flatnonzero(many[item] & (self.need[item] > 0))
+        if not len(use):
+            return
+        item, p = item[use], self.seed_place[seed[use]]
+        diagonal = np.repeat(place, size)[use] - p
+        order = np.lexsort((diagonal, item))
+        item, p, diagonal = item[order], p[order], diagonal[order]
+        edges = np.flatnonzero(np.diff(item)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(item)], strict=True):
+            i = int(item[lo])
+            width = len(self.words[i])
+            slack = math.floor(2 * width * (1 - self.threshold) + 1e-9)  # how far a passage of the threshold can drift
+            for a, b in _runs(diagonal[lo:hi], slack):
+                if len(np.unique(p[lo + a : lo + b])) >= self.need[i]:
+                    yield i, max(0, int(diagonal[lo + a]) - slack), min(len(ids), int(diagonal[lo + b - 1]) + width + slack)
+
+    def matches(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, share of an exact copy's score, first word, end word) of the best passage of each item."""
         ids = self.numbers(text)
-        at, k = self.hits(ids)
-        use = self.is_seed[k] if len(k) else np.zeros(0, bool)
-        by_item: dict[int, list[int]] = {}
-        for place, gram in zip(at[use].tolist(), k[use].tolist(), strict=True):
-            for i, p in self.seeds[gram]:
-                by_item.setdefault(i, []).append(place - p)
-        out = []
-        for i, diagonals in by_item.items():
-            item = self.words[i]
-            best = (0.0, 0, 0)
-            for lo, hi, seeds in _runs(sorted(set(diagonals)), len(item)):
-                # An alignment of the threshold leaves at most this share of words unmatched, so several seeds survive
-                # unless the item is short or heavily edited; one seed is enough to try.
-                a, b = max(0, lo - len(item) // 2), min(len(ids), hi + len(item) + len(item) // 2)
-                if np.isin(item, ids[a:b]).mean() < threshold / 2 or _score(item, ids[a:b]) < threshold * MATCH * len(item):
-                    continue
-                best = max(best, _align(item, ids[a:b], a))
-            share = best[0] / (MATCH * len(item))
-            if share >= threshold:
-                out.append((self.ids[i], share, best[1], best[2]))
-        return out
-
-
-def _runs(diagonals: list[int], width: int) -> Iterator[tuple[int, int, int]]:
-    """Neighbouring diagonals in one window: (lowest, highest, how many)."""
-    start = 0
-    for k in range(1, len(diagonals) + 1):
-        if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > width:
-            yield diagonals[start], diagonals[k - 1], k - start
-            start = k
+        best: dict[int, tuple[float, int, int]] = {}
+        for i, a, b in self.candidates(ids):
+            item, window = self.words[i], ids[a:b]
+            enough = self.threshold * len(item) - 1e-9
+            # a passage of the threshold has at least this many matches
+            if np.isin(item, window).sum() >= enough and _score(item, window) >= MATCH * enough:
+                best[i] = max(best.get(i, (0.0, 0, 0)), _align(item, window, a))
+        shares = ((i, score / (MATCH * len(self.words[i])), first, end) for i, (score, first, end) in best.items())
+        return [(self.ids[i], share, first, end) for i, share, first, end in shares if share >= self.threshold]
+
+
+def _runs(diagonals: np.ndarray, slack: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring diagonals in one window: where each run begins and ends."""
+    edges = (np.flatnonzero(np.diff(diagonals) > slack) + 1).tolist()
+    yield from zip([0, *edges], [*edges, len(diagonals)], strict=True)
 
 
 def _score(item: np.ndarray, window: np.ndarray) -> int:
@@ -178,8 +203,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(block)
 
 
-def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each of the block's trigrams stands; all documents are counted."""
+def pair_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often each of the block's word pairs stands in the documents; all documents are counted."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,19 +212,19 @@ def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
         count = np.zeros(len(items.keys), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                count[np.unique(items.hits(items.numbers(text or ""))[1])] += 1
+                np.add.at(count, pair_hits(items.keys, items.numbers(text or ""))[1], 1)
         k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[k])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[k])], names=["pair", "n"])
 
     total = np.zeros(len(items.keys), np.int64)
-    for row in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[row["gram"]] = row["n"]
+    for row in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[row["pair"]] = row["n"]
     return total
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+def _seeded(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
     for items in blocks(benchmark):
-        items.choose_seeds(document_counts(docs, items))
+        items.choose_seeds(pair_counts(docs, items), threshold)
         yield docs.sparkSession.sparkContext.broadcast(items)
 
 
@@ -212,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     def finder(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.matches(t or "", threshold)]
+                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.matches(t or "")]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_LEAK)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEAK, strict=True)], schema=_LEAK)
 
@@ -220,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     ddl = "doc_id long, item_id long, score double, first_word long, end_word long"
     found = docs.sparkSession.createDataFrame([], ddl)
-    for shared in _seeded(docs, benchmark):
+    for shared in _seeded(docs, benchmark, threshold):
         found = found.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(finder(shared), ddl))
     return found
 
@@ -232,11 +257,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     def keeper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(t or "", threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return run
 
     kept = docs
-    for shared in _seeded(docs, benchmark):
+    for shared in _seeded(docs, benchmark, threshold):
         kept = kept.mapInArrow(keeper(shared), docs.schema)
     return kept
