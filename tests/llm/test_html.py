@@ -35,6 +35,20 @@ def test_main_text(k):
     assert D.main_text(raw) == text
 
 
+VALUES = ['href="/wiki/Hidden_figures"', 'title="The hidden cost"', "data-state='hidden'", 'href="/a?id=comments"', "data-x=hidden", 'alt="a class=ad b"', "href=/a?role=menu", 'title="it\'s hidden"', 'data-hidden="1"', "x-class=nav", 'title = "style=display:none"']
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_words_in_other_attributes_cut_nothing(value):
+    """The whole text stays, of links within sentences and of paragraphs."""
+    assert D.main_text(page(f"<article><p>{LONG}</p><p {value}>See <a {value}>this one</a> too.</p></article>")) == f"{LONG.strip()}\n\nSee this one too."
+
+
+@pytest.mark.parametrize("value", ["hidden", "HIDDEN", 'hidden=""', "hidden=until-found", 'title="x"hidden', "aria-hidden = 'true'", "style='color:red; display : none'", "class=ad", 'href="?id=x" id="comments"', "role=navigation", "data-a='>' hidden", "a/hidden"])
+def test_attributes_of_that_name_cut(value):
+    assert D.main_text(page(f"<article><p>{LONG}</p><div {value}>gone</div><p>End.</p></article>")) == f"{LONG.strip()}\n\nEnd."
+
+
 def test_density_of_each_node_by_definition():
     """C/T by the logarithm of C*T/(LC*LT), against a direct count over the tree."""
     import math

@@ -42,7 +42,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 SCOPE = {"table", "td", "th", "article", "main", "body", "html", "div", "section", "nav", "aside", "footer", "header", "form", "ul", "ol", "dl"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/=\"'>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?", re.S)
+_USED = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -57,7 +58,12 @@ class Node:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw else {}
+    """Those in use, read one after another, so that no value is taken for a name; the first of a name counts."""
+    given: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        if (name := m[1].lower()) in _USED:
+            given.setdefault(name, m[2] or m[3] or m[4] or "")
+    return given
 
 
 def _dropped(name: str, raw: str, inside: bool) -> bool:
