@@ -56,6 +56,18 @@ def test_spans_hold_with_letters_that_grow_in_lower_case():
     assert [text[a:b] for a, b, _ in model.scorer()(text)[1]] == [" Vile one."]
 
 
+@pytest.mark.parametrize("kind", ["same", "distinct"])
+def test_a_doc_id_of_many_rows_leaves_the_others_in(spark, kind):
+    """Its copies, or its many texts, don't fill the sample."""
+    ids = [d for d in range(1, 100) if zlib.crc32(str(d).encode()) % 5][:40]
+    rows = [(d, f"You are vile, number {d}." if d % 2 else f"A calm day, number {d}.") for d in ids]
+    rows += [(ids[0], rows[0][1] + ("" if kind == "same" else f" Row {k}.")) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"), max_rows=40)
+    score = model.scorer()
+    assert score("You are vile.")[0] >= 0.5 > score("A calm day.")[0]
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(0, None), (None, 1), (4, 1), (5, 0), (5, 1), (9, 0)], "doc_id long, toxic int")

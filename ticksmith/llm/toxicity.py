@@ -9,8 +9,8 @@ Training takes a bounded sample of labelled rows (``max_rows``, lowest hashes of
 are scored where they are read, without a shuffle. The model is a table of at most ``features`` weights.
 
 Defined results: null text is empty and has one sentence without words; its score is the bias alone. Labels of null
-doc_id or null toxic are left out; where a doc_id has several labels, any 1 counts. Rows of the sample's texts with
-equal doc_id all count. Without usable labels of both kinds the model has no weights and so low a bias that no row is predicted toxic.
+doc_id or null toxic are left out; where a doc_id has several labels, any 1 counts. Of the sample's texts with equal
+doc_id the distinct ones count, at most ``TEXTS`` of each (lowest hashes), so that none crowds out another. Without usable labels of both kinds the model has no weights and so low a bias that no row is predicted toxic.
 An empty table gives no rows. A row with null doc_id is scored and counts as held out. Other columns are ignored by
 ``score_documents`` and kept by ``keep_clean``.
 """
@@ -26,11 +26,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows that training takes at most.
 MAX_ROWS = 8000
+#: Distinct texts of one doc_id that training takes at most.
+TEXTS = 8
 #: Size of the hashed weight table; share of the training documents, and number at least, that must have a feature.
 FEATURES, MIN_SHARE, MIN_DOCS = 1 << 18, 1 / 400, 3
 STEMS = (4, 5)
@@ -151,8 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     spark = docs.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # The sample has at most max_rows rows of two numbers, so it is broadcast; the texts aren't shuffled to find it.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * max_rows)
+    # The sample has at most max_rows rows of two numbers, so it is broadcast; of the texts only those found are shuffled.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    # first texts come before second ones, so the cut leaves each doc_id of the sample one at least
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= TEXTS).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows).coalesce(1).sortWithinPartitions("doc_id", "nth")
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
@@ -161,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             model = fit(rows["text"].tolist(), rows["toxic"].to_numpy())
             yield pd.DataFrame({"feature": [-1, *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    found = rows.coalesce(1).mapInPandas(one, "feature long, weight double").collect()
-    table = {r["feature"]: r["weight"] for r in found}
+    weights = rows.mapInPandas(one, "feature long, weight double").collect()
+    table = {r["feature"]: r["weight"] for r in weights}
     return Model(table.pop(-1, UNTAUGHT), table)
 
 
