@@ -106,6 +106,21 @@ def test_heavily_edited_copies_equal_all_pairs(spark):
     assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == want
 
 
+def test_short_items_match_whole():
+    """Items of 1 to 7 words: exact word sequences are found, edited ones aren't."""
+    full = "What is nine times nine now".split()
+    tests = [(n, " ".join(full[:n])) for n in range(1, 7)] + [(7, "nine nine nine"), (8, ""), (9, None)]
+    docs = ["so WHAT is: nine times nine now, they said", "what was nine times nine now", "nine what times is nine", "nine, nine\nnine nine", "is what nine times", "", "other words"]
+    items = D.Items(tests)
+    often = np.zeros(len(items.keys), np.int64)
+    items.choose_seeds(often, D.THRESHOLD)
+    for t in docs:
+        doc = words(t)
+        want = {k for k, x in tests if (w := words(x)) and any(doc[a : a + len(w)] == w for a in range(len(doc)))}
+        got = items.matches(t)
+        assert {m[0] for m in got} == want and all(m[1] == 1.0 and doc[m[2] : m[3]] == words(dict(tests)[m[0]]) for m in got)
+
+
 def test_seeds_lose_no_pair():
     """Random edits of items of common words, at several thresholds and seed counts."""
     rng = np.random.default_rng(5)

@@ -15,9 +15,9 @@ documents. A second pass looks up the seeds in each document and aligns where en
 Both passes read each document once, where it lies; only counts by pair are shuffled. A passage in a third of all
 documents costs each of them its own alignment and gathers nowhere.
 
-Defined results: words are lower-cased ``\\w+``; null text is empty and matches nothing. Items with null text or under
-``MIN_WORDS`` words are left out (too short to tell from chance); equal items are each reported. Repeated documents
-each give their rows. A null doc_id stays null. Empty tables give no rows. Other columns are ignored by
+Defined results: words are lower-cased ``\\w+``; null text is empty and matches nothing. Items of null text or
+without words match nothing; those under ``MIN_WORDS`` words match whole, word by word (edited ones can't be told from
+chance), with score 1; equal items are each reported. Repeated documents each give their rows. A null doc_id stays null. Empty tables give no rows. Other columns are ignored by
 ``find_leaks`` and kept by ``keep_clean``.
 """
 
@@ -67,7 +67,7 @@ class Items:
         self.ids, self.words = [], []
         for item_id, text in items:
             own = words_of((text or "").lower())
-            if len(own) >= MIN_WORDS:
+            if own:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.number.setdefault(w, len(self.number)) for w in own], np.int64))
         self.keys = np.unique(np.concatenate([pairs(w, step) for w in self.words for step in STEPS])) if self.words else np.zeros(0, np.int64)
@@ -78,14 +78,14 @@ class Items:
 
     def choose_seeds(self, often: np.ndarray, threshold: float) -> None:
         """The rarest places of each item, so many that ``need`` of them are hit in any passage of the threshold."""
-        self.threshold = threshold
+        self.least = np.array([threshold if len(w) >= MIN_WORDS else max(threshold, 1.0) for w in self.words])
         self.need = np.zeros(len(self.words), np.int64)
         seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pairs' numbers, items, places
         for i, w in enumerate(self.words):
             of = [np.searchsorted(self.keys, pairs(w, step)) for step in STEPS]
             total = often[of[0]]
             total[: len(of[1])] += often[of[1]]
-            sure = math.ceil(threshold * len(w) - 1e-9) - 1
+            sure = math.ceil(self.least[i] * len(w) - 1e-9) - 1
             self.need[i] = max(0, min(sure, NEED))
             use = np.sort(np.argsort(total, kind="stable")[: len(total) - max(0, sure - NEED)])
             for k in of:
@@ -96,7 +96,7 @@ class Items:
         used, first = np.unique(k[order], return_index=True)
         self.seed_item, self.seed_place = self.seed_item[order], self.seed_place[order]
         self.seed_keys, self.seed_at = self.keys[used], np.append(first, len(k))
-        self.whole = np.flatnonzero(self.need == 0)  # so low a threshold that no pair is sure: align with all documents
+        self.whole = np.flatnonzero(self.need == 0)  # one word, or so low a threshold that no pair is sure: align with all documents
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and windows (begin, end) that hold all passages of the threshold."""
@@ -118,7 +118,7 @@ class Items:
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(item)], strict=True):
             i = int(item[lo])
             width = len(self.words[i])
-            slack = math.floor(2 * width * (1 - self.threshold) + 1e-9)  # how far a passage of the threshold can drift
+            slack = math.floor(2 * width * (1 - self.least[i]) + 1e-9)  # how far a passage of the threshold can drift
             for a, b in _runs(diagonal[lo:hi], slack):
                 if len(np.unique(p[lo + a : lo + b])) >= self.need[i]:
                     yield i, max(0, int(diagonal[lo + a]) - slack), min(len(ids), int(diagonal[lo + b - 1]) + width + slack)
@@ -129,12 +129,12 @@ class Items:
         best: dict[int, tuple[float, int, int]] = {}
         for i, a, b in self.candidates(ids):
             item, window = self.words[i], ids[a:b]
-            enough = self.threshold * len(item) - 1e-9
+            enough = self.least[i] * len(item) - 1e-9
             # a passage of the threshold has at least this many matches
             if np.isin(item, window).sum() >= enough and _score(item, window) >= MATCH * enough:
                 best[i] = max(best.get(i, (0.0, 0, 0)), _align(item, window, a))
         shares = ((i, score / (MATCH * len(self.words[i])), first, end) for i, (score, first, end) in best.items())
-        return [(self.ids[i], share, first, end) for i, share, first, end in shares if share >= self.threshold]
+        return [(self.ids[i], share, first, end) for i, share, first, end in shares if share >= self.least[i]]
 
 
 def _runs(diagonals: np.ndarray, slack: int) -> Iterator[tuple[int, int]]:
