@@ -40,6 +40,8 @@ MIN_IDS, MEAN_BITS, MAX_IDS = 64, 8, 2048
 #: Ids that the rolling hash sees; below MIN_IDS, so that it never reaches over a document's start.
 WINDOW = 16
 FAN_OUT = 256
+#: Digests that an encoding task remembers, so as not to give a chunk twice.
+SENT = 200_000
 
 _RAW = pa.schema([("kind", pa.string()), ("uid", pa.int64()), ("h", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("lens", pa.binary()), ("root", pa.binary()), ("payload", pa.binary())])
 _RAW_DDL = "kind string, uid long, h binary, doc_id long, n_tokens long, hashes binary, lens binary, root binary, payload binary"
@@ -92,22 +94,26 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        tail = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
+        sent: set[bytes] = set()  # digests of chunks that this task has given already
         for batch in batches:
             for piece in _slices(batch):
                 uids, doc_ids = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-                data = [x + tail for x in enc.encode([t or "" for t in piece.column(2).to_pylist()])]
-                joined = b"".join(data)
-                ends = np.cumsum([len(x) // width for x in data])
+                ids, sizes = enc.flat([t or "" for t in piece.column(2).to_pylist()])
+                ids, ends = np.insert(ids, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
+                joined = ids.tobytes()
+                if len(sent) > SENT:
+                    sent = set()
                 chunks: dict[bytes, bytes] = {}
                 recipes, start = [], 0
-                for uid, doc_id, cuts in zip(uids, doc_ids, cut_points(np.frombuffer(joined, enc.dtype), ends), strict=True):
+                for uid, doc_id, cuts in zip(uids, doc_ids, cut_points(ids, ends), strict=True):
                     first, hashes, lens = start, [], []
                     for cut in cuts:
                         payload = joined[start * width : cut * width]
                         hashes.append(h := digest(payload))
-                        chunks[h] = payload
+                        if h not in sent:
+                            sent.add(h)
+                            chunks[h] = payload
                         lens.append(cut - start)
                         start = cut
                     recipes.append((uid, doc_id, start - first, b"".join(hashes), np.array(lens, "<u4").tobytes(), merkle_root(hashes)))
@@ -133,7 +139,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     raw = rows.mapInArrow(_encode(tokenizer, end_id), _RAW_DDL)
     zstd = {"compression": "zstd"}
-    raw.dropDuplicates(["kind", "h", "uid"]).write.partitionBy("kind").options(**zstd).parquet(f"{path}/data")
+    # Tasks give a chunk about once each, so rows are dealt out as they are and sorted once, for all that follows.
+    key = ["kind", "h", "uid"]
+    raw.repartition(*key).dropDuplicates(key).write.partitionBy("kind").options(**zstd).parquet(f"{path}/data")
     order = ["doc_id", "uid"]
     found = spark.read.schema(_RAW_DDL).parquet(f"{path}/data").where("kind = 'recipe'").select("uid", "doc_id", "n_tokens", "hashes", "lens", "root")
     found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.options(**zstd).parquet(f"{path}/recipes")
@@ -181,7 +189,8 @@ def verify_manifest(spark: SparkSession, path: str) -> bool:
     level, n = _leaves(spark, path), 0
     while True:
         stored = spark.read.schema("node long, root string").parquet(f"{path}/manifest/level={n}")
-        if level.exceptAll(stored).union(stored.exceptAll(level)).limit(1).count():
+        both = level.join(stored.withColumnRenamed("root", "kept"), "node", "full_outer")
+        if both.where(~F.col("root").eqNullSafe(F.col("kept"))).limit(1).count() or stored.count() != stored.select("node").distinct().count():
             return False
         if stored.count() <= 1:
             return True
@@ -230,34 +239,44 @@ def crc32_concat(a: int, b: int, b_bytes: int) -> int:
     return t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ b
 
 
+def _strings(column: pa.Array) -> list[bytes]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _check_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, crcs = [], []
-            for h, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hs, payloads = _strings(batch.column(0)), _strings(batch.column(1))
+            for h, payload in zip(hs, payloads, strict=True):
                 if digest(payload) != h:
                     raise ValueError(f"chunk {h.hex()} doesn't match its digest")
-                hs.append(h)
-                crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(crcs, pa.int64())], names=["h", "crc"])
+            ids = memoryview(np.frombuffer(b"".join(payloads), f"<u{width}").astype("<u4")).cast("B")
+            ends = np.cumsum([len(x) // width * 4 for x in payloads]).tolist()
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64())], names=["h", "crc"])
 
     return run
 
 
+_REFERENCE_DDL = "uid long, seq int, h binary, n long, doc_id long, start long, n_tokens long, root binary"
+
+
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of a recipe; what holds for the document stands in its first row."""
     names = ["uid", "seq", "h", "n", "doc_id", "start", "n_tokens", "root"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for uid, hashes, lens, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(hashes) // DIGEST
-            cols[0] += [uid] * n
-            cols[1] += range(n)
-            cols[2] += (hashes[i : i + DIGEST] for i in range(0, len(hashes), DIGEST))
-            cols[3] += np.frombuffer(lens, "<u4").tolist()
-            for c, x in zip(cols[4:], rest, strict=True):
-                c += [x] + [None] * (n - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        if not batch.num_rows:
+            continue
+        hashes = _strings(batch.column(1))
+        count = np.array([len(x) // DIGEST for x in hashes], np.int64)
+        first = np.cumsum(count) - count
+        seq = np.arange(count.sum()) - np.repeat(first, count)
+        joined = b"".join(hashes)
+        h = pa.array([joined[i : i + DIGEST] for i in range(0, len(joined), DIGEST)], pa.binary())
+        owner = np.repeat(np.arange(len(count)), count)
+        head = pa.array(owner, mask=seq != 0)
+        arrays = [batch.column(0).take(pa.array(owner)), pa.array(seq, pa.int32()), h, pa.array(np.frombuffer(b"".join(_strings(batch.column(2))), "<u4").astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays + [c.take(head) for c in batch.columns[3:]], names=names)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +295,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 6, kinds, strict=True)], names=names)
 
     for batch in batches:
-        for seq, h, n, doc_id, start, n_tokens, root, chunk_crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if seq == 0:
+        seq, hs, sizes = batch.column(0).to_numpy(), _strings(batch.column(1)), batch.column(2).to_numpy().tolist()
+        heads = iter(zip(*(c.filter(pa.array(seq == 0)).to_pylist() for c in batch.columns[3:7]), strict=True))
+        crcs = batch.column(7)
+        if crcs.null_count:
+            raise ValueError(f"chunk {hs[crcs.is_null().index(True).as_py()].hex()} is missing")
+        for k, h, n, chunk_crc in zip(seq.tolist(), hs, sizes, crcs.to_numpy().tolist(), strict=True):
+            if k == 0:
                 close()
-                head, leaves, crc, n_ids = (doc_id, start, n_tokens, root), [], 0, 0
-            if chunk_crc is None:
-                raise ValueError(f"chunk {h.hex()} is missing")
+                head, leaves, crc, n_ids = next(heads), [], 0, 0
             leaves.append(h)
-            crc = crc32_concat(crc, chunk_crc, 4 * n)
+            crc = crc32_concat(crc, chunk_crc, 4 * n) if k else chunk_crc
             n_ids += n
         yield flush()
         done.clear()
@@ -299,7 +321,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """
     chunks = spark.read.schema("h binary, payload binary, kind string").parquet(f"{path}/data").where("kind = 'chunk'").select("h", "payload")
     sums = chunks.mapInArrow(_check_chunks(width), "h binary, crc long")
-    refs = ordered_recipes(spark, path).select("uid", "hashes", "lens", "doc_id", "start", "n_tokens", "root").mapInArrow(_references, "uid long, seq int, h binary, n long, doc_id long, start long, n_tokens long, root binary")
+    refs = ordered_recipes(spark, path).select("uid", "hashes", "lens", "doc_id", "start", "n_tokens", "root").mapInArrow(_references, _REFERENCE_DDL)
     joined = refs.join(sums, "h", "left").repartition("uid").sortWithinPartitions("uid", "seq")
     return joined.select("seq", "h", "n", "doc_id", "start", "n_tokens", "root", "crc").mapInArrow(_rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, merkle_root string")
 
@@ -310,7 +332,7 @@ def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None, w
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = spark.read.schema("h binary, payload binary, kind string").parquet(f"{path}/data").where("kind = 'chunk'").select("h", "payload")
-    refs = recipes.select("uid", "hashes", "lens", "doc_id", "start", "n_tokens", "root").mapInArrow(_references, "uid long, seq int, h binary, n long, doc_id long, start long, n_tokens long, root binary")
+    refs = recipes.select("uid", "hashes", "lens", "doc_id", "start", "n_tokens", "root").mapInArrow(_references, _REFERENCE_DDL)
     names = refs.select("uid", "seq", "h").join(recipes.select("uid", "doc_id"), "uid")
     return names.join(chunks, "h", "left").select("uid", "doc_id", "seq", "payload")
 

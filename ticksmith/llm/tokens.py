@@ -1,9 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, with the work shared between equal words.
 
 Byte-level and word-level BPE never merge across the start of a space-delimited word, so a text's ids are the joined
-ids of its space-delimited segments. Each Python worker keeps a bounded table of segments that the library has already
-encoded; segments outside it go to the library in groups. Texts for which the split could matter (white space runs
-around a space, special strings) are given to the library whole.
+ids of its space-delimited segments. Texts are split in Arrow, a few MB at a time, and each distinct segment is looked up
+once in a bounded table that a Python worker keeps. A new segment is cut into the words, numbers and marks that the
+file's own pattern tells apart, whose ids are in a second bounded table; the library encodes each new one. Segments of
+other characters than ``_LETTER``, ASCII marks and line ends go to the library uncut, and texts for which the split
+could matter (white space runs around a space, special strings) whole.
 """
 
 from __future__ import annotations
@@ -11,20 +13,36 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Segments that a worker keeps; the most frequent come early and stay.
+#: Segments that a worker keeps, and half the words; the most frequent come early and stay.
 CACHE_SEGMENTS = 400_000
-#: Segments that go to the library as one text.
+#: Words that go to the library as one text.
 GROUP = 400
 #: Characters whose segments are looked up together.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 4_000_000
 
 #: A space after white space that is not followed by a visible character belongs to a longer white space token.
 _RUN = re.compile(r"\s (?!\S)")
 
+#: Letters in any version of Unicode, each its own NFC form, with lower-case forms of one character.
+_LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-žА-яЁё"
+_CUT = re.compile(rf"[!-~ \n{_LETTER}]*")
+#: The tokenizer files' own patterns, over those characters; fixed values.
+_PIECES = {
+    "spaces": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+").findall,
+    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+").findall,
+}
+
+#: Ids of many strings, one behind the other, and how many each has.
+Flat = tuple[np.ndarray, np.ndarray]
+
 
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is."""
@@ -33,6 +51,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Table:
+    """Ids of strings; ``room`` of them are kept, others are forgotten after their block."""
+
+    def __init__(self, room: int, dtype: np.dtype, make: Callable[[list[str]], Flat]):
+        self.room, self.make, self.kept = room, make, 0
+        self.known: dict[str, int] = {}
+        self.ids, self.begin = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def gather(self, names: list[str], code: np.ndarray | None = None) -> Flat:
+        """Ids of ``names``, or of ``names[code]``."""
+        found = list(map(self.known.get, names))
+        if None in found:
+            new = list(dict.fromkeys(s for s, k in zip(names, found, strict=True) if k is None))
+            places = dict(zip(new, range(self.kept, self.kept + len(new)), strict=True))
+            found = [places[s] if k is None else k for s, k in zip(names, found, strict=True)]
+            ids, sizes = self.make(new)
+            self.ids, self.begin = np.concatenate([self.ids, ids]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            keep = min(self.room - self.kept, len(new))
+            self.known.update(zip(new[:keep], range(self.kept, self.kept + keep), strict=True))
+            self.kept += keep
+        place = np.array(found, np.int64)
+        if code is not None:
+            place = place[code]
+        begin = self.begin[place]
+        n = self.begin[place + 1] - begin
+        out = self.ids[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.begin = self.begin[: self.kept + 1]
+        self.ids = self.ids[: self.begin[-1]]
+        return out, n
+
+
 class SegmentEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``dtype``."""
 
@@ -46,109 +95,115 @@ class SegmentEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 0xFFFF else "<u4")
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.mode = _mode(spec)
-        #: Tokens that begin with the space byte: in a group of segments, exactly the first token of each.
-        self.opens = None
-        if self.mode == "spaces":
-            self.opens = np.zeros(self.tok.get_vocab_size(), bool)
-            self.opens[[i for token, i in self.tok.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.room = cache_segments
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab()
+        #: Tokens that begin with the space byte, or end a word: exactly one of each word that the pattern finds.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for token, i in vocabulary.items() if (token.startswith("Ġ") if self.mode == "spaces" else token.endswith("</w>"))]] = True
+        self.segments = Table(cache_segments, self.dtype, self._segments)
+        self.pieces = Table(2 * cache_segments, self.dtype, self._pieces)
+        self.first = Table(cache_segments // 8, self.dtype, self._library)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        block: list[str] = []
-        size = 0
+        ids, sizes = self.flat(texts)
+        data, ends = ids.tobytes(), (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+    def flat(self, texts: list[str]) -> Flat:
+        """The ids of all texts, one text behind the other, and how many each has."""
+        done, block, size = [], [], 0
         for text in texts:
             block.append(text)
             size += len(text)
             if size >= BLOCK_CHARS:
-                out += self._block(block)
+                done.append(self._block(block))
                 block, size = [], 0
-        return out + self._block(block) if block else out
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        parts = [self._split(text) for text in texts]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        ids: list = [None] * len(texts)
-        for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            ids[i] = self._bytes(e.ids)
-        get, pending, missing = self.known.get, [], set()
-        for i, segments in enumerate(parts):
-            if segments is None:
-                continue
-            found = list(map(get, segments))
-            if self.mode == "spaces":  # a text's first segment has no space before it
-                found[0] = self._first(segments[0])
-            at = -1
-            gaps = []
-            try:
-                while True:
-                    at = found.index(None, at + 1)
-                    gaps.append(at)
-                    missing.add(segments[at])
-            except ValueError:
-                pass
-            if gaps:
-                pending.append((i, segments, found, gaps))
-            else:
-                ids[i] = b"".join(found)
-        if missing:
-            new = self._library(list(missing))
-            for i, segments, found, gaps in pending:
-                for at in gaps:
-                    found[at] = new[segments[at]]
-                ids[i] = b"".join(found)
-            if self.room > 0:
-                self.known.update(new)
-                self.room -= len(new)
-        return ids
-
-    def _split(self, text: str) -> list[str] | None:
+        if block or not done:
+            done.append(self._block(block))
+        ids, sizes = zip(*done, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _block(self, texts: list[str]) -> Flat:
+        alone = np.array([self._alone(t) for t in texts], bool)
+        split = self._split([t for t, a in zip(texts, alone, strict=True) if not a])
+        if not alone.any():
+            return split
+        whole = self._library([t for t, a in zip(texts, alone, strict=True) if a])
+        sizes = np.empty(len(texts), np.int64)
+        sizes[alone], sizes[~alone] = whole[1], split[1]
+        ids, of_whole = np.empty(sizes.sum(), self.dtype), np.repeat(alone, sizes)
+        ids[of_whole], ids[~of_whole] = whole[0], split[0]
+        return ids, sizes
+
+    def _alone(self, text: str) -> bool:
+        """Whether the library gets a text uncut."""
+        return self.mode == "whole" or self.mode == "spaces" and (any(s in text for s in self.specials) or _RUN.search(text) is not None)
+
+    def _split(self, texts: list[str]) -> Flat:
+        """Texts by segments."""
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if self.mode == "words":
-            return text.replace("\n", " ").split(" ")
-        if self.mode == "whole" or any(s in text for s in self.specials) or _RUN.search(text):
-            return None
-        return text.split(" ")
-
-    def _first(self, segment: str) -> bytes:
-        if (known := self.first.get(segment)) is None:
-            known = self._bytes(self.tok.encode(segment, add_special_tokens=False).ids)
-            if len(self.first) < CACHE_SEGMENTS // 8:
-                self.first[segment] = known
-        return known
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _library(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of segments, each as it stands behind a space."""
-        plain, odd = [], []
-        for s in segments:
-            (plain if s.split() == [s] and not any(x in s for x in self.specials) else odd).append(s)
+            texts = [t.replace("\n", " ") for t in texts]
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, parts = parts.offsets.to_numpy()[:-1], parts.flatten().dictionary_encode()
+        ids, n = self.segments.gather(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy())
+        sizes = np.add.reduceat(n, at)
+        if self.mode == "spaces":  # a text's first segment has no space before it
+            ends = np.cumsum(sizes)
+            first = self.first.gather([t[: k if (k := t.find(" ")) >= 0 else None] for t in texts])
+            rest = sizes - n[at]
+            new = np.empty(len(ids) + int((first[1] - n[at]).sum()), self.dtype)
+            head = np.repeat(np.tile([True, False], len(texts)), np.stack([first[1], rest], 1).ravel())
+            new[head] = first[0]
+            old = np.repeat(np.tile([True, False], len(texts)), np.stack([n[at], rest], 1).ravel())
+            new[~head] = ids[~old]
+            ids, sizes = new, first[1] + rest
+        return ids, sizes
+
+    def _library(self, texts: list[str]) -> Flat:
+        found = [np.asarray(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, self.dtype), np.array([len(x) for x in found], np.int64)
+
+    def _segments(self, segments: list[str]) -> Flat:
+        """New segments, each as it stands behind a space."""
         lead = " " if self.mode == "spaces" else ""
-        out = {}
-        for s, e in zip(odd, self.tok.encode_batch_fast([lead + s for s in odd], add_special_tokens=False), strict=True):
-            out[s] = self._bytes(e.ids)
-        width = self.dtype.itemsize
-        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
-        if self.opens is None:
-            found = ((group, self.tok.encode(lead + " ".join(group), add_special_tokens=False)) for group in groups)
-        else:
-            found = zip(groups, self.tok.encode_batch_fast([lead + " ".join(group) for group in groups], add_special_tokens=False), strict=True)
-        for group, e in found:
-            ids = np.asarray(e.ids, self.dtype)
-            if self.opens is None:
-                starts = np.cumsum([0] + [len(s) + 1 for s in group[:-1]])
-                owner = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-                ends = np.cumsum(np.bincount(owner, minlength=len(group)))
-            else:
-                ends = np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
-            joined, a = ids.tobytes(), 0
-            for s, b in zip(group, (ends * width).tolist(), strict=True):
-                out[s] = joined[a:b]
-                a = b
-        return out
+        every = _CUT.fullmatch(" ".join(segments)) and not any(x in s for s in segments if "<|" in s for x in self.specials)
+        if not every:
+            fits = np.array([_CUT.fullmatch(s) is not None and not any(x in s for x in self.specials) for s in segments], bool)
+            odd = self._library([lead + s for s, f in zip(segments, fits, strict=True) if not f])
+            plain = self._cut([s for s, f in zip(segments, fits, strict=True) if f])
+            sizes = np.empty(len(segments), np.int64)
+            sizes[fits], sizes[~fits] = plain[1], odd[1]
+            ids, of_plain = np.empty(sizes.sum(), self.dtype), np.repeat(fits, sizes)
+            ids[of_plain], ids[~of_plain] = plain[0], odd[0]
+            return ids, sizes
+        return self._cut(segments)
+
+    def _cut(self, segments: list[str]) -> Flat:
+        cut = _PIECES[self.mode]
+        lists = [cut(" " + s) for s in segments] if self.mode == "spaces" else [cut(s.lower()) for s in segments]
+        ids, n = self.pieces.gather(list(chain.from_iterable(lists)))
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        before = np.concatenate([[0], np.cumsum(n)])
+        return ids, np.diff(before[ends], prepend=0)
+
+    def _pieces(self, pieces: list[str]) -> Flat:
+        """New words by groups, of which each is cut at its words' edges again; others go one by one."""
+        grouped = np.array([self.mode == "words" or p[0] == " " for p in pieces], bool)
+        words = [p for p, g in zip(pieces, grouped, strict=True) if g]
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        joint = "" if self.mode == "spaces" else " "
+        ids, _ = self._library([joint.join(g) for g in groups])
+        edges = np.flatnonzero(self.edge[ids])
+        n = np.diff(edges, append=len(ids)) if self.mode == "spaces" else np.diff(edges, prepend=-1)
+        if grouped.all():
+            return ids, n
+        other = self._library([p for p, g in zip(pieces, grouped, strict=True) if not g])
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[grouped], sizes[~grouped] = n, other[1]
+        out, of = np.empty(sizes.sum(), self.dtype), np.repeat(grouped, sizes)
+        out[of], out[~of] = ids, other[0]
+        return out, sizes
 
 
 def _mode(spec: dict) -> str:
