@@ -56,6 +56,27 @@ def test_escapes_are_reversible_and_hide_control_strings():
     check()
 
 
+@pytest.mark.parametrize("text", ["<|>", "<<|>>", "<<SYS>>", "<<s>", "[INST][/INST]", "<|end|><|turn|>", "\\<|>", "|>|>", "<</SYS>>", "<|\\|>"])
+def test_overlapping_control_strings_are_all_broken(text):
+    body = C.escape(text)
+    assert C.unescape(body) == text and not any(c in body for c in C.CONTROL)
+
+
+def test_ordinary_text_is_left_as_it_is():
+    assert C.escape("a < b > c | d [1] x[i] <b>") == "a < b > c | d [1] x[i] <b>"
+
+
+def test_ties_go_by_record_and_a_long_conversation_by_turn(spark):
+    rows = [(7, k // 3, "user" if k % 2 else "assistant", f"text {k * 7919 % 500:03}") for k in range(900)] + [(8, 0, "user", "hi")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = C.format_records(C.turn_records(table)).orderBy("conv_id", "seq").collect()
+    record = lambda role, text: json.dumps({"role": role, "text": text}, separators=(",", ":"))
+    want = [(r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1], record(r[2], r[3])))]
+    assert [C.parse_turn(r.formatted) for r in formatted] == want
+    assert len({r.seq for r in formatted if r.conv_id == 7}) == 900 and len({r.seq >> 40 for r in formatted if r.conv_id == 7}) > 1
+    assert C.conversation_digests(C.format_records(C.turn_records(table))).where("conv_id = 7").first().n_turns == 900
+
+
 LAYOUTS = [
     ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, [("user", "q"), ("assistant", "a")]),
     ({"id": 3, "system": "be kind", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, [("system", "be kind"), ("user", "q"), ("assistant", "a")]),

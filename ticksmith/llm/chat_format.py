@@ -7,10 +7,11 @@ when the output is read.
 
 Output: one row for each turn, (conv_id, seq, formatted, loss_start, loss_length); the mask is in code points of
 ``formatted`` and covers the escaped text of assistant turns. A conversation is the concatenation of its rows by seq,
-so one conversation may be as long as it likes: no task holds it whole.
+which grows along it but skips numbers where another task goes on: a long conversation is dealt to several tasks by
+ranges of turns. Only its digests, which are sequential, pass one task, through which its rows stream.
 
-Defined results: null texts and roles are empty; records of one conversation go by turn (nulls first), then role and
-text; repeated records are each kept; a null conv_id is a conversation of its own. A record whose fingerprint no
+Defined results: null texts and roles are empty; records of one conversation go by turn (nulls first), then by their
+JSON text; repeated records are each kept; null conv_ids are one conversation. A record whose fingerprint no
 mapping knows is an error that names its paths. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,15 @@ from ticksmith.llm.storage import written
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
 
-_CONTROL = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
+#: Backslashes, and first characters of control strings; what follows isn't consumed, so overlapping ones are all found.
+_CONTROL = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|body\|>(.*)<\|end\|>", re.S)
 
 
 def escape(text: str) -> str:
     """Put a backslash into each control string, behind its first character, and double backslashes."""
-    return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return _CONTROL.sub(r"\g<0>\\", text)
 
 
 def unescape(text: str) -> str:
@@ -140,21 +143,19 @@ def format_records(records: DataFrame) -> DataFrame:
     """Format ``records`` (conv_id, turn, record: a JSON object of any known layout)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = by_fingerprint()
-        current, seq, begun = None, 0, False
+        table, seq = by_fingerprint(), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for conv_id, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not begun or conv_id != current:
-                    current, seq, begun = conv_id, 0, True
                 for role, text in canonical_turns(json.loads(record), table):
                     rows.append((conv_id, seq, *format_turn(role, text)))
                     seq += 1
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_OUT)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
-    # A conversation's turns pass one task in order, because they are numbered; they stream through it.
-    dealt = records.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "record")
+    # Ranges of (conv_id, turn, record): tasks are in order, so a task's number leads the numbers of its turns.
+    order = ["conv_id", "turn", "record"]
+    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.select("conv_id", "record").mapInArrow(run, _OUT_DDL)
 
 
