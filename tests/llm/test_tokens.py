@@ -201,3 +201,43 @@ def test_packing_keeps_all_three_limits(spark):
         assert len(p.ids) % p.length == 0
         loss[p.sequence_id] = loss.get(p.sequence_id, 0) + max(0, p.start + p.length - max(p.start, 20))
     assert max(loss.values()) <= 400
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_short_examples_need_hardly_any_padding(n):
+    """5,000 examples of n ids each: the limit on segments closes sequences early, which are split, not padded."""
+    packer, limits = packing.Packer(packing.Limits()), packing.Limits()
+    for k in range(5000):
+        packer.add(k, n)
+    packer.pack(0)
+    by: dict[int, int] = {}
+    for _, _, length, sequence, _ in packer.out:
+        by[sequence] = by.get(sequence, 0) + length
+    assert sum(by.values()) == 5000 * n
+    assert sum(limits.tokens - t for t in by.values() if t & (t - 1)) < 0.01 * 5000 * n
+
+
+def test_only_open_ids_are_held():
+    """Of long examples, a task keeps the open tails: fewer than a sequence's ids each."""
+    packer, held = packing.Packer(packing.Limits()), packing.Held(2)
+    ids = {k: np.random.default_rng(k).integers(0, 40_000, 50_000 + 37 * k).astype("<u2").tobytes() for k in range(300)}
+    got: dict[int, bytes] = {k: b"" for k in ids}
+
+    def flush() -> None:
+        for i, start, length, _, _ in packer.out:
+            got[i] += held.take(i, start, length)[1]
+        packer.out.clear()
+        held.release()
+
+    for k, data in ids.items():
+        packer.add(k, held.add(k, k, data))
+        flush()
+        assert max((len(r[1]) for r in held.rows.values()), default=0) < 2 * 2048
+    packer.pack(0)
+    flush()
+    assert got == ids and not held.rows
+
+
+def test_limits_of_nothing_are_an_error():
+    with pytest.raises(ValueError, match="at least one"):
+        packing.Limits(loss=0)

@@ -3,9 +3,10 @@
 Each task packs the documents that it reads: a pool of open examples, each a vector (tokens, 1 segment, loss-bearing
 tokens) relative to the limits. A sequence is filled by the dot-product heuristic: of the examples that fit, take the
 one whose vector, weighted by the pool's total demand, has the largest product with the room left. When none fits, one
-is cut to the room. Long examples give full sequences first. What a task has left at its end becomes sequences of
-2^k tokens, which need no padding. Nothing is shuffled, and a task holds at most ``POOL`` open examples, without
-their ids.
+is cut to the room. Long examples give full sequences first. A sequence that another limit closes early, or that the end
+of a task leaves, is split into sequences of 2^k tokens, which need no padding. Nothing is shuffled; a task holds at most
+``POOL`` open examples and their ids that aren't placed, which are fewer than ``Limits.tokens`` each unless a lower
+limit on loss-bearing tokens keeps long examples open.
 
 Defined results: null text counts as empty and is packed as its end id; rows with null or repeated doc_id are examples
 of their own; an empty table gives no pieces; other columns are ignored. sequence_id is the task's number times 2^40
@@ -38,6 +39,10 @@ class Limits:
     loss: int = 2048
     min_piece: int = 8
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("a sequence holds at least one token, segment and loss-bearing token")
+
 
 class Packer:
     """Places pieces (example, start, length) in numbered sequences."""
@@ -101,7 +106,7 @@ class Packer:
                     # the longest example is cut to the room, which leaves the others whole
                     i = int(np.where(alive, tokens, -1).argmax())
                     length = self._most(*map(int, pool[i, 1:]), room_t, room_l)
-                    if length < lim.min_piece:
+                    if length < lim.min_piece and pieces:
                         break
                 pieces.append((int(pool[i, 0]), int(pool[i, 1]), length))
                 used = max(0, int(pool[i, 1]) + length - max(int(pool[i, 1]), int(pool[i, 3])))
@@ -111,17 +116,17 @@ class Packer:
                     alive[i] = False
                     left -= 1
                 tokens[i], loss[i] = tokens[i] - length, loss[i] - used
-            if left == 0 and room_t and room_t != lim.tokens:
-                self._tail(pieces)
-            else:
+            if room_t < lim.min_piece and left:  # less padding than a piece is worth
                 self._full(pieces)
+            else:
+                self._powers(pieces)
         self.pool = pool[alive]
 
     def _sizes(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return pool[:, 2] - pool[:, 1], np.maximum(0, pool[:, 2] - np.maximum(pool[:, 1], pool[:, 3]))
 
-    def _tail(self, pieces: list[tuple[int, int, int]]) -> None:
-        """Split the last sequence's pieces into sequences of 2^k tokens."""
+    def _powers(self, pieces: list[tuple[int, int, int]]) -> None:
+        """Split a sequence's pieces into sequences of 2^k tokens."""
         total = sum(p[2] for p in pieces)
         for k in range(total.bit_length() - 1, -1, -1):
             if not total >> k & 1:
@@ -139,6 +144,33 @@ class Packer:
             self._full(part)
 
 
+class Held:
+    """Ids of examples that aren't fully placed: only those from the first open one on."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.rows: dict[int, tuple[int | None, bytes, int, int]] = {}  # doc_id, ids, tokens, place of the first of these ids
+        self.placed: dict[int, int] = {}
+
+    def add(self, example: int, doc_id: int | None, ids: bytes) -> int:
+        self.rows[example] = (doc_id, ids, len(ids) // self.width, 0)
+        return len(ids) // self.width
+
+    def take(self, example: int, start: int, length: int) -> tuple[int | None, bytes, int]:
+        """(doc_id, ids of the piece, tokens of the example); pieces of an example come in order."""
+        doc_id, ids, n, base = self.rows[example]
+        self.placed[example] = start + length
+        return doc_id, ids[(start - base) * self.width : (start - base + length) * self.width], n
+
+    def release(self) -> None:
+        """Let go of all ids that were taken."""
+        for example, end in self.placed.items():
+            doc_id, ids, n, base = self.rows.pop(example)
+            if end < n:
+                self.rows[example] = (doc_id, ids[(end - base) * self.width :], n, end)
+        self.placed.clear()
+
+
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -154,20 +186,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
         enc = encoder(tokenizer)
         tail, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
-        held: dict[int, tuple] = {}  # examples that aren't fully placed: doc_id, ids, tokens, tokens placed
+        held = Held(width)
         example = 0
 
         def flush() -> pa.RecordBatch:
             rows = []
             for i, start, length, sequence, offset in packer.out:
-                doc_id, ids, n, placed = held[i]
-                piece = ids[start * width : (start + length) * width]
+                doc_id, piece, n = held.take(i, start, length)
                 crc = zlib.crc32(np.frombuffer(piece, enc.dtype).astype("<u4").tobytes())
                 rows.append((doc_id, start, length, crc, n, sequence, offset, *([piece] * with_ids)))
-                if placed + length == n:
-                    del held[i]
-                else:
-                    held[i] = (doc_id, ids, n, placed + length)
+            held.release()
             packer.out.clear()
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
@@ -177,9 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
                 part = batch.slice(k, 1000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids, first in zip(part.column(0).to_pylist(), enc.encode(texts), part.column(2).to_pylist(), strict=True):
-                    ids += tail
-                    n = len(ids) // width
-                    held[example] = (doc_id, ids, n, 0)
+                    n = held.add(example, doc_id, ids + tail)
                     packer.add(example, n, min(max(first or 0, 0), n))
                     example += 1
                 yield flush()
