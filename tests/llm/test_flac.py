@@ -163,3 +163,55 @@ def test_blocks_as_rows(spark):
     rows = flac.pcm_blocks(flac.encode_column(docs)).orderBy("doc_id", "block").collect()
     for d, t in ((1, prose(4, 900)), (2, "")):
         assert b"".join(r.pcm for r in rows if r.doc_id == d) == flac.padded(t)[1]
+
+
+def test_stored_streams_have_linear_predictors(spark, tiny):
+    """Subframe kinds of the table's frames: fixed ones and quantised linear ones, each where it is shorter."""
+    media = [r.media for r in flac.encode_column(spark.read.parquet(f"{tiny}/documents.parquet")).collect()]
+    kinds = {s[byte + flac._read_header(s, byte)[2]] >> 1 for s, (_, blocks) in zip(media, flac.decode(media), strict=True) for _, _, byte in blocks}
+    assert any(k >= 32 for k in kinds) and any(k < 32 for k in kinds)
+
+
+def test_a_stream_is_the_same_however_its_samples_are_grouped(monkeypatch):
+    streams = flac.encode(PAYLOADS, "text", 2)
+    monkeypatch.setattr(flac, "BATCH", 3 * flac.BLOCK)
+    assert flac.encode(PAYLOADS, "text", 2) == streams and [p for p, _ in flac.decode(streams)] == PAYLOADS
+    assert [flac.feature(*x) for x in flac.decode(streams)] == [whole_feature(p, (len(p) + flac.BLOCK - 1) // flac.BLOCK) for p in PAYLOADS]
+
+
+def whole_feature(pcm, blocks):
+    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+    above = x * len(x) >= x.sum()
+    return f"blocks={blocks};peak={int(np.abs(x).max())};energy={int((x * x).sum() * 1000 // len(x))};crossings={int((above[1:] != above[:-1]).sum())}"
+
+
+MEMORY = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from ticksmith.llm import flac
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+unit = "A very long text, and it goes on; number {} of many lines.\\n"
+text = "".join(unit.format(k) for k in range(20_000)) * 57
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+size = len(text)
+del text
+base = peak()
+(out,) = flac.encode_batch(batch)
+coded = peak() - base
+(row,) = flac.digest_batch(out)
+assert row.column(1)[0].as_py() == size and row.column(2)[0].as_py() == size + -size % 64
+print(size, int(coded), int(peak() - base))
+"""
+
+
+def test_a_very_long_text_needs_bounded_memory():
+    """64 MB of text: both ways stay within 500 MB above what held the text."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", MEMORY, str(Path(flac.__file__).parents[2])], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    size, coded, both = map(int, done.stdout.split())
+    assert size > 64e6 and coded < 500 and both < 500

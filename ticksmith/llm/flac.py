@@ -3,7 +3,7 @@
 A stream has STREAMINFO (with the samples' MD5), an APPLICATION block that names the sample table, a SEEKTABLE with a
 point for each frame, and frames of ``BLOCK`` samples: CRC-8 over the header, one subframe with a fixed or quantised
 linear predictor, Rice-coded residuals, CRC-16 over the frame. The encoder takes, by frame, the fixed predictor of
-order 0 to 4 (or, on request, a linear predictor of a given order) and the Rice parameter with the fewest bits.
+order 0 to 4 or a linear predictor of a given order, and the Rice parameter, with the fewest bits.
 
 Rice codes of one frame follow each other, but frames don't: the decoder walks all frames of a batch in step, one
 sample of every frame at a time, so that each step is a few array operations. CRC-16 is taken in step as well. Frames
@@ -14,7 +14,8 @@ codes keep short; ``linear`` is byte - 128. Both are one to one.
 
 Defined results: null text is empty; payloads are padded by bytes 0 to a positive multiple of 64; equal texts give
 equal streams; every row gives one row; an empty table gives none; other columns are ignored. Rows are worked on where
-they are read, a few MB at a time, whatever a text's length; streams are written once, and never shuffled.
+they are read; streams are written once, and never shuffled. Of a text, its bytes, its stream and its decoded samples
+are held as bytes; the arrays of coding and decoding, about 150 bytes a sample, are of ``BATCH`` samples at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from ticksmith.llm.storage import written
 
 BLOCK, UNIT, RATE = 1024, 64, 8000
 #: Samples that are worked on together.
-BATCH = 1 << 21
+BATCH = 1 << 20
+#: The linear predictor's order in stored columns; a frame has one where it takes fewer bits.
+LPC_ORDER = 2
 #: Fixed predictors of FLAC, order 0 to 4.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 PRECISION = 12
@@ -128,22 +131,56 @@ def _levinson(x: np.ndarray, start: np.ndarray, n: np.ndarray, order: int) -> np
     return np.clip(np.rint(a * (limit >> 1)), -limit, limit - 1).astype(np.int64)
 
 
+def _runs(sizes: list[list[int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """(stream, first frame, end frame): all frames of the streams, at most ``BATCH`` samples together."""
+    part, room = [], BATCH
+    for d, frames in enumerate(sizes):
+        first = 0
+        for f, n in enumerate(frames):
+            if n > room and (part or f > first):
+                yield part + [(d, first, f)] * (f > first)
+                part, room, first = [], BATCH, f
+            room -= n
+        part.append((d, first, len(frames)))
+    if part:
+        yield part
+
+
 def encode(payloads: list[bytes], table: str = "text", lpc_order: int = 0) -> list[bytes]:
-    """A stream for each payload; payloads are positive multiples of 64 bytes."""
-    sample = sample_table(table)
-    sizes = np.array([len(p) for p in payloads])
-    x = sample[np.frombuffer(b"".join(payloads), np.uint8)]
-    doc_at = np.cumsum(sizes) - sizes
-    n, start, doc, number = [], [], [], []
-    for d, (a, size) in enumerate(zip(doc_at.tolist(), sizes.tolist(), strict=True)):
-        for k in range(0, size, BLOCK):
-            start.append(a + k)
-            n.append(min(BLOCK, size - k))
-            doc.append(d)
-            number.append(k // BLOCK)
-    n, start = np.array(n), np.array(start)
+    """A stream for each payload; payloads are positive multiples of 64 bytes, worked on ``BATCH`` samples at a time."""
+    sample = sample_table(table).astype(np.int32)
+    sizes = [[min(BLOCK, len(p) - k) for k in range(0, len(p), BLOCK)] for p in payloads]
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    lengths: list[list[int]] = [[] for _ in payloads]
+    sums = [hashlib.md5() for _ in payloads]
+    for run in _runs(sizes):
+        views = [memoryview(payloads[d])[a * BLOCK : b * BLOCK] for d, a, b in run]
+        x = sample[np.frombuffer(b"".join(views), np.uint8)]
+        n = np.array([k for d, a, b in run for k in sizes[d][a:b]])
+        data, size = _encode_frames(x, n, [f for _, a, b in run for f in range(a, b)], lpc_order)
+        signed, at, byte, f = memoryview(x.astype(np.int8).tobytes()), 0, 0, 0
+        for (d, a, b), view in zip(run, views, strict=True):
+            own = size[f : f + b - a]
+            frames[d].append(data[byte : byte + int(own.sum())])
+            lengths[d] += own.tolist()
+            sums[d].update(signed[at : at + len(view)])
+            at, byte, f = at + len(view), byte + int(own.sum()), f + b - a
+    streams = []
+    for d, payload in enumerate(payloads):
+        info = struct.pack(">HH", BLOCK, BLOCK) + min(lengths[d]).to_bytes(3, "big") + max(lengths[d]).to_bytes(3, "big") + ((RATE << 44) | (7 << 36) | len(payload)).to_bytes(8, "big") + sums[d].digest()
+        starts = np.cumsum([0, *lengths[d][:-1]]).tolist()
+        points = b"".join(struct.pack(">QQH", i * BLOCK, a, k) for i, (a, k) in enumerate(zip(starts, sizes[d], strict=True)))
+        name = table.encode().ljust(8)
+        streams.append(b"".join([b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x02", (12).to_bytes(3, "big"), b"tabl", name, b"\x83", len(points).to_bytes(3, "big"), points, *frames[d]]))
+        frames[d] = []
+    return streams
+
+
+def _encode_frames(x: np.ndarray, n: np.ndarray, number: list[int], lpc_order: int) -> tuple[bytes, np.ndarray]:
+    """(bytes, size of each) of the frames of ``n`` samples that ``x`` holds one behind the other."""
+    start = np.cumsum(n) - n
     frames = len(n)
-    place = np.arange(len(x)) - np.repeat(start, n)
+    place = np.arange(len(x), dtype=np.int32) - np.repeat(start, n).astype(np.int32)
 
     # residuals by predictor; warm-up samples are left out of the costs
     e, kinds = x, [x]
@@ -152,22 +189,21 @@ def encode(payloads: list[bytes], table: str = "text", lpc_order: int = 0) -> li
         d[1:] -= e[:-1]
         e = d
         kinds.append(e)
-    shift = np.zeros(frames, np.int64)
     coefficients = None
     if lpc_order:
-        coefficients = _levinson(x.astype(float), start, n, lpc_order)
-        guess = np.zeros(len(x), np.int64)
+        coefficients = _levinson(x.astype(float), start, n, lpc_order).astype(np.int32)
+        guess = np.zeros(len(x), np.int32)
         for j in range(lpc_order):
             guess[j + 1 :] += np.repeat(coefficients[:, j], n)[j + 1 :] * x[: len(x) - j - 1]
         kinds.append(x - (guess >> (PRECISION - 2)))
     orders = np.array([0, 1, 2, 3, 4, lpc_order][: len(kinds)])
-    best_bits, best, best_k = np.full(frames, 1 << 60), np.zeros(frames, np.int64), np.zeros(frames, np.int64)
+    best_bits, best, best_k = np.full(frames, 1 << 60), np.zeros(frames, np.int64), np.zeros(frames, np.int32)
     for kind, residual in enumerate(kinds):
-        u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
+        u = (residual << 1) ^ (residual >> 31)
         u[place < orders[kind]] = 0
         count = n - orders[kind]
         total = np.add.reduceat(u, start)
-        k0 = np.log2(np.maximum(total / np.maximum(count, 1), 1)).astype(np.int64)
+        k0 = np.log2(np.maximum(total / np.maximum(count, 1), 1)).astype(np.int32)
         for k in (k0, np.maximum(k0 - 1, 0)):
             bits = np.add.reduceat(u >> np.repeat(k, n), start) + count * (1 + k) + 8 * orders[kind] + (PRECISION * lpc_order if kind == 5 else 0)
             better = (bits < best_bits) & (k <= 14) & (count > 0)
@@ -183,7 +219,7 @@ def encode(payloads: list[bytes], table: str = "text", lpc_order: int = 0) -> li
 
     heads = [_frame_header(i, s) for i, s in zip(number, n.tolist(), strict=True)]
     head_size = np.array([len(h) for h in heads])
-    u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
+    u = (residual << 1) ^ (residual >> 31)
     k_of = np.repeat(k, n)
     length = (u >> k_of) + 1 + k_of
     length[place < np.repeat(order, n)] = 0
@@ -228,21 +264,7 @@ def encode(payloads: list[bytes], table: str = "text", lpc_order: int = 0) -> li
     crc = crc16_of(out, frame_at, end)
     out[end], out[end + 1] = crc >> 8, crc & 0xFF
 
-    data = out.tobytes()
-    streams, f = [], 0
-    name = table.encode().ljust(8)
-    signed = x.astype(np.int8).tobytes()
-    doc_frames = np.bincount(doc, minlength=len(payloads)).tolist()
-    ends = (frame_at + frame_bytes).tolist()
-    starts, counts = frame_at.tolist(), n.tolist()
-    for d, (a, size) in enumerate(zip(doc_at.tolist(), sizes.tolist(), strict=True)):
-        g = f + doc_frames[d]
-        lengths = frame_bytes[f:g]
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big") + ((RATE << 44) | (7 << 36) | size).to_bytes(8, "big") + hashlib.md5(signed[a : a + size]).digest()
-        points = b"".join(struct.pack(">QQH", number[i] * BLOCK, starts[i] - starts[f], counts[i]) for i in range(f, g))
-        streams.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x02" + (12).to_bytes(3, "big") + b"tabl" + name + b"\x83" + len(points).to_bytes(3, "big") + points + data[starts[f] : ends[g - 1]])
-        f = g
-    return streams
+    return out.tobytes(), frame_bytes
 
 
 # --- decoding
@@ -310,7 +332,7 @@ def decode_frames(data: bytes, at: list[int]) -> tuple[np.ndarray, np.ndarray, n
     for j in range(8):
         window = (window << np.uint64(8)) | padded[j : j + len(window)]
     bits = np.unpackbits(padded)
-    marks = np.where(bits, np.arange(len(bits), dtype=np.int64), len(bits))
+    marks = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
     next_one = np.minimum.accumulate(marks[::-1])[::-1]
 
     def take(pos: np.ndarray, width) -> np.ndarray:
@@ -359,7 +381,7 @@ def decode_frames(data: bytes, at: list[int]) -> tuple[np.ndarray, np.ndarray, n
         while rest[live - 1] <= i:
             live -= 1
         p, kk = pos[:live], k[:live]
-        one = next_one[p]
+        one = next_one[p].astype(np.int64)
         u = (one - p << kk) | take(one + 1, kk)
         pos[:live] = one + 1 + kk
         value = (u >> 1) ^ -(u & 1)
@@ -379,42 +401,62 @@ def decode_frames(data: bytes, at: list[int]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
-    """(payload, blocks: sample offset, samples, byte offset of the frame) of each stream, verified."""
+    """(payload, blocks: sample offset, samples, byte offset of the frame) of each stream, verified.
+
+    Frames are decoded ``BATCH`` samples at a time, whatever a stream's length.
+    """
     infos = [_metadata(s) for s in streams]
-    payloads: list = [None] * len(streams)
-    data, at, owner, base = b"".join(streams), [], [], 0
+    backs = {}
+    for _, _, table, _, _ in infos:
+        if table not in backs:
+            backs[table] = np.zeros(256, np.uint8)
+            backs[table][sample_table(table) + 128] = np.arange(256)
+    pcm: list[list[bytes]] = [[] for _ in streams]
+    sums = [hashlib.md5() for _ in streams]
+    at: list[list[int]] = []  # where each stream's frames begin, and its end
+    sizes: list[list[int]] = []
+
+    def take(d: int, x: np.ndarray) -> None:
+        sums[d].update(x.astype(np.int8).tobytes())
+        pcm[d].append(backs[infos[d][2]][x + 128].tobytes())
+
     for d, (s, (samples, _, _, points, first)) in enumerate(zip(streams, infos, strict=True)):
         if sum(p[2] for p in points) == samples and points:
-            at += [base + first + p[1] for p in points]
-            owner += [d] * len(points)
+            at.append([first + p[1] for p in points] + [len(s)])
+            sizes.append([p[2] for p in points])
         else:  # a stream without a point for each frame is walked frame by frame
-            end, parts = first, []
-            while end < len(s):
-                x, n, e = decode_frames(s, [end])
-                parts.append((x, int(n[0]), end))
-                end = int(e[0])
-            payloads[d] = parts
-        base += len(s)
-    if at:
-        x, n, ends = decode_frames(data, at)
-        where = np.cumsum(n) - n
-        for f, d in enumerate(owner):
-            if payloads[d] is None:
-                payloads[d] = []
-            payloads[d].append((x[where[f] : where[f] + n[f]], int(n[f]), at[f]))
-    out, base = [], 0
-    for s, (samples, md5, table, _, _), parts, d in zip(streams, infos, payloads, range(len(streams)), strict=True):
-        x = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        if len(x) != samples or hashlib.md5(x.astype(np.int8).tobytes()).digest() != md5:
+            at.append([first])
+            sizes.append([])
+            longest = int.from_bytes(s[15:18], "big") or len(s)
+            while at[d][-1] < len(s):
+                x, n, e = decode_frames(s[at[d][-1] : at[d][-1] + longest], [0])
+                take(d, x)
+                sizes[d].append(int(n[0]))
+                at[d].append(at[d][-1] + int(e[0]))
+    for run in _runs([n if not done else [] for n, done in zip(sizes, pcm, strict=True)]):
+        data = b"".join(streams[d][at[d][a] : at[d][b]] for d, a, b in run if b > a)
+        begin, base = [], 0
+        for d, a, b in run:
+            begin += [base + k - at[d][a] for k in at[d][a:b]]
+            base += at[d][b] - at[d][a]
+        if not begin:
+            continue
+        x, n, _ = decode_frames(data, begin)
+        if n.tolist() != [k for d, a, b in run for k in sizes[d][a:b]]:
+            raise ValueError("frames don't match the seek table")
+        where = 0
+        for d, a, b in run:
+            size = sum(sizes[d][a:b])
+            if size:
+                take(d, x[where : where + size])
+            where += size
+    out = []
+    for d, (samples, md5, _, _, _) in enumerate(infos):
+        if sum(sizes[d]) != samples or sums[d].digest() != md5:
             raise ValueError("samples don't match the stream's MD5")
-        back = np.zeros(256, np.uint8)
-        back[sample_table(table) + 128] = np.arange(256)
-        offset, blocks = 0, []
-        for _, size, a in parts:
-            blocks.append((offset, size, a - base if a >= base and at else a))
-            offset += size
-        out.append((back[x + 128].tobytes(), blocks))
-        base += len(s)
+        offsets = np.cumsum([0, *sizes[d]]).tolist()
+        out.append((b"".join(pcm[d]), list(zip(offsets[:-1], sizes[d], at[d][: len(sizes[d])], strict=True))))
+        pcm[d] = []
     return out
 
 
@@ -427,41 +469,43 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(data), data + bytes(-len(data) % UNIT or (0 if data else UNIT))
 
 
-def _batches(items: list[bytes]) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for x in items:
-        part.append(x)
-        size += len(x)
-        if size >= BATCH:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Buffer | None]]]:
+    """Rows with the bytes of one column, about ``BATCH`` bytes together; a longer value comes alone or last."""
+    first, size, part = 0, 0, []
+    for k, x in enumerate(batch.column(column)):
+        part.append(x.as_buffer())
+        size += len(part[-1] or b"")
+        if size >= BATCH or k + 1 == batch.num_rows:
+            yield batch.slice(first, k + 1 - first), part
+            first, size, part = k + 1, 0, []
 
 
-def encode_column(docs: DataFrame, table: str = "text") -> DataFrame:
+def encode_column(docs: DataFrame, table: str = "text", lpc_order: int = LPC_ORDER) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a FLAC stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sizes, payloads = zip(*map(padded, part.column(1).to_pylist()), strict=True)
-                media = [s for group in _batches(list(payloads)) for s in encode(group, table)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield from encode_batch(batch, table, lpc_order)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def encode_batch(batch: pa.RecordBatch, table: str = "text", lpc_order: int = LPC_ORDER) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as rows (doc_id, n_bytes, media), a few at a time."""
+    for part, texts in _groups(batch, 1):
+        sizes = [len(t or b"") for t in texts]
+        media = encode([b"".join([t or b"", bytes(-n % UNIT if n else UNIT)]) for t, n in zip(texts, sizes, strict=True)], table, lpc_order)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """(doc_id, block, sample_offset, n_samples, byte_offset, pcm): decoded blocks; a reader can seek by either offset."""
     names = ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                found = [x for group in _batches(part.column(1).to_pylist()) for x in decode(group)]
+            for part, streams in _groups(batch, 1):
+                found = decode([s.to_pybytes() for s in streams])
                 rows = [(d, i, a, n, at, pcm[a : a + n]) for d, (pcm, blocks) in zip(part.column(0).to_pylist(), found, strict=True) for i, (a, n, at) in enumerate(blocks)]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "pcm" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
@@ -471,9 +515,12 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 def feature(pcm: bytes, blocks: list) -> str:
     """Loudness and shape of a signal of 8-bit samples, in whole numbers: blocks, peak, energy and crossings of the mean."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    above = x * len(x) >= x.sum()
-    return f"blocks={len(blocks)};peak={int(np.abs(x).max())};energy={int((x * x).sum() * 1000 // len(x))};crossings={int((above[1:] != above[:-1]).sum())}"
+    bytes_ = np.frombuffer(pcm, np.uint8)
+    parts = [bytes_[k : k + BATCH] for k in range(0, len(bytes_), BATCH)]
+    count, x = sum(np.bincount(p, minlength=256) for p in parts), np.arange(256) - 128
+    least = -(-int((count * x).sum()) // len(bytes_)) + 128  # bytes from this one on are above the mean, or on it
+    crossings = sum(int(np.count_nonzero(np.diff(p >= least))) for p in parts) + sum(int((a[-1] >= least) != (b[0] >= least)) for a, b in zip(parts, parts[1:]))
+    return f"blocks={len(blocks)};peak={int(np.abs(x[count > 0]).max())};energy={int((count * x * x).sum() * 1000 // len(bytes_))};crossings={crossings}"
 
 
 _DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -481,22 +528,24 @@ _DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 def media_digests(media: DataFrame) -> DataFrame:
     """Digests and features of each stored stream, decoded and verified."""
-    names = [x.split()[0] for x in _DDL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                streams = part.column(2).to_pylist()
-                found = [x for group in _batches(streams) for x in decode(group)]
-                rows = [
-                    (d, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm, blocks))
-                    for d, n, s, (pcm, blocks) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), streams, found, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n or n == "feature" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+            yield from digest_batch(batch)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _DDL)
 
 
+def digest_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n_bytes, media) as rows of digests, a few at a time."""
+    names = [x.split()[0] for x in _DDL.split(", ")]
+    for part, buffers in _groups(batch, 2):
+        rows = []
+        streams = [b.to_pybytes() for b in buffers]
+        for d, n, s, (pcm, blocks) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), streams, decode(streams), strict=True):
+            rows.append((d, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm, blocks)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n or n == "feature" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+
+
 def store_and_read(docs: DataFrame) -> DataFrame:
     return media_digests(written(encode_column(docs), "flac"))
