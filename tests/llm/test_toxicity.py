@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -10,18 +11,81 @@ from .common import no_documents, odd_documents
 
 @pytest.fixture(scope="module")
 def scored(spark, small):
-    got = {r.doc_id: r for r in queries.op6_toxicity(spark, small).collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    return result(spark, small)
+
+
+def result(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf_dir).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     return got, labels
 
 
-def test_held_out_documents_are_told_apart(scored):
-    got, labels = scored
+def held_out_figures(got, labels):
+    """(area under the curve, share of toxic documents predicted, share of others predicted) of held-out rows."""
     held = [(got[d].score, y) for d, y in labels.items() if got[d].held_out]
-    y = np.array([b for _, b in held])
-    s = np.array([a for a, _ in held])
+    s, y = (np.array(x) for x in zip(*held, strict=True))
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
-    assert auc > 0.9 and ((s >= 0.5) == y).mean() > 0.9
+    return auc, (s[y == 1] >= 0.5).mean(), (s[y == 0] >= 0.5).mean()
+
+
+def test_held_out_documents_are_told_apart(scored):
+    """45 toxic documents teach, 6 are held out; two of these have no word that stands out in the 45."""
+    auc, caught, wrong = held_out_figures(*scored)
+    assert auc > 0.93 and caught >= 0.6 and wrong == 0
+
+
+def test_held_out_documents_are_told_apart_by_a_larger_sample(spark, small):
+    """352 toxic documents teach, 97 are held out."""
+    auc, caught, wrong = held_out_figures(*result(spark, small.replace("sf0.01", "sf0.1")))
+    assert auc > 0.95 and caught >= 0.8 and wrong <= 0.01
+
+
+def test_scores_equal_a_plain_calculation(scored, spark, small):
+    """The noisy-or of logistic sentence scores over all texts, word by word from the trained weights."""
+    got, _ = scored
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    for r in docs.limit(300).collect():
+        clean = 1.0
+        for sentence in re.findall(r"[^.!?\n]*(?:[.!?\n]+|$)", (r.text or "").lower()):
+            if sentence or not r.text:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in set(re.findall(r"[^\W\d_]+", sentence)) for f in toxicity.word_features(w))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert got[r.doc_id].score == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_training_against_a_plain_descent():
+    """The gradient of the penalised likelihood is near zero for the bias: the mean share explained is that of the labels."""
+    texts = [f"Some calm words here. {'You are vile today.' if k % 3 == 0 else 'You are kind today.'} Number {k}." for k in range(60)]
+    toxic = np.array([int(k % 3 == 0) for k in range(60)])
+    score = toxicity.fit(texts, toxic).scorer()
+    p = np.array([score(t)[0] for t in texts])
+    assert (p[toxic == 1] > 0.8).all() and (p[toxic == 0] < 0.2).all()
+    assert [t[a:b] for t in texts[:1] for a, b, _ in score(t)[1]] == [" You are vile today."]
+
+
+def test_words_of_a_text_are_bounded_by_whole_sentences():
+    long = ". ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here" for k in range(9000))
+    words, ends = toxicity.sentence_words(long, {})
+    assert len(words) <= toxicity.WORDS and ends[-1] == len(words) and set(np.diff(ends, prepend=0).tolist()) == {2}
+    one = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(9000))
+    assert len(toxicity.sentence_words(one, {})[0]) == toxicity.WORDS
+    assert toxicity.sentence_words("a b a. ", {})[1].tolist() == [2, 3] and toxicity.sentence_words(None, {})[0].tolist() == [toxicity.NO_WORD]
+
+
+def test_one_labelled_doc_id_with_seventeen_thousand_rows(spark, small):
+    """The model keeps the others' words, and so its decisions."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    plain = toxicity.train(docs, labels)
+    d = min(r.doc_id for r in labels.where("toxic = 0").collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    from pyspark.sql import functions as F
+
+    hot = spark.range(17_000).select(F.lit(d).alias("doc_id"), F.concat(F.lit("A calm day, row "), F.col("id").cast("string")).alias("text"))
+    model = toxicity.train(docs.select("doc_id", "text").unionByName(hot), labels)
+    assert len(model.weights) > 0.9 * len(plain.weights)
+    a, b = model.scorer(), plain.scorer()
+    texts = [r.text for r in docs.collect()]
+    assert np.mean([(a(t)[0] >= 0.5) == (b(t)[0] >= 0.5) for t in texts]) > 0.99
 
 
 def test_folds_and_decisions(scored, spark, small):

@@ -5,12 +5,19 @@ A sentence's score is the logistic of a sum over its distinct words; a document'
 sentences by their share, so that labels of documents teach which sentences offend. A word's weight is the sum over
 its own feature and those of its beginnings, so that unseen endings of a known stem count too.
 
-Training takes a bounded sample of labelled rows (``max_rows``, lowest hashes of doc_id first) in one task; all texts
-are scored where they are read, without a shuffle. The model is a table of at most ``features`` weights.
+Training takes a bounded sample of labelled rows in one task: ``max_rows`` doc_ids, lowest hashes first, and at most
+twice as many texts of them. Texts become numbers of words where they are read; a text of more than ``WORDS`` word places
+(distinct words of its sentences) gives as many, whole sentences by the lowest hashes, so one task gets a bounded number
+of bytes. All texts are scored whole where they are read, without a shuffle. The model is a table of at most
+``FEATURES`` weights.
+
+Features that stand out in toxic documents (``Z`` standard errors) learn under a weak penalty, all others under a strong
+one: words of a few documents could otherwise learn the sample by heart.
 
 Defined results: null text is empty and has one sentence without words; its score is the bias alone. Labels of null
 doc_id or null toxic are left out; where a doc_id has several labels, any 1 counts. Of the sample's texts with equal
-doc_id the distinct ones count, at most ``TEXTS`` of each (lowest hashes), so that none crowds out another. Without usable labels of both kinds the model has no weights and so low a bias that no row is predicted toxic.
+doc_id the distinct ones count once, at most ``TEXTS`` of each (lowest hashes), so that none crowds out another. Without
+usable labels of both kinds the model has no weights and so low a bias that no row is predicted toxic.
 An empty table gives no rows. A row with null doc_id is scored and counts as held out. Other columns are ignored by
 ``score_documents`` and kept by ``keep_clean``.
 """
@@ -33,10 +40,14 @@ from pyspark.sql import functions as F
 MAX_ROWS = 8000
 #: Distinct texts of one doc_id that training takes at most.
 TEXTS = 8
-#: Size of the hashed weight table; share of the training documents, and number at least, that must have a feature.
-FEATURES, MIN_SHARE, MIN_DOCS = 1 << 18, 1 / 400, 3
+#: Word places of one text that training takes at most.
+WORDS = 4096
+#: Size of the hashed weight table; training documents that must have a feature; how far its toxic ones must stand out.
+FEATURES, MIN_DOCS, Z = 1 << 18, 3, 3.3
 STEMS = (4, 5)
-EPOCHS, RATE, RIDGE, START = 120, 0.1, 5e-5, -6.0
+#: Penalties on weights of features that stand out, and of others.
+RIDGE, WEAK = 5e-5, 2e-3
+EPOCHS, RATE, START = 120, 0.1, -6.0
 #: The bias without usable labels: so low that no number of sentences adds up to a toxic document.
 UNTAUGHT = -60.0
 
@@ -94,46 +105,73 @@ class Model:
         return score
 
 
+def word_number(word: str) -> int:
+    """The word's features in one number, 19 bits each; those it lacks are ``FEATURES``."""
+    a, b, c = (word_features(word) + [FEATURES] * 2)[:3]
+    return a << 38 | b << 19 | c
+
+
+#: A sentence without words.
+NO_WORD = FEATURES << 38 | FEATURES << 19 | FEATURES
+
+
+def sentence_words(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct words of each sentence, one sentence behind the other, and where each ends."""
+    lower, found = (text or "").lower(), []
+    for a, b in sentences(lower):
+        words = set(_WORD.findall(lower, a, b))
+        for w in words:
+            if w not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[w] = word_number(w)
+        found.append(sorted({known[w] if w in known else word_number(w) for w in words}) or [NO_WORD])
+    if sum(map(len, found)) > WORDS:
+        room, order = WORDS, sorted(range(len(found)), key=lambda k: zlib.crc32(np.array(found[k]).tobytes()))
+        kept = []
+        for k in order:
+            if len(found[k]) <= room or not kept:
+                found[k] = found[k][:room]
+                kept.append(k)
+                room -= len(found[k])
+        found = [found[k] for k in sorted(kept)]
+    return np.array([w for f in found for w in f], np.int64), np.cumsum([len(f) for f in found])
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Full-batch training on documents' labels."""
-    if not len(texts) or toxic.min() == toxic.max():
+    known: dict[str, int] = {}
+    return fit_words([sentence_words(t, known) for t in texts], toxic)
+
+
+def fit_words(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
+    """Full-batch training on documents' labels; ``docs``: words and sentence ends of each."""
+    if not len(docs) or toxic.min() == toxic.max():
         return Model()
-    number: dict[str, int] = {}
-    words, sentence_ends, doc_ends = [], [], []
-    for text in texts:
-        lower = text.lower()
-        for a, b in sentences(lower):
-            found = sorted(set(_WORD.findall(lower, a, b)))
-            words += [number.setdefault(w, len(number)) for w in found] or [number.setdefault("", len(number))]
-            sentence_ends.append(len(words))
-        doc_ends.append(len(sentence_ends))
-    occ = np.array(words)
+    n_words, n_sentences = (np.array([len(x[k]) for x in docs]) for k in (0, 1))
+    kinds, occ = np.unique(np.concatenate([w for w, _ in docs]), return_inverse=True)
+    sentence_ends = np.concatenate([e for _, e in docs]) + np.repeat(np.cumsum(n_words) - n_words, n_sentences)
     s_at = np.concatenate([[0], sentence_ends[:-1]])
-    d_at = np.concatenate([[0], doc_ends[:-1]])
-    doc_of = np.repeat(np.arange(len(texts)), np.diff([0, *doc_ends]))
-    sent_of = np.repeat(np.arange(len(sentence_ends)), np.diff([0, *sentence_ends]))
-    lists = [word_features(w) if w else [] for w in number]
-    f_word = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    raw = np.array([f for x in lists for f in x], np.int64)
-    ids, feat = np.unique(raw, return_inverse=True)
-    # documents that have each feature
-    pair = np.unique(np.stack([doc_of[sent_of], occ]), axis=1)
-    spread = np.zeros(len(ids))
-    by_word = np.bincount(pair[1], minlength=len(lists))
-    np.add.at(spread, feat, by_word[f_word])
-    used = (spread >= max(MIN_DOCS, MIN_SHARE * len(texts)))[feat]
+    d_at = np.cumsum(n_sentences) - n_sentences
+    doc_of = np.repeat(np.arange(len(docs)), n_sentences)
+    sent_of = np.repeat(np.arange(len(sentence_ends)), np.diff(sentence_ends, prepend=0))
+    raw = np.stack([kinds >> 38, kinds >> 19, kinds], axis=1) & ((1 << 19) - 1)
+    f_word, at = np.nonzero(raw < FEATURES)
+    ids, feat = np.unique(raw[f_word, at], return_inverse=True)
+    spread, z = _telling(doc_of[sent_of], occ, f_word, feat, len(ids), toxic.astype(bool))
+    used = (spread >= MIN_DOCS)[feat]
     f_word, feat = f_word[used], feat[used]
+    ridge = np.where(z >= Z, RIDGE, WEAK)
 
     w, b = np.zeros(len(ids)), START
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     y = toxic.astype(bool)
     for epoch in range(1, EPOCHS + 1):
-        of_word = np.bincount(f_word, w[feat], len(lists))
+        of_word = np.bincount(f_word, w[feat], len(kinds))
         z = np.add.reduceat(of_word[occ], s_at) + b
         clean = np.add.reduceat(-np.logaddexp(0, z), d_at)  # log of the chance that no sentence offends
         share = np.where(y, -1 / np.maximum(np.expm1(np.clip(-clean, 1e-9, 50)), 1e-9), 1.0)
-        g = share[doc_of] * np.exp(-np.logaddexp(0, -z)) / len(texts)
-        gw = np.bincount(feat, np.bincount(occ, g[sent_of], len(lists))[f_word], len(ids)) + RIDGE * w
+        g = share[doc_of] * np.exp(-np.logaddexp(0, -z)) / len(docs)
+        gw = np.bincount(feat, np.bincount(occ, g[sent_of], len(kinds))[f_word], len(ids)) + ridge * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -144,26 +182,57 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(float(b), dict(zip(ids[keep].tolist(), w[keep].tolist(), strict=True)))
 
 
+def _telling(doc: np.ndarray, word: np.ndarray, f_word: np.ndarray, feat: np.ndarray, n: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents have each feature, and how far it stands out in toxic ones.
+
+    That is the difference of its shares of toxic and of other documents, over its standard error if there were none.
+    """
+    pair = np.unique(np.stack([doc, word]), axis=1)
+    size = np.bincount(f_word, minlength=int(word.max()) + 1)
+    first, many = np.cumsum(size) - size, size[pair[1]]
+    at = np.repeat(first[pair[1]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    both = np.unique(np.repeat(pair[0], many) * n + feat[at])
+    every = np.bincount(both % n, minlength=n)
+    bad = np.bincount(both % n, toxic[both // n], n)
+    a, b = toxic.sum(), (~toxic).sum()
+    share = every / len(toxic)
+    z = (bad / a - (every - bad) / b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / a + 1 / b))
+    return every, z
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        words, ends = [], []
+        for text in batch.column(3).to_pylist():
+            w, e = sentence_words(text, known)
+            words.append(w.tobytes())
+            ends.append(e.astype(np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "toxic", "h", "words", "ends"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on the labelled rows that aren't held out, at most ``max_rows`` of them."""
     spark = docs.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # The sample has at most max_rows rows of two numbers, so it is broadcast; of the texts only those found are shuffled.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    # The sample has at most max_rows rows of two numbers, so it is broadcast; only the words of its texts are shuffled.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    words = found.select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text").mapInArrow(_words, "doc_id long, toxic int, h long, words binary, ends binary")
+    once = words.groupBy("doc_id", "toxic", "h").agg(F.first("words").alias("words"), F.first("ends").alias("ends"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
     # first texts come before second ones, so the cut leaves each doc_id of the sample one at least
-    rows = found.withColumn("nth", nth).where(F.col("nth") <= TEXTS).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows).coalesce(1).sortWithinPartitions("doc_id", "nth")
+    rows = once.withColumn("nth", nth).where(F.col("nth") <= TEXTS).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows).coalesce(1).sortWithinPartitions("doc_id", "nth")
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
         if parts:
             rows = pd.concat(parts)
-            model = fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+            model = fit_words([(np.frombuffer(w, np.int64), np.frombuffer(e, np.int64)) for w, e in zip(rows["words"], rows["ends"], strict=True)], rows["toxic"].to_numpy())
             yield pd.DataFrame({"feature": [-1, *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     weights = rows.mapInPandas(one, "feature long, weight double").collect()
