@@ -41,7 +41,7 @@ MIN_IDS, MEAN_BITS, MAX_IDS = 64, 8, 2048
 WINDOW = 16
 FAN_OUT = 256
 #: Digests that an encoding task remembers, so as not to give a chunk twice.
-SENT = 200_000
+SENT = 100_000
 
 _RAW = pa.schema([("kind", pa.string()), ("uid", pa.int64()), ("h", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("lens", pa.binary()), ("root", pa.binary()), ("payload", pa.binary())])
 _RAW_DDL = "kind string, uid long, h binary, doc_id long, n_tokens long, hashes binary, lens binary, root binary, payload binary"
