@@ -99,3 +99,111 @@ def test_odd_rows(spark):
     got = D.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long"))
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got.collect()) == sorted([("1", "None", "", 0), ("None", "u", LONG.strip(), len(LONG.strip())), ("1", "u", "", 0), ("1", "u", "", 0)])
     assert D.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LINKS = "<div>" + "".join(f'<a href="/{k}">Some other page of this site</a> ' for k in range(12)) + "</div>"
+PLAIN = page(f"{LINKS}<div><h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>Legal line.</div>")
+
+
+def test_density_chooses_where_no_name_helps():
+    """No article, main, class or id: link lists and thin lines go, short paragraphs beside long ones stay."""
+    assert D.main_text(PLAIN) == f"Title\n\n{LONG.strip()}\n\nShort.\n\n{LONG.strip()}"
+
+
+def test_without_densities_the_text_is_another(monkeypatch):
+    kept = D.main_text(PLAIN)
+    monkeypatch.setattr(D, "density", lambda *a: 0.0)
+    without = D.main_text(PLAIN)
+    assert without != kept and "Some other page" in without and "Legal line." in without
+
+
+def test_density_overrules_a_name_that_holds_all_text():
+    assert D.main_text(page(f'<div class="widget"><p>{LONG}</p><p>{LONG}</p></div><div>Legal line.</div>')) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_of_two_articles_the_denser_one_is_taken():
+    teaser = '<article><h2>Another</h2><p>A few words. <a href="/x">Read more of it</a></p></article>'
+    assert D.main_text(page(f"{teaser}<article><p>{LONG}</p><p>{LONG}</p></article>{teaser}")) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_a_heading_before_the_chosen_part_stays():
+    assert D.main_text(page(f"<h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p></div><h3>Elsewhere</h3>")) == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def brute_choice(root):
+    """The node of the largest density sum and the path threshold, each figure counted anew for each node."""
+    import math
+
+    kids = lambda n: [x for x in n.parts if isinstance(x, D.Node) and not x.drop]
+    below = lambda n: [y for x in kids(n) for y in [x, *below(x)]]
+    chars = lambda n: sum(len(" ".join(x.split())) for m in [n, *below(n)] for x in m.parts if isinstance(x, str))
+
+    def links(n):
+        if n.name == "a":
+            return chars(n), len(below(n)) + 1
+        found = [links(x) for x in kids(n)]
+        return sum(f[0] for f in found), sum(f[1] for f in found)
+
+    total_chars, (total_links, _) = chars(root), links(root)
+
+    def density(n):
+        c, t, (lc, lt) = chars(n), max(1, len(below(n))), links(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + total_links / total_chars * c + math.e)
+        return c / t * math.log(max(1.0, c * t / (max(1, lc) * max(1, lt)))) / math.log(max(2.0, base))
+
+    def out(n):
+        return n is not None and (n.mark or out(n.parent))
+
+    nodes = [n for n in [root, *below(root)] if n.name in D.BLOCK]
+    sums = [(sum(density(x) for x in kids(n) if not x.mark), out(n), n) for n in nodes]
+    best = max(s for s, _, _ in sums)
+    free = max(s for s, marked, _ in sums if not marked)
+    least = free if free >= best * D.TIE else best
+    n = next(n for s, marked, n in sums if s == least and not (least == free and marked))
+    path = [n]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return n, min(map(density, path))
+
+
+def test_choice_against_brute_force_over_the_table(spark, tiny):
+    for r in spark.read.parquet(f"{tiny}/pages.parquet").collect() + [type("R", (), {"html": PLAIN})]:
+        root = D.parse(r.html or "")
+        node, threshold = brute_choice(root)
+        got, least = D.choose(D.measure(root))
+        assert got is node and least == pytest.approx(threshold)
+
+
+@pytest.mark.parametrize(
+    "raw,text",
+    [
+        ('a <a href="x>y tail', "a y tail"),
+        ("<p>one <a href='x>two</a> three</p>", "one two three"),
+        ('<p>a <b title="x > y">bold</b> c</p>', "a bold c"),
+        ("&<b>lt;</b>", "&lt;"),
+        ("&am<!-- x -->p;", "&amp;"),
+        ("a &amp;lt; b", "a &lt; b"),
+        ("x <3 y <", "x <3 y <"),
+        ("<SCRIPT>var a = '<p>no</p>';</SCRIPT >seen", "seen"),
+    ],
+)
+def test_odd_markup(raw, text):
+    assert D.main_text(raw) == text
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>x" + "<i>" * n + "</b>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<ul>" + "<i>" * n + "<li>a" * n, lambda n: '<a href="x>' * n, lambda n: "<a '\">" * n])
+def test_time_is_linear_in_hostile_pages(make):
+    """Four times the page takes about four times as long, not sixteen."""
+    import time
+
+    def seconds(n):
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            D.main_text(make(n))
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(16_000) < 9 * max(seconds(4_000), 0.01)

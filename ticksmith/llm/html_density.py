@@ -5,11 +5,14 @@ Each page becomes a tree of elements. A node's composite density is its characte
     C/T * log_b( C*T / (LC*LT) ),  b = ln( C/(C-LC) * LC + LC_body/C_body * C + e )
 
 with C, T the characters and tags below it and LC, LT those of links. The density sum of a node adds its children's
-densities. The threshold is the smallest density on the path from the body to the node of the largest sum; nodes that
-reach it are content, each by its subtree of largest sum. The article is the ``article`` or ``main`` element around
-the densest node; without one, the lowest node above all content and, beside its path to the body, headings, paragraphs
-and lists that aren't mostly links. Scripts, menus, headers, footers, sidebars, notices, adverts,
-forms and comments are cut off before densities are taken, by element, role, and words of class and id.
+densities, but for marked ones. The node of the largest sum is chosen; the threshold is the smallest density on its path
+to the body. Nodes that reach the threshold are content, each by its subtree of largest sum, and the article is the
+lowest node on the path above all content, or the ``article`` or ``main`` element next above it. Headings that stand
+before it on the path stay.
+
+Scripts, styles, forms and hidden elements are cut off before densities are taken. Elements, roles, and words of class
+and id that name menus, headers, footers, sidebars, notices, adverts and comments only break ties: such a node isn't
+chosen as long as another has a tenth of its density sum, isn't content elsewhere, and is left out of the article.
 
 Blocks are block elements' texts: references decoded, white space made one space, trimmed, joined by blank lines.
 
@@ -33,28 +36,38 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-DROP = {"script", "style", "noscript", "template", "head", "title", "nav", "menu", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "iframe", "object", "embed", "svg", "math", "canvas", "dialog", "audio", "video", "search", "noembed", "noframes"}
-DROP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-DROP_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "recommended", "replies", "reply", "respond", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+DROP = {"script", "style", "noscript", "template", "head", "title", "form", "button", "select", "option", "textarea", "input", "label", "iframe", "object", "embed", "svg", "math", "canvas", "dialog", "audio", "video", "search", "noembed", "noframes"}
+MARK = {"nav", "menu", "footer", "aside"}
+MARK_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+MARK_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "recommended", "replies", "reply", "respond", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
 #: Elements whose start ends an open one of the listed names.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr"}, {"table"})}
 #: An end tag never reaches over these.
 SCOPE = {"table", "td", "th", "article", "main", "body", "html", "div", "section", "nav", "aside", "footer", "header", "form", "ul", "ol", "dl"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)", re.S)
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What follows a start tag's name; a quote that is never closed is an ordinary character.
+_TAG_REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>")
 _ATTR = re.compile(r"([^\s/=\"'>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?", re.S)
 _USED = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: A marked node is chosen only if no other one has this share of its density sum.
+TIE = 1 / 10
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class Node:
-    __slots__ = ("name", "parent", "block", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "block", "depth", "parts", "kids", "drop", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total", "sum")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, mark: bool = False):
+        self.name, self.parent, self.drop, self.mark = name, parent, drop, mark
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.block = self if parent is None or name in BLOCK else parent.block  # the nearest block around the place
-        self.parts: list[Node | str] = []  # children and texts in page order
+        self.parts: list[Node | str] = []  # children and texts in page order; references are decoded
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -66,180 +79,224 @@ def _attributes(raw: str) -> dict[str, str]:
     return given
 
 
-def _dropped(name: str, raw: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside``: an article or main stands around it."""
+def _judge(name: str, raw: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is cut off, and whether its name says that it's no part of an article.
+
+    ``inside``: an article or main stands around it.
+    """
     if name in DROP:
-        return True
-    if name == "header":
-        return not inside  # an article's own header has its title
-    given = _attributes(raw)
-    if not given:
-        return False
-    if given.get("role", "").lower() in DROP_ROLE or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True
-    if name in ("body", "html", "article", "main"):
-        return False
+        return True, True
+    given = _attributes(raw) if raw else {}
+    if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
+        return True, True
+    if name in MARK or name == "header" and not inside or given.get("role", "").lower() in MARK_ROLE:
+        return False, True
+    if not given or name in ("body", "html", "article", "main"):
+        return False, False
     words = {w for key in ("class", "id") for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get(key, "")).lower())}
-    found = words & DROP_WORD
+    found = words & MARK_WORD
     # "content-with-sidebar" names a layout around the article, not the sidebar
-    return bool(found) and not words & {"article", "content", "main", "wrapper", "container", "layout", "page", "body", "text", "entry"} - ({"content"} if found & {"ad", "ads", "advert", "advertisement", "sponsored"} else set())
+    return False, bool(found) and not words & {"article", "content", "main", "wrapper", "container", "layout", "page", "body", "text", "entry"} - ({"content"} if found & {"ad", "ads", "advert", "advertisement", "sponsored"} else set())
+
+
+def _text(raw: str) -> str:
+    return html.unescape(raw) if "&" in raw else raw
+
+
+class _Open:
+    """The open elements: depths by name, so that no tag needs a walk over them."""
+
+    def __init__(self, root: Node):
+        self.node = self.root = root
+        self.depths: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def lowest(self, names) -> int:
+        """Depth of the innermost open element of one of the names; 0 for none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.node = node
+        self.depths.setdefault(node.name, []).append(node.depth)
+        if node.name in SCOPE:
+            self.scopes.append(node.depth)
+
+    def close(self, depth: int) -> None:
+        """Close all elements at ``depth`` and below."""
+        while self.node.depth >= max(depth, 1):
+            self.depths[self.node.name].pop()
+            if self.node.name in SCOPE:
+                self.scopes.pop()
+            self.node = self.node.parent
 
 
 def parse(page: str) -> Node:
-    """The page's tree; tags that aren't closed end with their block, as browsers end them."""
-    root = node = Node("html", None)
-    at, size = 0, len(page)
-    depth_article = 0
-    begun = set()  # names of elements so far; an end tag of no other name can close anything
+    """The page's tree; tags that aren't closed end with their block, as browsers end them. Time is linear in the page."""
+    root = Node("html", None)
+    open_ = _Open(root)
+    at, size, quotes = 0, len(page), True
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
-            node.parts.append(page[at:])
+            open_.node.parts.append(_text(page[at:]))
             break
         if lt > at:
-            node.parts.append(page[at:lt])
-        m = _TOKEN.match(page, lt)
-        if m is None:
-            node.parts.append("<")
-            at = lt + 1
+            open_.node.parts.append(_text(page[at:lt]))
+        start = _TAG_NAME.match(page, lt)
+        if start is None or page[lt + 1] == "/":
+            m = _OTHER.match(page, lt)
+            at = m.end() if m else lt + 1
+            if m is None:
+                open_.node.parts.append("<")
+            elif start is not None:
+                name = start[1].lower()
+                depth = open_.lowest((name,))
+                if depth and (name in SCOPE or not open_.scopes or open_.scopes[-1] < depth):
+                    open_.close(depth)
+                elif name == "br":
+                    open_.node.parts.append(" ")
             continue
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
-            up = node if name in begun else root
-            while up is not root and up.name != name:
-                if up.name in SCOPE and name not in SCOPE:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                while node is not up.parent:
-                    depth_article -= node.name in ("article", "main")
-                    node = node.parent
-            elif name == "br":
-                node.parts.append(" ")
-        elif m[2]:
-            name, raw = m[2].lower(), m[3]
-            if name in ("html", "body"):
-                if name == "body":
-                    while node is not root:
-                        node = node.parent
-                    depth_article = 0
-                continue
-            if name in BLOCK:
-                node = _end_paragraph(node, root)
-            if name in CLOSES:
-                names, limit = CLOSES[name]
-                up = node
-                while up is not root and up.name not in limit:
-                    if up.name in names:
-                        node = up.parent
-                        break
-                    up = up.parent
-            new = Node(name, node, _dropped(name, raw, depth_article > 0))
-            node.parts.append(new)
-            if name in VOID or raw.endswith("/") and name in ("svg", "path"):
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
-                at = end.end() if end else size
-                continue
-            node = new
-            begun.add(name)
-            depth_article += name in ("article", "main")
+        m = _TAG_REST.match(page, start.end()) if quotes else None
+        if m is None:  # quotes don't close up to the page's end; from here on they don't count
+            quotes = False
+            end = page.find(">", start.end())
+            raw, at = page[start.end() : end if end >= 0 else size], end + 1 if end >= 0 else size
+        else:
+            raw, at = m[0][:-1], m.end()
+        name = start[1].lower()
+        if name in ("html", "body"):
+            if name == "body":
+                open_.close(1)
+            continue
+        if name in BLOCK:  # a block ends an open paragraph or heading around it, with the inline elements left open in it
+            up = open_.node.block
+            if up is not root and (up.name == "p" or up.name in HEADINGS):
+                open_.close(up.depth)
+        if name in CLOSES:
+            names, limit = CLOSES[name]
+            if (depth := open_.lowest(names)) > open_.lowest(limit - names):
+                # of several open ones within the limit, the innermost is closed
+                open_.close(depth)
+        new = Node(name, open_.node, *_judge(name, raw, bool(open_.lowest(("article", "main")))))
+        open_.node.parts.append(new)
+        if name in VOID or raw.endswith("/") and name in ("svg", "path"):
+            continue
+        if name in RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size
+            continue
+        open_.push(new)
     return root
 
 
-def _end_paragraph(node: Node, root: Node) -> Node:
-    """A block ends an open paragraph or heading around it, with the inline elements left open in it."""
-    up = node.block
-    return up.parent if up is not root and up.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else node
-
-
-def _children(node: Node) -> list[Node]:
-    return [x for x in node.parts if isinstance(x, Node) and not x.drop]
-
-
 def _order(root: Node) -> list[Node]:
-    """Nodes that aren't cut off, parents first."""
+    """Nodes that aren't cut off, parents first; each gets its list of such children."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(reversed(_children(node)))
+        node.kids = kids = [x for x in node.parts if x.__class__ is Node and not x.drop]
+        if kids:
+            stack += kids[::-1]
     return out
 
 
+def density(c: int, t: int, lc: int, lt: int, part: float) -> float:
+    """Composite density of a node; ``part``: the body's share of characters in links."""
+    if not c:
+        return 0.0
+    t, lt = max(1, t), max(1, lt)
+    base = math.log(c / max(1, c - lc) * lc + part * c + math.e)
+    # at least 2, as nodes of few tags would otherwise divide by the logarithm of nearly 1
+    return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 2.0))
+
+
 def measure(root: Node) -> list[Node]:
     """Take characters, tags, densities and sums of all nodes; returns them parents first."""
     nodes = _order(root)
     for node in reversed(nodes):
-        own = sum(len(_SPACE.sub(" ", x).strip()) for x in node.parts if isinstance(x, str))
-        below = _children(node)
-        node.chars = own + sum(x.chars for x in below)
-        node.tags = len(below) + sum(x.tags for x in below)
-        link = node.name == "a"
-        node.link_chars = node.chars if link else sum(x.link_chars for x in below)
-        node.link_tags = node.tags + 1 if link else sum(x.link_tags for x in below)
+        chars = link_chars = link_tags = 0
+        tags = len(node.kids)
+        for x in node.parts:
+            if x.__class__ is str:
+                chars += len(_SPACE.sub(" ", x).strip())
+        for x in node.kids:
+            chars += x.chars
+            tags += x.tags
+            link_chars += x.link_chars
+            link_tags += x.link_tags
+        node.chars, node.tags = chars, tags
+        node.link_chars, node.link_tags = (chars, tags + 1) if node.name == "a" else (link_chars, link_tags)
     part = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(c / max(1, c - lc) * lc + part * c + math.e)
-        # at least 2, as nodes of few tags would otherwise divide by the logarithm of nearly 1
-        node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 2.0))
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, part)
     for node in nodes:
-        node.total = sum(x.density for x in _children(node))
+        total = free = 0.0
+        for x in node.kids:
+            total += x.density
+            if not x.mark:
+                free += x.density
+        node.total, node.sum = total, free
     return nodes
 
 
+def choose(nodes: list[Node]) -> tuple[Node, float]:
+    """The node of the largest density sum, marked ones only beyond a tie, and the threshold on its path to the body."""
+    marked: dict[Node, bool] = {}
+    for node in nodes:
+        marked[node] = node.mark or node.parent is not None and marked[node.parent]
+    whole = [n for n in nodes if n is n.block]
+    best = max(whole, key=lambda n: n.sum)
+    free = max((n for n in whole if not marked[n]), key=lambda n: n.sum)
+    if free.sum >= TIE * best.sum:
+        best = free
+    threshold, up = best.density, best
+    while up.parent is not None:
+        up = up.parent
+        threshold = min(threshold, up.density)
+    return best, threshold
+
+
 def article(root: Node) -> Node:
-    """The node whose text is the page's article."""
+    """The node whose text, without what is marked or cut off, is the page's article."""
     nodes = measure(root)
-    best = max(nodes, key=lambda n: n.total)
+    best, threshold = choose(nodes)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    named = [n for n in path if n.name in ("article", "main")]
-    if named:
-        return named[-1] if sum(n.name == named[-1].name for n in nodes) == 1 else named[0]
+    for node in path:
+        node.mark = False
     # the largest sum and its place within each subtree, children first
-    top: dict[int, Node] = {}
+    top: dict[Node, Node] = {}
+    end: dict[Node, int] = {}  # places of a subtree are one range of page order
+    place = {node: k for k, node in enumerate(nodes)}
     for node in reversed(nodes):
-        top[id(node)] = max([node, *(top[id(x)] for x in _children(node))], key=lambda n: n.total)
-    content, stack = [], [root]
+        most = node
+        for x in node.kids:
+            if not x.mark and top[x].sum > most.sum:
+                most = top[x]
+        top[node] = most
+        end[node] = end[node.kids[-1]] if node.kids else place[node] + 1
+    first = last = place[best]
+    stack = [root]
     while stack:
         node = stack.pop()
-        if node.density >= threshold and node.chars:
-            content.append(top[id(node)] if node.total or _children(node) else node)
-            stack.extend(_children(node))
-    # the lowest node on the path that is above all content: places of a subtree are one range of page order
-    place = {id(n): k for k, n in enumerate(nodes)}
-    end = dict.fromkeys(place, 0)
-    for node in reversed(nodes):
-        end[id(node)] = max([place[id(node)] + 1, *(end[id(x)] for x in _children(node)[-1:])])
-    first, last = (f((place[id(n)] for n in content), default=place[id(best)]) for f in (min, max))
-    return _with_flow(next((n for n in path if place[id(n)] <= first and last < end[id(n)]), best), threshold)
-
-
-#: Elements that carry an article's text wherever they stand; others must reach the threshold.
-FLOW = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "dl", "blockquote", "pre", "table", "figure", "hgroup", "br", "hr", "b", "i", "em", "strong", "span", "a", "code", "u", "s", "small", "sub", "sup", "mark", "q", "cite", "img", "center"}
-
-
-def _with_flow(node: Node, threshold: float) -> Node:
-    """Climb to the body, so that short headings, paragraphs and lists around the densest part stay.
-
-    What stands beside the path is cut off if most of its text is links, or if it is a container under the threshold.
-    """
-    while node.parent is not None:
-        for x in _children(node.parent):
-            if x is not node and x.chars and (2 * x.link_chars > x.chars or x.name not in FLOW and x.density < threshold):
-                x.drop = True
-        node = node.parent
-    return node
+        if node.density >= threshold and node.chars and 2 * node.link_chars <= node.chars:
+            at = place[top[node] if node.sum else node]
+            first, last = min(first, at), max(last, at)
+        stack += [x for x in node.kids if not x.mark]
+    # the lowest node on the path that is above all content
+    k = next(k for k, n in enumerate(path) if place[n] <= first and last < end[n])
+    part = root.link_chars / root.chars if root.chars else 0.0
+    for j in range(k + 1, len(path)):  # text that stands in the path's nodes themselves
+        if any(density(len(x.strip()), 1, 0, 1, part) >= threshold for x in path[j].parts if isinstance(x, str) and not x.isspace()):
+            k = j
+    k = next((j for j in range(k, len(path)) if path[j].name in ("article", "main")), k)
+    # up to the body, only headings before the article stay
+    for node, up in zip(path[k:], path[k + 1 :]):
+        own = next(j for j, x in enumerate(up.parts) if x is node)
+        up.parts = [x for x in up.parts[:own] if isinstance(x, Node) and x.name in HEADINGS] + [node]
+    return root
 
 
 def blocks(node: Node) -> list[str]:
@@ -248,7 +305,7 @@ def blocks(node: Node) -> list[str]:
     run: list[str] = []
 
     def end() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+        text = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
             out.append(text)
@@ -260,7 +317,7 @@ def blocks(node: Node) -> list[str]:
             run.append(x)
         elif x is None:
             end()
-        elif x.drop:
+        elif x.drop or x.mark:
             if x.name in BLOCK:
                 end()
         elif x.name in ("br", "wbr"):
