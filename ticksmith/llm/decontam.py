@@ -1,7 +1,8 @@
 """Benchmark decontamination: word pairs find candidates, Smith-Waterman alignment decides.
 
 Test items come in blocks of at most ``BLOCK_ITEMS``, whose word pairs and words go to all tasks; each block meets all
-documents, so a benchmark of any size is handled and what is broadcast stays bounded. A document's window around an
+documents, so a benchmark of any size is handled. With several blocks, each one's result is written to the shared folder
+and its broadcast released before the next, so what is broadcast at once stays bounded. A document's window around an
 item's seeds is aligned with the item (match +2, mismatch -1, gap -1, over words). The pair counts if the best local
 alignment reaches ``threshold`` of the score of an exact copy.
 
@@ -17,21 +18,25 @@ documents costs each of them its own alignment and gathers nowhere.
 
 Defined results: words are lower-cased ``\\w+``; null text is empty and matches nothing. Items of null text or
 without words match nothing; those under ``MIN_WORDS`` words match whole, word by word (edited ones can't be told from
-chance), with score 1; equal items are each reported. Repeated documents each give their rows. A null doc_id stays null. Empty tables give no rows. Other columns are ignored by
-``find_leaks`` and kept by ``keep_clean``.
+chance), with score 1; equal items are each reported. Repeated documents each give their rows. A null doc_id stays null.
+Empty tables give no rows. Other columns are ignored by ``find_leaks`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticksmith.llm.storage import written
+
 BLOCK_ITEMS = 20_000
 STEPS, NEED, MIN_WORDS = (1, 2), 4, 8
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
@@ -217,15 +222,29 @@ def pair_counts(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[k])], names=["pair", "n"])
 
     total = np.zeros(len(items.keys), np.int64)
+    # At most two rows for each word of a block's items.
     for row in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
         total[row["pair"]] = row["n"]
+    shared.destroy()
     return total
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
-    for items in blocks(benchmark):
-        items.choose_seeds(pair_counts(docs, items), threshold)
-        yield docs.sparkSession.sparkContext.broadcast(items)
+def _seeded(docs: DataFrame, benchmark: DataFrame, threshold: float, step: Callable[[DataFrame, Broadcast], DataFrame]) -> list[DataFrame]:
+    """What ``step`` makes of ``docs``, or of its own last result where that has their columns, for each block of items."""
+    out: list[DataFrame] = []
+    waiting = blocks(benchmark)
+    items = next(waiting, None)
+    while items is not None:
+        source = out[-1] if out and out[-1].columns == docs.columns else docs
+        items.choose_seeds(pair_counts(source, items), threshold)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        made = step(source, shared)
+        items = next(waiting, None)
+        if items is not None or out:
+            made = written(made, "decontamination")
+            shared.destroy()
+        out.append(made)
+    return out
 
 
 _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
@@ -244,10 +263,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         return run
 
     ddl = "doc_id long, item_id long, score double, first_word long, end_word long"
-    found = docs.sparkSession.createDataFrame([], ddl)
-    for shared in _seeded(docs, benchmark, threshold):
-        found = found.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(finder(shared), ddl))
-    return found
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _seeded(rows, benchmark, threshold, lambda source, shared: source.mapInArrow(finder(shared), ddl))
+    return reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], ddl))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,7 +279,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         return run
 
-    kept = docs
-    for shared in _seeded(docs, benchmark, threshold):
-        kept = kept.mapInArrow(keeper(shared), docs.schema)
-    return kept
+    return [docs, *_seeded(docs, benchmark, threshold, lambda source, shared: source.mapInArrow(keeper(shared), docs.schema))][-1]
