@@ -463,9 +463,22 @@ def backtest_compare_costs(spark, sf_dir):
     return each.groupBy("series").agg(of("final", "free").alias("baseline_equity"), of("final", "costs").alias("costs_equity"), (of("final", "costs") - of("final", "free")).alias("equity_delta"), of("trades", "free").alias("trades"), of("dd", "free").alias("baseline_drawdown"), of("dd", "costs").alias("costs_drawdown"))
 
 
-@query()
+_GATED_SQL = f"""WITH RECURSIVE {Q.TICKS}, {Q.PX_TICKS}, {Q.bars('bars', 'px_ticks')}, {Q.RISK_INPUTS},
+one AS (SELECT exchange || '|' || symbol AS series, (row_number() OVER ({Q.SERIES})) - 1 AS i, count(*) OVER (PARTITION BY exchange, symbol) AS n, ts, close, {Q.crossover()} AS signal, slippage_pct, spread_pct, volatility_pct, kelly FROM risk),
+b AS MATERIALIZED (SELECT one.*, v.* FROM one, (VALUES ('gated', 0.0::DOUBLE, 0.0::DOUBLE), ('costs', 0.002::DOUBLE, 10.0::DOUBLE)) v(variant, fee, fx)), {Q.gated_backtest('b')},
+e AS (SELECT series, variant, i, equity, return_pct, CASE WHEN lag(equity) OVER w > 0 THEN equity / lag(equity) OVER w - 1.0 END AS ret FROM st WINDOW w AS (PARTITION BY series, variant ORDER BY i)),
+m AS (SELECT series, variant, arg_max(equity, i) AS final_equity, CASE WHEN max(equity) > 0 THEN (max(equity) - min(equity)) / max(equity) ELSE 0.0 END AS max_drawdown, avg(ret) AS mu, stddev_pop(ret) AS sd, stddev_pop(CASE WHEN ret < 0 THEN ret END) AS dn, count(ret) AS nr,
+  count(return_pct) AS trades, count(CASE WHEN return_pct > 0 THEN 1 END) AS wins, sum(CASE WHEN return_pct > 0 THEN return_pct END) AS gains, sum(CASE WHEN return_pct < 0 THEN -return_pct END) AS losses,
+  coalesce(avg(CASE WHEN return_pct > 0 THEN return_pct END), 0.0) AS avg_win, coalesce(avg(CASE WHEN return_pct < 0 THEN -return_pct END), 0.0) AS avg_loss, coalesce(avg(return_pct), 0.0) AS avg_trade_return FROM e GROUP BY ALL),
+x AS (SELECT *, CASE WHEN trades > 0 THEN wins / trades ELSE 0.0 END AS win_rate, round(final_equity / 100.0 - 1.0, 10) AS total_return FROM m)
+SELECT series, variant, {_rounded('final_equity', 'max_drawdown', 'win_rate', 'avg_win', 'avg_loss', 'avg_trade_return', 'total_return', places=4)}, trades, round(coalesce(CASE WHEN sd > 0 THEN mu / sd * sqrt(nr) END, 0.0), 4) AS sharpe_ratio,
+  round(coalesce(CASE WHEN dn > 0 THEN mu / dn * sqrt(nr) END, 0.0), 4) AS sortino_ratio, round(coalesce(gains / nullif(losses, 0), 0.0), 4) AS profit_factor, round(CASE WHEN trades > 0 THEN win_rate * avg_win - (1.0 - win_rate) * avg_loss ELSE 0.0 END, 4) AS expectancy,
+  round(CASE WHEN max_drawdown > 0 THEN total_return / max_drawdown ELSE 0.0 END, 4) AS calmar_ratio FROM x"""
+
+
+@query(_GATED_SQL, places=4)
 def backtest_with_risk(spark, sf_dir):
-    """All metrics of gated runs: drawdown stops feed back into entries, so SQL has no plain form of it."""
+    """All metrics of gated runs: drawdown stops feed back into entries."""
     rows = indicators.with_risk_inputs(_px_bars(spark, sf_dir)).withColumn("signal", indicators.moving_average_crossover(Series()))
     return analytics.run_metrics(folds.backtests(rows, {"gated": folds.BacktestConfig(), "costs": folds.BacktestConfig(costs=costs.CostModel.of("firi"))}, PAIR), 100.0)
 

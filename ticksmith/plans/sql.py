@@ -67,12 +67,13 @@ FILLS = """fills AS (
 _FILL_ORDER = "ts, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag"
 #: CTEs down to trips (closed) and numbered (all buys and valid sells).
 TRIPS = f"""{FILLS},
-f1 AS (SELECT *, sum(CASE WHEN side = 'buy' THEN 1 ELSE -1 END) OVER (PARTITION BY pair ORDER BY {_FILL_ORDER} ROWS UNBOUNDED PRECEDING) AS s, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS step FROM fills),
-f2 AS (SELECT *, s - step - least(0, coalesce(min(s) OVER (PARTITION BY pair ORDER BY {_FILL_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS queue FROM f1),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY {_FILL_ORDER}) AS k FROM f2 WHERE side = 'buy' OR queue > 0),
-trips AS (
+f0 AS MATERIALIZED (SELECT pair, ts, side, price, size, fee, row_number() OVER (PARTITION BY pair ORDER BY {_FILL_ORDER}) AS i, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS step FROM fills),
+f1 AS (SELECT *, sum(step) OVER (PARTITION BY pair ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM f0),
+f2 AS (SELECT *, s - step - least(0, coalesce(min(s) OVER (PARTITION BY pair ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS queue FROM f1),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY i) AS k FROM f2 WHERE side = 'buy' OR queue > 0),
+trips AS MATERIALIZED (
   SELECT s.pair, s.k, b.ts AS entry_time, b.price AS entry_price, s.ts AS exit_time, s.price AS exit_price, s.size, b.fee + s.fee AS total_fees, (s.price - b.price) * s.size AS gross_pnl, (s.price - b.price) * s.size - (b.fee + s.fee) AS net_pnl
-  FROM numbered s JOIN numbered b ON s.pair = b.pair AND s.k = b.k AND s.side = 'sell' AND b.side = 'buy')"""
+  FROM (SELECT * FROM numbered WHERE side = 'sell') s JOIN (SELECT * FROM numbered WHERE side = 'buy') b ON s.pair = b.pair AND s.k = b.k)"""
 
 EQUITY = "equity AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS source, o_totalprice AS equity FROM orders)"
 
@@ -108,3 +109,22 @@ def backtest(source: str) -> str:
     CASE WHEN {leave} THEN s.equity * (1 + {ret}) ELSE s.equity END, CASE WHEN {leave} THEN CASE WHEN s.pos > 0 THEN 'long' ELSE 'short' END END, CASE WHEN {leave} THEN s.entry END, CASE WHEN {leave} THEN {out} END, CASE WHEN {leave} THEN {ret} END,
     CASE WHEN {leave} THEN abs({out} - b.close) + abs(s.entry - b.close) END
   FROM st s JOIN {source} b ON b.series = s.series AND b.variant = s.variant AND b.i = s.i + 1)"""
+
+
+def gated_backtest(source: str) -> str:
+    """As ``backtest``, with the gate: ``source`` also has slippage_pct, spread_pct, volatility_pct and kelly."""
+    down = "(CASE WHEN s.peak > 0 THEN greatest(0.0, (s.peak - s.equity) / s.peak) ELSE 0.0 END)"
+    blocked = f"(b.slippage_pct > 0.03 OR b.spread_pct > 0.03 OR {down} > 0.02 OR b.volatility_pct > 0.1)"
+    base = "(CASE WHEN b.volatility_pct <= 0 THEN 1.0 ELSE least(1.0, 0.02::DOUBLE / b.volatility_pct) * b.kelly END)"
+    sized = f"greatest(0.0, least(1.0, {base}, 5000.0 / greatest(1.0, s.equity)))"
+    leave = "(s.pos <> 0 AND (b.i = b.n - 1 OR b.signal * s.pos <= 0))"
+    enter = f"(s.pos = 0 AND b.signal <> 0 AND NOT {blocked})"
+    out = price("b.close", "-s.pos", "b.fee", "b.fx")
+    ret = f"(s.pos * ({out} - s.entry) / s.entry)"
+    equity = f"(CASE WHEN {leave} THEN s.equity * (1 + s.size * {ret}) ELSE s.equity END)"
+    return f"""st AS (
+  SELECT series, variant, 0::BIGINT AS i, ts, 0::DOUBLE AS pos, 0::DOUBLE AS entry, 1::DOUBLE AS size, 100::DOUBLE AS equity, 100::DOUBLE AS peak, NULL::DOUBLE AS return_pct FROM {source} WHERE i = 0 AND n >= 2
+  UNION ALL
+  SELECT b.series, b.variant, b.i, b.ts, CASE WHEN {leave} THEN 0 WHEN {enter} THEN sign(b.signal) ELSE s.pos END::DOUBLE, CASE WHEN {enter} THEN {price('b.close', 'sign(b.signal)', 'b.fee', 'b.fx')} ELSE s.entry END,
+    CASE WHEN {enter} THEN {sized} ELSE s.size END::DOUBLE, {equity}, greatest(s.peak, {equity}), CASE WHEN {leave} THEN {ret} END
+  FROM st s JOIN {source} b ON b.series = s.series AND b.variant = s.variant AND b.i = s.i + 1)"""
