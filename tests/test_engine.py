@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ticksmith.functions import orderbook
 from ticksmith.functions import scalars as S
 from ticksmith.functions.costs import CostModel
-from ticksmith.operators import bars, folds, indicators, reconcile, risk, trades, walkforward
+from ticksmith.operators import bars, folds, indicators, reconcile, reports, risk, trades, walkforward
 from ticksmith.operators.indicators import Series
 from ticksmith.sources import market, sinks
 from ticksmith.streaming import bars as stream
@@ -241,3 +241,140 @@ def test_sinks(spark, tmp_path):
     ticks = tick_rows(spark, [(ts(k), 1.0, 2.0, 1.5, 1.0) for k in range(15)])
     sinks.append(ticks, f"{tmp_path}/t")
     assert [r.id for r in market.latest(spark.read.parquet(f"{tmp_path}/t"), 3).collect()] == [14, 13, 12]
+
+
+def test_recovered_orders_keep_what_the_venue_leaves_out(spark):
+    ddl = "order_id string, side string, size double, status string, filled_size double, fill_price double, fee double"
+    local = spark.createDataFrame([("1", "buy", 1.0, "OPEN", 0.5, 10.0, 0.1), ("2", "buy", 1.0, "OPEN", None, None, None)], ddl)
+    remote = spark.createDataFrame([("1", "buy", 1.0, "", None, None, None), ("3", "", None, "", None, None, None)], ddl)
+    got = {r.order_id: tuple(r)[1:] for r in reconcile.recover_orders(local, remote).collect()}
+    assert got == {"1": ("buy", 1.0, "OPEN", 0.5, 10.0, 0.1, True, False), "2": ("buy", 1.0, "OPEN", None, None, None, False, False), "3": ("unknown", 0.0, "SUBMITTED", None, None, 0.0, True, True)}
+
+
+def test_recovery_applies_fills_and_the_snapshot_wins(spark):
+    """A sent buy of 0.25 at 100 comes back filled with a fee of 0.25; then the venue's balances replace local ones."""
+    local = spark.createDataFrame([("a", "1", "buy", 0.25, 100.0, "SUBMITTED", None, None, None)], "account string, order_id string, side string, size double, price double, status string, filled_size double, fill_price double, fee double")
+    remote = spark.createDataFrame([("1", 1, "FILLED", 0.25, 100.0, 0.25)], "order_id string, seq long, status string, filled_size double, fill_price double, fee double")
+    start = spark.createDataFrame([("a", 1000.0, 0.0), ("b", 5.0, 1.0)], "account string, balance double, position double")
+    got = {r.account: (r.balance, r.position) for r in reconcile.apply_fills(reconcile.fill_deltas(local, remote, ["account"]), start, ["account"]).collect()}
+    assert got == {"a": (974.75, 0.25), "b": (5.0, 1.0)}
+    here = spark.createDataFrame([("NOK", got["a"][0]), ("BTC", got["a"][1])], "key string, amount double")
+    there = spark.createDataFrame([("NOK", 850.0), ("BTC", 0.25)], "key string, amount double")
+    assert {r.key: (r.matched, r.merged_amount) for r in reconcile.reconcile_balances(here, there).collect()} == {"NOK": (False, 850.0), "BTC": (True, 0.25)}
+
+
+def test_fills_against_a_plain_account(spark):
+    """Random orders with missing values and repeated states, one after another."""
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    rows = [(f"a{k % 3}", k, pick("buy", "sell"), pick(1.0, 2.0), pick(None, 10.0), pick("SUBMITTED", "FILLED", "PARTIALLY_FILLED"), pick(None, 0.5), None, pick(None, 0.1)) for k in range(300)]
+    back = [(k, k, pick("FILLED", "PARTIALLY_FILLED", "OPEN", "filled", None), pick(None, 0.5, 1.5), pick(None, 0.0, 11.0), pick(None, 0.3)) for k in range(300)]
+    money, held = {f"a{k}": 100.0 for k in range(3)}, {f"a{k}": 2.0 for k in range(3)}
+    for (account, _, side, size, price, status, filled, _, fee), (_, _, now, total, paid, cost) in zip(rows, back, strict=True):
+        if (now or "").upper() not in ("FILLED", "PARTIALLY_FILLED"):
+            continue
+        known = total if total is not None else (0.0 if status in ("FILLED", "PARTIALLY_FILLED") else size)
+        delta = known - (filled or 0.0)
+        if delta > 0:
+            sign = 1.0 if side == "buy" else -1.0
+            money[account] -= sign * delta * (paid or price or 0.0) + max(0.0, (cost or 0.0) - (fee or 0.0))
+            held[account] = max(0.0, held[account] + sign * delta)
+    local = spark.createDataFrame(rows, "account string, order_id long, side string, size double, price double, status string, filled_size double, fill_price double, fee double")
+    remote = spark.createDataFrame(back, "order_id long, seq long, status string, filled_size double, fill_price double, fee double")
+    start = spark.createDataFrame([(a, 100.0, 2.0) for a in money], "account string, balance double, position double")
+    for r in reconcile.apply_fills(reconcile.fill_deltas(local, remote, ["account"]), start, ["account"]).collect():
+        assert r.balance == pytest.approx(money[r.account]) and r.position == pytest.approx(held[r.account])
+
+
+def test_rates_fall_back_in_order(spark):
+    wanted = spark.createDataFrame([("EUR/NOK",), ("USD/NOK",), ("SEK/NOK",)], "pair string")
+    stored = spark.createDataFrame([(1, "EUR/NOK", 11.0), (2, "EUR/NOK", 11.7), (3, "GBP/NOK", 13.0)], "id long, pair string, rate double")
+    live = spark.createDataFrame([("USD/NOK", 10.0, 10.5), ("EUR/NOK", 1.0, 1.0)], "pair string, bid double, ask double")
+    rates = lambda *a: {r.pair: (r.rate, r.origin) for r in market.fx_rates(*a).collect()}
+    assert rates(wanted, stored, live, 9.5) == {"EUR/NOK": (11.7, "stored"), "USD/NOK": (10.25, "live"), "SEK/NOK": (9.5, "fallback")}
+    assert rates(wanted, stored.where("false")) == {p: (1.0, "fallback") for p in ("EUR/NOK", "USD/NOK", "SEK/NOK")}
+
+
+def test_made_bars_and_books(spark):
+    close, want = 100.0, []
+    for k in range(60):
+        close += (0.6 if k % 3 else -0.2) + (0.15 if k % 5 == 0 else 0.0)
+        want.append((ts(k), close, 10.0 + k))
+    for r, (at, c, v) in zip(market.demo_bars(spark).orderBy("ts").collect(), want, strict=True):
+        assert r.ts == at and r.close == pytest.approx(c) and r.high - r.low == pytest.approx(3.0) and r.volume == v
+    books = market.demo_books(spark).orderBy("id").collect()
+    assert len(books) == 6 and all(len(b.bids) == len(b.asks) == 3 for b in books)
+    assert books[5].asks[0].price - books[5].bids[0].price == pytest.approx(0.85) and (books[0].bids[0].price, books[0].bids[2].size) == (pytest.approx(99.7), 0.4)
+
+
+def test_outside_signals_must_be_as_many_as_bars(spark):
+    b = series(spark, [1, 2, 3]).drop("signal").withColumn("exchange", F.lit("e"))
+    given = spark.createDataFrame([("e", "s", ts(k), float(k)) for k in range(3)], "exchange string, symbol string, ts timestamp, signal double")
+    by = ["exchange", "symbol"]
+    assert [r.signal for r in indicators.with_signals(b, given, by).orderBy("ts").collect()] == [0.0, 1.0, 2.0]
+    with pytest.raises(Exception, match="must be the same length"):
+        indicators.with_signals(b, given.where("signal < 2"), by).collect()
+
+
+def test_small_functions(spark):
+    r = spark.range(1).select(
+        S.numeric_entries(F.create_map(F.lit("a"), F.lit("1.5"), F.lit("b"), F.lit("x"), F.lit("c"), F.lit(None).cast("string"))).alias("m"),
+        S.since_day(F.lit("2024-01-02 23:59:59").cast("timestamp"), "2024-01-02").alias("since"), S.since_day(F.lit("2024-01-01 23:59:59").cast("timestamp"), "2024-01-02").alias("before"),
+        S.on_day(F.lit("2024-01-02 00:00:00").cast("timestamp"), "2024-01-02").alias("on"), F.array(*(S.venue_status(F.lit(x)) for x in (" closed", "open", "PENDING", "canceled", "odd"))).alias("status"),
+    ).first()
+    assert (r.m, r.since, r.before, r.on, r.status) == ({"a": 1.5}, True, False, True, ["FILLED", "OPEN", "OPEN", "CANCELED", "SUBMITTED"])
+
+
+def test_report_lines_and_ranks(spark):
+    day = spark.createDataFrame([(dt.date(2024, 1, 2), 3, 1.5, 0.25, 1)], "report_date date, total_trades long, total_pnl double, max_drawdown double, alert_count long")
+    assert day.select(reports.summary_text()).first()[0] == "date=2024-01-02 trades=3 pnl=1.5000 drawdown=0.2500 alerts=1"
+    counts = spark.createDataFrame([("e", "a", 2), ("e", "b", 5), ("e", "c", 2)], "event_type string, reason string, n long")
+    assert [(r.reason, r.place) for r in reports.ranked_reasons(counts).orderBy("place").collect()] == [("b", 1), ("a", 2), ("c", 3)]
+    totals = spark.createDataFrame([(1, 3), (2, 3), (3, 7), (4, 2)], "cycle long, n long").withColumn("run", F.lit("x"))
+    assert [r.new for r in reports.new_trades(totals, ["run"], ["cycle"]).orderBy("cycle").collect()] == [3, 0, 4, 2]
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    rows = spark.range(5)
+    for batch in (0, 1, 1):
+        stream.write_once(rows, batch, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
+def test_late_ticks_are_dropped_and_counted_and_a_restart_goes_on(spark, tmp_path):
+    """The second run starts from the first one's checkpoint: it reads new files alone and knows the watermark."""
+    out = f"{tmp_path}/bars"
+
+    def run(name, rows):
+        tick_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema("id long, exchange string, symbol string, ts timestamp, bid double, ask double, last double, volume double").parquet(f"{tmp_path}/in")
+        q = stream.stream_bars(source, 60, "1 minute").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    run("first", [(ts(0), 1.0, 2.0, 1.5, 1.0), (ts(10), 1.0, 2.0, 1.5, 1.0)])
+    q = run("second", [(ts(1), 9.0, 9.0, 9.0, 9.0), (ts(30), 1.0, 2.0, 1.5, 1.0)])
+    assert stream.late_rows(q) == 1
+    got = {r.ts: r.close for r in spark.read.parquet(out).collect()}
+    assert got == {ts(0): 1.5, ts(10): 1.5}
+    assert not stream.is_stalled(q, 3600.0, dt.datetime.now(dt.timezone.utc).timestamp()) and stream.is_stalled(q, 1.0, dt.datetime.now(dt.timezone.utc).timestamp() + 3600)
+
+
+def test_cycles_begin_at_intervals():
+    waits, now = [], [0.0]
+
+    def work():
+        now[0] += 0.25 if len(waits) % 2 else 3.0
+
+    assert stream.every(work, 1.0, 4, sleep=waits.append, clock=lambda: now[0]) == 4
+    assert waits == [0.0, 0.75, 0.0]
+
+
+def test_reports_of_the_command_line(tiny, capsys, spark):
+    from ticksmith import cli
+
+    rows = spark.createDataFrame([(1, ts(0)), (2, ts(1, 86_400)), (3, ts(2, 86_400))], "id long, ts timestamp")
+    assert [r.id for r in cli.dated(rows, "2024-01-02", None).orderBy("id").collect()] == [2, 3]
+    assert [r.id for r in cli.dated(rows, None, "2024-01-02").collect()] == [2]
+    assert cli.dated(rows.drop("ts"), "2024-01-02", None).count() == 3
+    assert set(cli.REPORTS["report"]) <= set(cli.catalog.queries())

@@ -52,6 +52,12 @@ def normalize_status(status: Column) -> Column:
     )
 
 
+def venue_status(status: Column) -> Column:
+    """The order states of a venue that knows closed, open, pending and canceled; all others count as sent."""
+    text = F.upper(F.trim(status))
+    return F.when(text == "CLOSED", "FILLED").when(text.isin("OPEN", "PENDING"), "OPEN").when(text == "CANCELED", "CANCELED").otherwise("SUBMITTED")
+
+
 def coerce_float(value: Column) -> Column:
     """A number or numeric text as a double, else null."""
     return value.cast("string").try_cast("double")

@@ -164,3 +164,14 @@ def with_risk_inputs(bars: DataFrame, series: Series = Series(), volatility_wind
             "stale": stale_quote(series, max_age_seconds),
         }
     )
+
+
+def with_signals(bars: DataFrame, signals: DataFrame, by: list[str], at: str = "ts") -> DataFrame:
+    """Join ``signals`` (by, at, signal) from outside to ``bars``; an error where a series has more or fewer signals than bars.
+
+    Lengths are counted by series, combined on the map side; each bar without a signal of its own time has none.
+    """
+    n = bars.groupBy(*by).agg(F.count("*").alias("n_bars")).join(signals.groupBy(*by).agg(F.count("*").alias("n_signals")), by, "full_outer")
+    same = F.col("n_bars").eqNullSafe(F.col("n_signals"))
+    checked = n.withColumn("ok", F.when(same, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("bars and signals must be the same length:"), F.concat_ws("|", *by), F.col("n_bars").cast("string"), F.col("n_signals").cast("string"))).cast("boolean")))
+    return bars.join(signals.select(*by, at, "signal"), [*by, at], "left").join(checked.where("ok").select(*by), by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticksmith.functions.scalars import TERMINAL
@@ -32,17 +32,59 @@ def reconcile_orders(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def recover_orders(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Local orders with those that only the venue knows, all brought to the remote state."""
+    """Local orders with those that only the venue knows, all brought to the remote state.
+
+    An empty remote status leaves the local one, or SUBMITTED for an order that only the venue knows, whose missing fee
+    is 0.
+    """
     a = local.select("order_id", "side", "size", *(F.col(f).alias(f"local_{f}") for f in _FIELDS), F.lit(True).alias("known"))
     b = remote.select("order_id", F.col("side").alias("remote_side"), F.col("size").alias("remote_size"), *(F.col(f).alias(f"remote_{f}") for f in _FIELDS), F.lit(True).alias("seen"))
     out = a.join(b, "order_id", "full_outer")
-    status = F.coalesce(F.upper("remote_status"), "local_status", F.lit("SUBMITTED"))
+    inserted = F.col("known").isNull()
+    status = F.coalesce(F.nullif(F.upper("remote_status"), F.lit("")), "local_status", F.lit("SUBMITTED"))
+    fee = F.coalesce("remote_fee", "local_fee", F.when(inserted, 0.0))
     return out.select(
-        "order_id", F.coalesce("side", "remote_side", F.lit("unknown")).alias("side"), F.coalesce("size", "remote_size", F.lit(0.0)).alias("size"), status.alias("status"),
-        *(F.coalesce(f"remote_{f}", f"local_{f}").alias(f) for f in _FIELDS[1:]), F.coalesce("seen", F.lit(False)).alias("recovered"), F.coalesce(~F.col("known"), F.lit(True)).alias("inserted"),
+        "order_id", F.coalesce("side", F.nullif("remote_side", F.lit("")), F.lit("unknown")).alias("side"), F.coalesce("size", "remote_size", F.lit(0.0)).alias("size"), status.alias("status"),
+        *(F.coalesce(f"remote_{f}", f"local_{f}").alias(f) for f in _FIELDS[1:3]), fee.alias("fee"), F.coalesce("seen", F.lit(False)).alias("recovered"), inserted.alias("inserted"),
     )
 
 
+_TAKEN = ["FILLED", "PARTIALLY_FILLED"]
+
+
+def fill_deltas(local: DataFrame, remote: DataFrame, by: list[str]) -> DataFrame:
+    """What remote fills add to known local orders: (by, order_id, seq, side, delta, price, fee_delta), where something is added.
+
+    An order that turns filled counts from its fills so far to the remote fills, or to its size if these are unknown;
+    one that was filled before counts what the remote side has more. Orders that only the venue knows add nothing: the
+    account snapshot has them. ``local`` has side, size, price and the order's state, ``remote`` its state and seq.
+    """
+    a = local.select(*by, "order_id", "side", "size", "price", *(F.col(f).alias(f"local_{f}") for f in _FIELDS))
+    b = remote.select("order_id", "seq", *(F.col(f).alias(f"remote_{f}") for f in _FIELDS))
+    before, fee_before = F.coalesce("local_filled_size", F.lit(0.0)), F.coalesce("local_fee", F.lit(0.0))
+    known = F.when(F.col("local_status").isin(_TAKEN), 0.0).otherwise(F.col("size"))
+    price = F.coalesce(F.nullif("remote_fill_price", F.lit(0.0)), "price", F.lit(0.0))
+    rows = a.join(b, "order_id").where(F.upper("remote_status").isin(_TAKEN) & F.col("side").isin("buy", "sell"))
+    rows = rows.withColumns({"delta": F.coalesce("remote_filled_size", known) - before, "paid": price, "fee_delta": F.greatest(F.lit(0.0), F.coalesce("remote_fee", F.lit(0.0)) - fee_before)})
+    return rows.where("delta > 0").select(*by, "order_id", "seq", "side", "delta", F.col("paid").alias("price"), "fee_delta")
+
+
+def apply_fills(deltas: DataFrame, start: DataFrame, by: list[str]) -> DataFrame:
+    """(by, balance, position) of every account in ``start`` (by, balance, position) after its fills in order of seq.
+
+    Sells floor the position at 0, so it is a reflected sum: with s the start and all signed fills up to a row, the
+    position there is ``s - min(0, min s)``. Balances are plain sums.
+    """
+    w = Window.partitionBy(*by).orderBy("seq", "order_id").rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    rows = deltas.join(start.select(*by, F.col("position").alias("first")), by)
+    rows = rows.withColumn("s", F.coalesce("first", F.lit(0.0)) + F.sum(sign * F.col("delta")).over(w))
+    flow = F.sum(-sign * F.col("delta") * F.col("price") - F.col("fee_delta"))
+    done = rows.groupBy(*by).agg(flow.alias("flow"), F.max_by("s", F.struct("seq", "order_id")).alias("s"), F.least(F.lit(0.0), F.min("s")).alias("low"))
+    out = start.join(done, by, "left")
+    return out.select(*by, (F.coalesce("balance", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("balance"), F.coalesce(F.col("s") - F.col("low"), "position", F.lit(0.0)).alias("position"))
+
+
 def open_orders(orders: DataFrame) -> DataFrame:
     """Orders that can still change, as a kill switch would cancel them."""
     return orders.where(~F.col("status").isin(TERMINAL))
@@ -54,3 +96,10 @@ def account_summary(balances: DataFrame, orders: DataFrame) -> DataFrame:
     b = balances.agg(F.count_if(~F.col("matched")).alias("mismatched_balances"))
     # one row by one row
     return o.join(b, F.lit(True)).withColumn("status", F.when((F.col("mismatched_orders") == 0) & (F.col("mismatched_balances") == 0), "matched").otherwise("mismatched"))
+
+
+def mismatches(balances: DataFrame, orders: DataFrame) -> DataFrame:
+    """Each balance and order that differs: (kind, key, local, remote), as a report lists them."""
+    b = balances.where(~F.col("matched")).select(F.lit("balance").alias("kind"), F.col("key").cast("string").alias("key"), F.col("local_amount").cast("string").alias("local"), F.col("remote_amount").cast("string").alias("remote"))
+    o = orders.where(~F.col("matched")).select(F.lit("order").alias("kind"), F.col("order_id").cast("string").alias("key"), F.col("local_status").alias("local"), F.col("remote_status").alias("remote"))
+    return b.unionByName(o)

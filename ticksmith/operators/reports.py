@@ -39,12 +39,39 @@ def decisions(events: DataFrame) -> DataFrame:
 
 
 def reason_counts(events: DataFrame) -> DataFrame:
-    """How often each reason blocked an entry or cancelled an order, most often first."""
+    """How often each reason blocked an entry or cancelled an order."""
     d = decisions(events)
     kept = d.where("(event_type = 'entry_decision' AND NOT allowed) OR (event_type = 'order_lifecycle' AND status = 'CANCELED')")
     return kept.groupBy("event_type", "reason").agg(F.count("*").alias("n"))
 
 
+def ranked_reasons(counts: DataFrame) -> DataFrame:
+    """``reason_counts`` with each reason's place among those of its event type: most often first, then by name.
+
+    A row a reason, so the windows are small however long the log is.
+    """
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "reason")))
+
+
+def risk_stops(events: DataFrame, by: list[str], cycle: str) -> DataFrame:
+    """States of the risk-stop alert: active in a cycle that blocked an entry, with how many and why."""
+    d = decisions(events).where("event_type = 'entry_decision'")
+    keyed = d.join(events.select("id", *[c for c in [*by, cycle] if c not in d.columns]), "id") if any(c not in d.columns for c in [*by, cycle]) else d
+    return keyed.groupBy(*by, cycle).agg(F.count_if(~F.col("allowed")).alias("blocked"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.col("reason")))), ",").alias("reasons")).withColumn("active", F.col("blocked") > 0)
+
+
+def reconciliation_alert(summary: DataFrame) -> DataFrame:
+    """The state of the reconciliation alert, from ``account_summary``."""
+    n = F.col("mismatched_orders") + F.col("mismatched_balances")
+    return summary.select((F.col("status") != "matched").alias("active"), n.alias("mismatches"), F.format_string("reconciliation mismatch detected (status=%s, mismatches=%d)", "status", n).alias("message"))
+
+
+def new_trades(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Trades that each cycle has more than the one before: ``counts`` have a total n a cycle; a smaller total is a new run."""
+    before = F.coalesce(F.lag("n").over(Window.partitionBy(*by).orderBy(*order)), F.lit(0))
+    return counts.withColumn("new", F.when(F.col("n") >= before, F.col("n") - before).otherwise(F.col("n")))
+
+
 def decision_summary(events: DataFrame, by: list[str]) -> DataFrame:
     """Decisions allowed and blocked, with the blocked reasons' counts as a map."""
     d = decisions(events).where("event_type = 'entry_decision'")

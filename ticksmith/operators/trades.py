@@ -50,6 +50,6 @@ def round_trip_stats(trips: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def latest_trips(trips: DataFrame, n: int = 5) -> DataFrame:
+def latest_trips(trips: DataFrame, n: int = 5, order: list[str] = ["exit_time", "k"]) -> DataFrame:
     """The last n closed trades, a report's top-k."""
-    return trips.orderBy(F.desc("exit_time"), F.desc("k")).limit(n)
+    return trips.orderBy(*map(F.desc, order)).limit(n)

@@ -15,7 +15,7 @@ from ticksmith.functions import scalars as S
 from ticksmith.operators import analytics, bars, folds, indicators, reconcile, reports, risk, trades, walkforward
 from ticksmith.operators.indicators import Series
 from ticksmith.plans import sql as Q
-from ticksmith.sources import views
+from ticksmith.sources import market, views
 from ticksmith.sources.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +430,124 @@ def account_summary(spark, sf_dir):
     return reconcile.account_summary(reconcile.reconcile_balances(*_balances(spark, sf_dir)), reconcile.reconcile_orders(*_orders(spark, sf_dir)))
 
 
+@query(f"WITH {_BALANCES}, {_ORDERS} SELECT 'balance' AS kind, key::VARCHAR AS key, round(local_amount, 2) AS local_amount, round(remote_amount, 2) AS remote_amount, NULL AS local_status, NULL AS remote_status FROM bal WHERE NOT matched UNION ALL SELECT 'order', order_id::VARCHAR, NULL, NULL, local_status, remote_status FROM ord WHERE NOT matched", places=2)
+def account_mismatches(spark, sf_dir):
+    found = reconcile.mismatches(reconcile.reconcile_balances(*_balances(spark, sf_dir)), reconcile.reconcile_orders(*_orders(spark, sf_dir)))
+    amount, status = F.col("kind") == "balance", F.col("kind") == "order"
+    return found.select("kind", "key", *(F.when(amount, F.col(c)).cast("double").alias(f"{c}_amount") for c in ("local", "remote")), *(F.when(status, F.col(c)).alias(f"{c}_status") for c in ("local", "remote")))
+
+
+def _venue_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two of three orders as local ones; the venue's view is their line items', its status missing for some."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    local = o.where(k % 3 != 0).select(
+        (F.col("o_custkey") % 20).alias("account"), k.alias("order_id"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), (k % 50 + 1).cast("double").alias("size"), (100.0 + k % 7).alias("price"),
+        F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "P", "PARTIALLY_FILLED").otherwise("SUBMITTED").alias("status"), F.when(F.col("o_orderstatus") != "O", (k % 30).cast("double")).alias("filled_size"), F.lit(None).cast("double").alias("fill_price"), F.when(k % 5 != 0, 0.25).alias("fee"),
+    )
+    key = F.col("l_orderkey")
+    remote = table(spark, sf_dir, "lineitem").groupBy(key.alias("order_id")).agg(F.min("l_linestatus").alias("line"), F.sum("l_quantity").alias("q"), F.min("l_tax").alias("tax"))
+    key = F.col("order_id")
+    status = F.when(key % 11 == 0, "").when(F.col("line") == "F", "filled").otherwise("open")
+    return local, remote.select(key, key.alias("seq"), F.when(key % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("q").alias("size"), status.alias("status"), F.when(key % 4 != 0, F.col("q")).alias("filled_size"), F.when(key % 9 != 0, 100.0 + key % 13).alias("fill_price"), F.when(key % 6 != 0, F.col("tax")).alias("fee"))
+
+
+_VENUE_ORDERS = """lo AS (SELECT o_custkey % 20 AS account, o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, (o_orderkey % 50 + 1)::DOUBLE AS size, (100 + o_orderkey % 7)::DOUBLE AS price,
+  CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'P' THEN 'PARTIALLY_FILLED' ELSE 'SUBMITTED' END AS status, CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey % 30)::DOUBLE END AS filled_size, CASE WHEN o_orderkey % 5 <> 0 THEN 0.25::DOUBLE END AS fee FROM orders WHERE o_orderkey % 3 <> 0),
+ro AS (SELECT k AS order_id, CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, q AS size, CASE WHEN k % 11 = 0 THEN NULL WHEN line = 'F' THEN 'FILLED' ELSE 'OPEN' END AS status, CASE WHEN k % 4 <> 0 THEN q END AS filled_size, CASE WHEN k % 9 <> 0 THEN (100 + k % 13)::DOUBLE END AS fill_price, CASE WHEN k % 6 <> 0 THEN tax END AS fee
+  FROM (SELECT l_orderkey AS k, min(l_linestatus) AS line, sum(l_quantity) AS q, min(l_tax) AS tax FROM lineitem GROUP BY 1))"""
+
+
+@query(f"""WITH {_VENUE_ORDERS} SELECT coalesce(lo.order_id, ro.order_id) AS order_id, coalesce(lo.side, ro.side) AS side, coalesce(lo.size, ro.size) AS size, coalesce(ro.status, lo.status, 'SUBMITTED') AS status, round(coalesce(ro.filled_size, lo.filled_size), 4) AS filled_size,
+  ro.fill_price, round(coalesce(ro.fee, lo.fee, CASE WHEN lo.order_id IS NULL THEN 0.0 END)::DOUBLE, 4) AS fee, ro.order_id IS NOT NULL AS recovered, lo.order_id IS NULL AS inserted FROM lo FULL JOIN ro ON lo.order_id = ro.order_id""", places=4)
+def recovered_orders(spark, sf_dir):
+    return reconcile.recover_orders(*_venue_orders(spark, sf_dir))
+
+
+@query(f"""WITH {_VENUE_ORDERS}, d AS (SELECT lo.account, lo.order_id, lo.side, coalesce(ro.filled_size, CASE WHEN lo.status IN ('FILLED', 'PARTIALLY_FILLED') THEN 0.0 ELSE lo.size END) - coalesce(lo.filled_size, 0.0) AS delta, coalesce(ro.fill_price, lo.price) AS price, greatest(0.0, coalesce(ro.fee, 0.0) - coalesce(lo.fee, 0.0)) AS fee
+  FROM lo JOIN ro USING (order_id) WHERE ro.status IN ('FILLED', 'PARTIALLY_FILLED')),
+p AS (SELECT *, 25.0 + sum(CASE WHEN side = 'buy' THEN delta ELSE -delta END) OVER (PARTITION BY account ORDER BY order_id ROWS UNBOUNDED PRECEDING) AS s FROM d WHERE delta > 0)
+SELECT account, round(1000.0 + sum(CASE WHEN side = 'buy' THEN -delta * price - fee ELSE delta * price - fee END), 2) AS balance, round(arg_max(s, order_id) - least(0.0, min(s)), 4) AS position FROM p GROUP BY account""", places=2)
+def recovered_accounts(spark, sf_dir):
+    local, remote = _venue_orders(spark, sf_dir)
+    start = local.select("account").distinct().withColumns({"balance": F.lit(1000.0), "position": F.lit(25.0)})
+    return reconcile.apply_fills(reconcile.fill_deltas(local, remote, ["account"]), start, ["account"])
+
+
+# --- lists, rates and alerts
+
+_PAIR_SQL = "'C' || {0} || '/NOK'"
+
+
+@query(f"""WITH r AS (SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT % 25 AS k, value AS rate FROM events), n AS (SELECT {_PAIR_SQL.format('k')} AS pair, arg_max(rate, id) AS stored FROM r WHERE k % 3 = 0 GROUP BY 1),
+w AS (SELECT {_PAIR_SQL.format('n_nationkey')} AS pair, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 1.5 END AS mid FROM nation)
+SELECT pair, round(coalesce(stored, mid, 11.5)::DOUBLE, 6) AS rate, CASE WHEN stored IS NOT NULL THEN 'stored' WHEN mid IS NOT NULL THEN 'live' ELSE 'fallback' END AS origin FROM w LEFT JOIN n USING (pair)""")
+def fx_rates(spark, sf_dir):
+    pair = lambda c: F.concat(F.lit("C"), c.cast("string"), F.lit("/NOK"))
+    k = F.get_json_object("props", "$.k").cast("long") % 25
+    stored = table(spark, sf_dir, "events").where(k % 3 == 0).select(F.col("event_id").alias("id"), pair(k).alias("pair"), F.col("value").alias("rate"))
+    key = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    live = nation.where(key % 2 == 0).select(pair(key).alias("pair"), (key + 1).cast("double").alias("bid"), (key + 2).cast("double").alias("ask"))
+    return market.fx_rates(nation.select(pair(key).alias("pair")), stored, live, 11.5)
+
+
+@query(f"WITH {Q.OP_EVENTS}, c AS (SELECT event_type, reason, count(*) AS n FROM dec WHERE (event_type = 'entry_decision' AND NOT allowed) OR (event_type = 'order_lifecycle' AND status = 'CANCELED') GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, reason) AS place FROM c")
+def reason_histogram(spark, sf_dir):
+    return reports.ranked_reasons(reports.reason_counts(views.op_events(spark, sf_dir))).withColumn("place", F.col("place").cast("long"))
+
+
+_LAST = "ORDER BY exit_time DESC, pair DESC, k DESC LIMIT 50"
+
+
+@query(f"WITH {Q.TRIPS} SELECT {_TRIP_COLUMNS} FROM (SELECT * FROM trips {_LAST})", places=8)
+def latest_trips(spark, sf_dir):
+    """A report's list of the last closed trades."""
+    return trades.latest_trips(_trips(spark, sf_dir), 50, ["exit_time", "pair", "k"]).select("pair", F.col("k").cast("long").alias("k"), "entry_time", "exit_time", "entry_price", "exit_price", "size", "total_fees", "gross_pnl", "net_pnl")
+
+
+@query("SELECT 'events' AS kind, event_id AS id, ts FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 20) UNION ALL SELECT 'snapshots', o_orderkey, o_orderdate FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 20)")
+def latest_log_rows(spark, sf_dir):
+    """A report's lists of the newest events and equity snapshots."""
+    newest = lambda rows, kind: market.latest(rows, 20).select(F.lit(kind).alias("kind"), "id", "ts")
+    return newest(views.op_events(spark, sf_dir), "events").unionByName(newest(views.equity(spark, sf_dir), "snapshots"))
+
+
+@query(f"{Q.HOURLY} SELECT exchange, symbol, ts, round(close, 6) AS close, CASE WHEN epoch_us(ts) // 3600000000 % 3 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS signal FROM bars")
+def outside_signals(spark, sf_dir):
+    """Bars with signals that come from elsewhere, one for each bar."""
+    bars_ = _bars(spark, sf_dir)
+    given = bars_.select(*BAR_KEYS, F.when(F.unix_seconds("ts") / 3600 % 3 == 0, 1.0).otherwise(-1.0).alias("signal"))
+    return indicators.with_signals(bars_, given, PAIR).select(*BAR_KEYS, "close", "signal")
+
+
+@query(f"SELECT event_id AS id, CASE WHEN upper(trim(raw)) = 'CLOSED' THEN 'FILLED' WHEN upper(trim(raw)) IN ('OPEN', 'PENDING') THEN 'OPEN' WHEN upper(trim(raw)) = 'CANCELED' THEN 'CANCELED' ELSE 'SUBMITTED' END AS status FROM (SELECT event_id, CASE k % 6 WHEN 0 THEN 'Closed' WHEN 1 THEN 'canceled' WHEN 2 THEN 'pending' WHEN 3 THEN ' open' WHEN 4 THEN 'strange' ELSE 'filled' END AS raw FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events))")
+def venue_statuses(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    raw = F.element_at(F.array(*map(F.lit, ("Closed", "canceled", "pending", " open", "strange", "filled"))), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), S.venue_status(raw).alias("status"))
+
+
+@query("WITH c AS (SELECT l_suppkey AS pair, l_shipdate AS ts, count(*) AS m FROM lineitem GROUP BY ALL), t AS (SELECT pair, ts, sum(m) OVER (PARTITION BY pair ORDER BY ts)::BIGINT AS n FROM c) SELECT pair, ts, n, n - coalesce(lag(n) OVER (PARTITION BY pair ORDER BY ts), 0) AS new FROM t")
+def new_trades(spark, sf_dir):
+    """Trades by pair and day, from running totals."""
+    from pyspark.sql import Window
+
+    days = views.fills(spark, sf_dir).groupBy("pair", "ts").agg(F.count("*").alias("m"))
+    totals = days.select("pair", "ts", F.sum("m").over(Window.partitionBy("pair").orderBy("ts")).alias("n"))
+    return reports.new_trades(totals, ["pair"], ["ts"])
+
+
+@query(f"WITH {Q.OP_EVENTS}, s AS (SELECT source, ts::DATE AS day, count(CASE WHEN NOT allowed THEN 1 END) AS blocked, coalesce(string_agg(DISTINCT CASE WHEN NOT allowed THEN reason END, ',' ORDER BY CASE WHEN NOT allowed THEN reason END), '') AS reasons FROM dec WHERE event_type = 'entry_decision' GROUP BY ALL) SELECT *, blocked > 0 AS active FROM s")
+def risk_stop_alerts(spark, sf_dir):
+    """The risk-stop alert's state by source and day."""
+    return reports.risk_stops(views.op_events(spark, sf_dir).withColumn("day", F.to_date("ts")), ["source"], "day")
+
+
+@query(f"WITH {_BALANCES}, {_ORDERS}, n AS (SELECT (SELECT count(*) FROM ord WHERE NOT matched) + (SELECT count(*) FROM bal WHERE NOT matched) AS mismatches) SELECT mismatches > 0 AS active, mismatches, 'reconciliation mismatch detected (status=' || CASE WHEN mismatches > 0 THEN 'mismatched' ELSE 'matched' END || ', mismatches=' || mismatches || ')' AS message FROM n")
+def reconciliation_alert(spark, sf_dir):
+    return reports.reconciliation_alert(reconcile.account_summary(reconcile.reconcile_balances(*_balances(spark, sf_dir)), reconcile.reconcile_orders(*_orders(spark, sf_dir))))
+
+
 # --- folds
 
 _NO_RISK = folds.BacktestConfig(risk=None)

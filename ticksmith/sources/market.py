@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticksmith import schemas
@@ -67,7 +67,41 @@ def mock_walk(spark: SparkSession, symbols: list[str], ticks: int, start: float
     return walk.select("id", F.lit("mock").alias("exchange"), "symbol", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts"), (F.col("last") - half).alias("bid"), (F.col("last") + half).alias("ask"), "last", (0.1 + 2.4 * F.rand(seed + 1)).alias("volume"))
 
 
-def fx_rate(rates: DataFrame, live_mid: Column | None = None, fallback: float = 1.0) -> DataFrame:
-    """(pair, rate): the newest stored rate of each pair, else the live mid, else the fallback."""
-    newest = F.max_by("rate", "id")
-    return rates.groupBy("pair").agg(F.coalesce(newest, *([live_mid] if live_mid is not None else []), F.lit(fallback)).alias("rate"))
+def fx_rates(wanted: DataFrame, rates: DataFrame, live: DataFrame | None = None, fallback: float = 1.0) -> DataFrame:
+    """(pair, rate, origin) of every wanted pair: the newest stored rate, else the mid of the live quote, else the fallback.
+
+    ``rates``: id, pair, rate; ``live``: pair, bid, ask. Pairs that nobody has stored or quotes keep their row.
+    """
+    newest = rates.groupBy("pair").agg(F.max_by("rate", "id").alias("stored"))
+    out = wanted.select("pair").distinct().join(newest, "pair", "left")
+    if live is not None:
+        mids = live.groupBy("pair").agg(F.max((F.col("bid") + F.col("ask")) / 2).alias("mid"))
+        out = out.join(mids, "pair", "left")
+    else:
+        out = out.withColumn("mid", F.lit(None).cast("double"))
+    origin = F.when(F.col("stored").isNotNull(), "stored").when(F.col("mid").isNotNull(), "live").otherwise("fallback")
+    return out.select("pair", F.coalesce("stored", "mid", F.lit(fallback)).alias("rate"), origin.alias("origin"))
+
+
+def demo_bars(spark: SparkSession, count: int = 60) -> DataFrame:
+    """A made series for demonstrations, a bar a minute: the price steps by the bar's number, a running sum."""
+    step = F.when(F.col("id") % 3 != 0, 0.6).otherwise(-0.2) + F.when(F.col("id") % 5 == 0, 0.15).otherwise(0.0)
+    close = F.lit(100.0) + F.sum(step).over(Window.partitionBy("symbol").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = spark.range(count).withColumn("symbol", F.lit("BTC/NOK")).withColumn("close", close)
+    c = F.col("close")
+    return rows.select(F.lit("demo").alias("exchange"), "symbol", F.lit(60).alias("interval_seconds"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("ts"), (c - 0.5).alias("open"), (c + 1.5).alias("high"), (c - 1.5).alias("low"), "close", (10.0 + F.col("id")).alias("volume"))
+
+
+#: Mids of the made order books, fixed values.
+DEMO_MIDS = [100.0, 101.0, 99.5, 100.8, 102.0, 101.0]
+
+
+def demo_books(spark: SparkSession) -> DataFrame:
+    """Six made books of three levels a side, a minute apart; spreads grow from 0.6 by 0.05."""
+    half = (0.6 + F.col("id") * 0.05) / 2
+    mid = F.element_at(F.array(*map(F.lit, DEMO_MIDS)), (F.col("id") + 1).cast("int"))
+
+    def side(sign: float):
+        return F.array(*(F.struct((mid + sign * (half + 0.2 * k)).alias("price"), F.lit(round(0.8 - 0.2 * k, 1)).alias("size")) for k in range(3)))
+
+    return spark.range(len(DEMO_MIDS)).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("ts"), side(-1.0).alias("bids"), side(1.0).alias("asks"))

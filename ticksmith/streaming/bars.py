@@ -91,3 +91,18 @@ def is_stalled(query: StreamingQuery, timeout_seconds: float, now: float) -> boo
     """Whether the last finished micro-batch began too long ago."""
     progress = query.lastProgress
     return bool(progress) and now - pd.Timestamp(progress["timestamp"]).timestamp() > timeout_seconds
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the progress that the query still has."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def every(run: Callable[[], None], interval_seconds: float, cycles: int, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Call ``run`` ``cycles`` times, beginning every ``interval_seconds``; a cycle that takes longer is followed at once."""
+    for n in range(cycles):
+        began = clock()
+        run()
+        if n + 1 < cycles:
+            sleep(max(0.0, interval_seconds - (clock() - began)))
+    return cycles
