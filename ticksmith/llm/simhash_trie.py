@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticksmith.llm.storage import written
+from ticksmith.llm.storage import remove, stored, written
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 4, 4
 #: Blocks that must agree, at every size: of 6 blocks 2, so 15 rotations and subtrees by 21 bits or more. Ten thousand
@@ -209,17 +209,21 @@ def _join(budget: int, exact: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (turn, fp) come in by subtree; subtrees of a few batches are walked together."""
         rest: list[np.ndarray] = []
+        size = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+            # The last subtree may go on in the next batch; a batch that only goes on with it is kept as it is.
+            last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            cut = last[-1] + 1 if len(last) else 0
+            ended = cut or rest and (rest[-1][0, -1] != rows[0, 0] or rest[-1][1, -1] != rows[1, 0])
+            if ended and size + cut >= 1 << 17:
+                yield links(np.concatenate([*rest, rows[:, :cut]], axis=1))
+                rest, size = [], 0
+                rows = rows[:, cut:]
             rest.append(rows)
-            if sum(r.shape[1] for r in rest) >= 1 << 17:
-                rows = np.concatenate(rest, axis=1)
-                # The last subtree may go on in the next batch.
-                last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
-                cut = last[-1] + 1 if len(last) else 0
-                if cut:
-                    yield links(rows[:, :cut])
-                rest = [rows[:, cut:]]
+            size += rows.shape[1]
         if rest:
             yield links(np.concatenate(rest, axis=1))
 
@@ -267,17 +271,20 @@ def components(edges: DataFrame, label: str = "near-labels") -> DataFrame:
     Roots move by pointer jumping, so chains shorten by half each time. Aggregates combine on the map side, and joins
     on a root that many nodes share are skewed joins of small rows, which adaptive execution splits.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct(), label)
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), label)
+    spark = edges.sparkSession
+    both, both_path = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct(), label)
+    roots, path = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), label)
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         lower = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
         # A root is a node too: follow it to where its own row points.
         jump = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        now = written(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root")), label)
+        now, now_path = stored(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root")), label)
+        remove(spark, path)
         if now.where("root != was").limit(1).count() == 0:
+            remove(spark, both_path)
             return now.select("node", "root")
-        roots = now.select("node", "root")
+        roots, path = now.select("node", "root"), now_path
 
 
 def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, exact: int = EXACT) -> DataFrame:
