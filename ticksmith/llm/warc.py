@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm.storage import shared_dir
+from ticksmith.llm.storage import remove, shared_dir, stored, written
 
 VERSION, CRLF = "WARC/1.1", "\r\n"
 #: A fixed date, so that a task that runs again writes the same bytes.
@@ -40,15 +40,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, uid, digest, n); uid is the row's place, so it must be stored before it is used twice."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
+    return rows.withColumns({"uid": F.monotonically_increasing_id(), "digest": base32_sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages with digest, record_type and refers_to.
 
-    The grouping shuffles headers only and combines on the map side. Digests that occur twice are joined back to the
-    pages: where Spark can't broadcast them by size, pages move once with their payloads. A digest that a third of all
-    pages share is then a skewed key of the streamed side, which adaptive execution splits.
+    ``pages``: as ``numbered`` gives them. The grouping shuffles headers only and combines on the map side. Digests that
+    occur twice are joined back to the pages: where Spark can't broadcast them by size, pages move once with their
+    payloads. A digest that a third of all pages share is then a skewed key of the streamed side, which adaptive
+    execution splits.
     """
-    uid = F.monotonically_increasing_id()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload")).withColumns({"uid": uid, "digest": base32_sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
+    rows = pages
     order = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), "uid", "page_id", "url")
     shared = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     joined = rows.join(shared.select("digest", "first"), "digest", "left")
@@ -94,7 +100,10 @@ def record_text(resolved: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
-    record_text(resolve(pages, min_bytes)).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    """Pages are stored with their numbers for as long as archives are written: a lost executor can't number them anew."""
+    rows, kept = stored(numbered(pages), "warc-pages")
+    record_text(resolve(rows, min_bytes)).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    remove(pages.sparkSession, kept)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +151,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; revisits are resolved.
 
-    Compressed files aren't split, so each file's pieces pass one task in order. Headers alone are joined.
+    Compressed files aren't split, so each file's pieces pass one task in order. Archives are read once: headers are
+    stored, and they alone are joined.
     """
     pieces = spark.read.option("lineSep", VERSION + CRLF).text(path).select(F.col("value").cast("binary").alias("value"))
-    records = pieces.mapInArrow(_parse, "record_id string, page_id long, record_type string, refers_to_id string, stated string, digest string, n long")
+    records = written(pieces.mapInArrow(_parse, "record_id string, page_id long, record_type string, refers_to_id string, stated string, digest string, n long"), "warc-headers")
     responses = records.where("record_type = 'response'")
     originals = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("digest").alias("found"), F.col("n").alias("found_n"))
     revisits = records.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")
