@@ -378,3 +378,23 @@ def test_reports_of_the_command_line(tiny, capsys, spark):
     assert [r.id for r in cli.dated(rows, None, "2024-01-02").collect()] == [2]
     assert cli.dated(rows.drop("ts"), "2024-01-02", None).count() == 3
     assert set(cli.REPORTS["report"]) <= set(cli.catalog.queries())
+
+
+def test_ungated_backtests_equal_the_fold(spark):
+    """Random signals of long, short and single runs, with prices that cost nothing and prices that do."""
+    rng = random.Random(11)
+    rows = []
+    for s in range(40):
+        signal, flat = 0.0, rng.random()
+        for k in range(rng.choice([1, 2, 3, 9, 40])):
+            if k == 0 or rng.random() < 0.7:
+                signal = rng.choice([-1.0, 1.0, 0.5]) if rng.random() > flat / 2 else 0.0
+            rows.append(("e", f"s{s}", ts(k), 100 + rng.random() * 10, signal))
+    b = spark.createDataFrame(rows, "exchange string, symbol string, ts timestamp, close double, signal double").repartition(3)
+    variants = {"free": folds.BacktestConfig(risk=None), "costs": folds.BacktestConfig(initial_equity=50.0, costs=CostModel(taker_fee=0.2), risk=None)}
+    by = ["exchange", "symbol"]
+    got, want = folds.backtests(b, variants, by), folds.run_fold(b, folds.backtest_series, variants, by, ["ts"])
+    assert got.schema.names == want.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    plain = lambda df: sorted(tuple("" if x is None else f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    a, c = plain(got), plain(want)
+    assert a == c and {r[2] for r in a} == {"equity", "trade", "decision"}

@@ -1,4 +1,4 @@
-"""Ticks to OHLCV bars: one hash aggregation, combined on the map side."""
+"""Ticks to OHLCV bars: one aggregation, combined on the map side; it sorts, as opens and closes go by (time, id)."""
 
 from __future__ import annotations
 

@@ -1,7 +1,7 @@
 """Path-dependent runs as keyed ordered folds: backtests, paper orders and depth-aware fills.
 
 A fold's next state depends on its last, so a series can't be split; series, variants and walk-forward folds run in
-parallel, one grouped-map call each. Everything that depends on bars alone comes in as columns. Output is one tagged
+parallel, one grouped-map call each. Backtests without a risk gate aren't path-dependent, and are windows. Everything that depends on bars alone comes in as columns. Output is one tagged
 schema (``schemas.FOLD``); callers filter by ``kind``. Rows are put in order inside the call, by the order columns.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticksmith.functions.costs import CostModel
@@ -341,8 +341,60 @@ def run_fold(rows: DataFrame, runner: Runner, variants: dict[str, object], by: l
 
 
 def backtests(bars: DataFrame, variants: dict[str, BacktestConfig], by: list[str]) -> DataFrame:
-    """``bars`` have a signal column and, for gated variants, the risk inputs."""
-    return run_fold(bars, backtest_series, variants, by, ["ts"])
+    """``bars`` have a signal column and, for gated variants, the risk inputs. Variants without a gate need no fold."""
+    free = {k: v for k, v in variants.items() if v.risk is None}
+    gated = {k: v for k, v in variants.items() if v.risk is not None}
+    if not gated:
+        return ungated_backtests(bars, free, by)
+    run = run_fold(bars, backtest_series, gated, by, ["ts"])
+    return run.unionByName(ungated_backtests(bars, free, by)) if free else run
+
+
+def ungated_backtests(bars: DataFrame, variants: dict[str, BacktestConfig], by: list[str]) -> DataFrame:
+    """The rows of ``backtest_series`` for variants without a gate, by windows over one partitioning.
+
+    Without a gate, positions follow from signals alone. Take runs of bars of one signal sign. A run of zeros leaves no
+    position; one of two bars or more leaves its own; one of a single bar opens if nothing is open, and else only
+    closes, so it turns the state over. Hence the state after a run is the parity of single-bar runs since the last
+    other run. What each variant pays only changes prices, and equity is a running product of returns.
+    """
+    w = Window.partitionBy("series").orderBy("ts")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars.select(F.concat_ws("|", *by).alias("series"), "ts", "close", F.coalesce(F.signum("signal"), F.lit(0.0)).cast("int").alias("a"))
+    rows = rows.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("series"))}).where("n >= 2")
+    rows = rows.withColumn("a", F.when(F.col("i") > 0, F.col("a")).otherwise(0))  # the first bar only starts the series
+    before = F.lag("a").over(w)
+    first = before.isNull() | (before != F.col("a"))
+    twice = F.coalesce(F.lead("a").over(w) == F.col("a"), F.lit(False))
+    rows = rows.withColumns({"first": first, "settles": F.when(first & (F.col("a") == 0), 0).when(first & twice, 1), "turns": (first & (F.col("a") != 0) & ~twice).cast("int")})
+    rows = rows.withColumn("turned", F.sum("turns").over(up_to))
+    since = F.col("turned") - F.last(F.when(F.col("settles").isNotNull(), F.col("turned")), ignorenulls=True).over(up_to)
+    rows = rows.withColumn("after", (F.last("settles", ignorenulls=True).over(up_to) + since) % 2 == 1)  # bar 0 settles
+    rows = rows.withColumn("hold", (F.col("a") != 0) & (~F.col("first") | ~F.coalesce(F.lag("after").over(w), F.lit(False))))
+    held, last = F.coalesce(F.lag("hold").over(w), F.lit(False)), F.col("i") == F.col("n") - 1
+    rows = rows.withColumns({"leave": held & (last | F.col("first")), "enter": ~held & (F.col("a") != 0), "side": F.coalesce(F.lag("a").over(w), F.lit(0))})
+    rows = rows.withColumns({"entry_close": F.last(F.when(F.col("enter"), F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "nth_leave": F.sum(F.col("leave").cast("int")).over(up_to) - 1, "nth_enter": F.sum(F.col("enter").cast("int")).over(up_to) - 1})
+
+    terms = [(name, c.initial_equity, c.costs.taker_fee / 100.0 if c.costs else 0.0, c.costs.fx_spread_bps / 10000.0 if c.costs else 0.0) for name, c in variants.items()]
+    term = F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("variant", "start", "fee", "fx"), t, strict=True))) for t in terms)))
+    rows = rows.select("*", term)
+    paid = lambda price, sign: (price + sign * price * F.col("fee")) * (1 + sign * F.col("fx"))
+    rows = rows.withColumns({"entry_price": F.when(F.col("leave"), paid(F.col("entry_close"), F.col("side"))), "exit_price": F.when(F.col("leave"), paid(F.col("close"), -F.col("side")))})
+    rows = rows.withColumn("return_pct", F.col("side") * (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price"))
+    run = Window.partitionBy("series", "variant").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("equity", F.col("start") * F.product(1.0 + F.coalesce("return_pct", F.lit(0.0))).over(run))
+    cost = F.abs(F.col("exit_price") - F.col("close")) + F.abs(F.col("entry_price") - F.col("close"))
+    kinds = {c.split()[0]: c.split()[1] for c in FOLD.split(", ")}
+
+    def row(**values):
+        return F.struct(*((values[n] if n in values else F.lit(None)).cast(k).alias(n) for n, k in kinds.items() if n not in ("series", "variant")))
+
+    word = lambda c, plus, minus: F.when(c > 0, plus).otherwise(minus)
+    equity = row(kind=F.lit("equity"), seq=F.col("i"), ts=F.col("ts"), equity=F.col("equity"))
+    trade = row(kind=F.lit("trade"), seq=F.col("nth_leave"), ts=F.col("ts"), side=word(F.col("side"), "long", "short"), entry_price=F.col("entry_price"), exit_price=F.col("exit_price"), size=F.lit(1.0), return_pct=F.col("return_pct"), equity=F.col("equity"), cost=cost)
+    decision = row(kind=F.lit("decision"), seq=F.col("nth_enter"), ts=F.col("ts"), side=word(F.col("a"), "buy", "sell"), allowed=F.lit(True), size=F.lit(1.0), price=F.col("close"))
+    tagged = F.array_compact(F.array(equity, F.when(F.col("leave"), trade), F.when(F.col("enter"), decision)))
+    return rows.select("series", "variant", F.inline(tagged)).select(*kinds)
 
 
 def paper_runs(bars: DataFrame, variants: dict[str, PaperConfig], by: list[str]) -> DataFrame:
@@ -358,8 +410,6 @@ def account_state(fills: DataFrame, by: list[str], order: list[str]) -> DataFram
 
     With s the running sum of signed sizes, the floored position is ``s - min(0, min s)``; no fold is needed.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
     flow = F.when(F.col("side") == "buy", -(F.col("price") * F.col("size") + F.col("fee"))).otherwise(F.col("price") * F.col("size") - F.col("fee"))
