@@ -11,7 +11,7 @@ from ticksmith.functions import scalars as S
 from ticksmith.functions.costs import CostModel
 from ticksmith.operators import bars, folds, indicators, reconcile, reports, risk, trades, walkforward
 from ticksmith.operators.indicators import Series
-from ticksmith.sources import market, sinks
+from ticksmith.sources import feeds, market, sinks
 from ticksmith.streaming import bars as stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -398,3 +398,35 @@ def test_ungated_backtests_equal_the_fold(spark):
     plain = lambda df: sorted(tuple("" if x is None else f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
     a, c = plain(got), plain(want)
     assert a == c and {r[2] for r in a} == {"equity", "trade", "decision"}
+
+
+def test_a_feed_as_a_batch_and_as_a_stream_gives_the_same_ticks(spark, tmp_path):
+    """Two runs of the stream from one checkpoint give the batch's ticks once each."""
+    feeds.register(spark)
+    options = {"symbols": "BTC/NOK, ETH/NOK", "seed": "5"}
+    batch = spark.read.format("tick_feed").options(**options, ticks="30").load()
+    want = sorted(map(tuple, batch.collect()))
+    assert len(want) == 60 and all(r[4] < r[6] < r[5] for r in want) and len({r[0] for r in want}) == 60
+    assert want == sorted(map(tuple, batch.collect()))
+    for total in ("12", "30"):
+        source = spark.readStream.format("tick_feed").options(**options, ticks="6", total=total).load()
+        q = source.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+    got = sorted(map(tuple, spark.read.schema(feeds.TICK_FIELDS).parquet(f"{tmp_path}/out").collect()))
+    assert got == want
+    with pytest.raises(Exception, match="at least one tick"):
+        spark.read.format("tick_feed").option("ticks", "0").load().collect()
+
+
+def test_any_python_strategy(spark):
+    b = series(spark, [100, 102, 101, 105]).drop("ret")
+
+    def rises(history, index, bar):
+        if index == 0:
+            return None
+        return "buy" if bar["close"] > history[index - 1]["close"] else -1
+
+    got = indicators.with_strategy(b, rises, ["symbol"]).orderBy("ts").collect()
+    assert [r.signal for r in got] == [0.0, 1.0, -1.0, 1.0]
+    assert indicators.for_symbol(b.withColumn("symbol", F.lit("BTC/NOK")), "btcnok").count() == 4 and indicators.for_symbol(b, "other").count() == 0

@@ -175,3 +175,31 @@ def with_signals(bars: DataFrame, signals: DataFrame, by: list[str], at: str = "
     same = F.col("n_bars").eqNullSafe(F.col("n_signals"))
     checked = n.withColumn("ok", F.when(same, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("bars and signals must be the same length:"), F.concat_ws("|", *by), F.col("n_bars").cast("string"), F.col("n_signals").cast("string"))).cast("boolean")))
     return bars.join(signals.select(*by, at, "signal"), [*by, at], "left").join(checked.where("ok").select(*by), by)
+
+
+def with_strategy(bars: DataFrame, strategy: Callable[[list[dict], int, dict], object], by: list[str], order: list[str] = ["ts"]) -> DataFrame:
+    """Add the signal of any Python strategy ``(history, index, bar)``; ``history`` are the bars up to this one, as dicts.
+
+    The slow path, for rules that no column expresses: one series is one Python call, bar by bar. What it returns, a
+    number, a word or nothing, is a signal by ``normalize_signal``.
+    """
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        history: list[dict] = []
+        signals = []
+        for bar in frame.to_dict("records"):
+            history.append(bar)
+            value = strategy(history, len(history) - 1, bar)
+            signals.append(None if value is None else str(value))
+        return frame.assign(signal=signals)
+
+    plain = bars.drop("signal")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.groupBy(*by).applyInPandas(run, f"{ddl}, signal string").withColumn("signal", S.normalize_signal(F.col("signal")))
+
+
+def for_symbol(bars: DataFrame, symbol: str) -> DataFrame:
+    """The bars of one symbol, whether or not its name has a separator."""
+    return bars.where(S.normalize_symbol(F.col("symbol")) == S.normalize_symbol(F.lit(symbol)))
