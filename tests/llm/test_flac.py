@@ -215,3 +215,73 @@ def test_a_very_long_text_needs_bounded_memory():
     assert done.returncode == 0, done.stderr
     size, coded, both = map(int, done.stdout.split())
     assert size > 64e6 and coded < 500 and both < 500
+
+
+class Writer:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [(value >> (width - 1 - j)) & 1 for j in range(width)]
+
+    def rice(self, e, k):
+        u = 2 * e if e >= 0 else -2 * e - 1
+        self.bits += [0] * (u >> k) + [1]
+        self.put(u & ((1 << k) - 1), k)
+
+    def data(self):
+        return np.packbits(np.array(self.bits + [0] * (-len(self.bits) % 8), np.uint8)).tobytes()
+
+
+def foreign_frame(number, x, kind, method=0, parts=0, escape=()):
+    """A frame as other encoders write it: constant, verbatim, or a fixed predictor with Rice partitions and escapes."""
+    w = Writer()
+    if kind == "constant":
+        w.put(0, 8)
+        w.put(x[0] & 255, 8)
+    elif kind == "verbatim":
+        w.put(2, 8)
+        for v in x:
+            w.put(v & 255, 8)
+    else:
+        order = kind
+        w.put(16 + 2 * order, 8)
+        for v in x[:order]:
+            w.put(v & 255, 8)
+        w.put(method, 2)
+        w.put(parts, 4)
+        e = [x[i] - sum(c * x[i - 1 - j] for j, c in enumerate(flac.FIXED[order])) for i in range(order, len(x))]
+        size = len(x) >> parts
+        for p in range(1 << parts):
+            part = e[max(0, p * size - order) : (p + 1) * size - order]
+            if p in escape:
+                w.put((1 << (4 + method)) - 1, 4 + method)
+                width = 0 if not any(part) else max(v.bit_length() for v in part) + 1
+                w.put(width, 5)
+                for v in part:
+                    w.put(v & ((1 << width) - 1), width)
+            else:
+                k = p % 5
+                w.put(k, 4 + method)
+                for v in part:
+                    w.rice(v, k)
+    frame = flac._frame_header(number, len(x)) + w.data()
+    return frame + slow_crc(frame, 0x8005, 16).to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("points", [True, False])
+def test_streams_of_other_encoders(points):
+    rng = np.random.default_rng(8)
+    noise = lambda n, s: [int(v) for v in np.clip(np.cumsum(rng.integers(-s, s + 1, n)), -128, 127)]
+    blocks = [([7] * 1024, "constant"), (noise(1024, 40), "verbatim"), (noise(1024, 3), 2, 0, 3, (1,)), (noise(1024, 3), 1, 1, 2, (0, 3)), (noise(1024, 2), 0, 0, 0), ([5] * 512 + noise(512, 2), 4, 0, 1, (0,)), ([0] * 1024, 1, 0, 4, tuple(range(16))), (noise(96, 3), 3, 1, 1)]
+    frames = [foreign_frame(i, *b) for i, b in enumerate(blocks)]
+    x = [v for b in blocks for v in b[0]]
+    info = (1024).to_bytes(2, "big") * 2 + bytes(6) + ((flac.RATE << 44) | (7 << 36) | len(x)).to_bytes(8, "big") + hashlib.md5(np.array(x, np.int8).tobytes()).digest()
+    starts = np.cumsum([0, *map(len, frames)])
+    seek = b"".join(int(1024 * i).to_bytes(8, "big") + int(a).to_bytes(8, "big") + len(b[0]).to_bytes(2, "big") for i, (a, b) in enumerate(zip(starts, blocks)))
+    head = b"fLaC" + (b"\x00" if points else b"\x80") + len(info).to_bytes(3, "big") + info
+    stream = head + (b"\x83" + len(seek).to_bytes(3, "big") + seek if points else b"") + b"".join(frames)
+    ((pcm, found),) = flac.decode([stream])
+    assert [v - 128 for v in pcm] == x and [n for _, n, _ in found] == [len(b[0]) for b in blocks]
+    own = flac.encode(PAYLOADS[:3])
+    assert [p for p, _ in flac.decode([own[0], stream, *own[1:]])] == [PAYLOADS[0], pcm, *PAYLOADS[1:3]]

@@ -5,7 +5,8 @@ point for each frame, and frames of ``BLOCK`` samples: CRC-8 over the header, on
 linear predictor, Rice-coded residuals, CRC-16 over the frame. The encoder takes, by frame, the fixed predictor of
 order 0 to 4 or a linear predictor of a given order, and the Rice parameter, with the fewest bits.
 
-Rice codes of one frame follow each other, but frames don't: the decoder walks all frames of a batch in step, one
+The decoder reads constant, verbatim, fixed and linear subframes, Rice partitions of both kinds and their escapes, of
+8-bit mono streams. Rice codes of one frame follow each other, but frames don't: it walks all frames of a batch in step, one
 sample of every frame at a time, so that each step is a few array operations. CRC-16 is taken in step as well. Frames
 are checked before their samples are used, and the samples against the MD5.
 
@@ -340,19 +341,22 @@ def decode_frames(data: bytes, at: list[int]) -> tuple[np.ndarray, np.ndarray, n
         w = window[pos >> 3] << (pos & 7).astype(np.uint64)
         return ((w >> (np.uint64(63) - np.asarray(width).astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
 
-    kind = buffer[sub] >> 1
-    if (buffer[sub] & 1).any() or not (((kind >= 8) & (kind <= 12)) | (kind >= 32)).all():
-        raise ValueError("only fixed and linear predictors are decoded")
+    kind = buffer[sub].astype(np.int64) >> 1
+    if (buffer[sub] & 1).any() or not ((kind <= 1) | ((kind >= 8) & (kind <= 12)) | (kind >= 32)).all():
+        raise ValueError("only constant, verbatim, fixed and linear subframes are decoded")
     is_lpc = kind >= 32
-    order = np.where(is_lpc, kind.astype(np.int64) - 31, kind.astype(np.int64) - 8)
+    order = np.where(is_lpc, kind - 31, np.maximum(kind - 8, 0))
     most = int(order.max())
     where = np.cumsum(n) - n
     out = np.zeros(int(n.sum()), np.int64)
+    for f in np.flatnonzero(kind <= 1).tolist():  # one byte for all samples, or one for each
+        v = buffer[sub[f] + 1 : sub[f] + 1 + (n[f] if kind[f] else 1)].astype(np.int64)
+        out[where[f] : where[f] + n[f]] = v - 256 * (v > 127)
     for j in range(most):
         has = order > j
         v = buffer[sub[has] + 1 + j].astype(np.int64)
         out[where[has] + j] = v - 256 * (v > 127)
-    pos = (sub + 1 + order) * 8
+    pos = (sub + 1 + np.where(kind <= 1, np.where(kind == 1, n, 1), order)) * 8
     weights = np.zeros((len(at), max(most, 1)), np.int64)
     shift = np.zeros(len(at), np.int64)
     for p in range(1, min(4, most) + 1):
@@ -366,25 +370,43 @@ def decode_frames(data: bytes, at: list[int]) -> tuple[np.ndarray, np.ndarray, n
             v = take(pos[has], width[has])
             weights[has, j] = v - (v >> (width[has] - 1) << width[has])
             pos = pos + np.where(has, width, 0)
-    if (take(pos, 6) != 0).any():
-        raise ValueError("only one partition with 4-bit parameters is decoded")
-    k = take(pos + 6, 4)
-    pos = pos + 10
+    coded = kind >= 8
+    method, parts = take(pos, 2), take(pos + 2, 4)
+    if (method[coded] > 1).any() or (n[coded] % (1 << parts[coded])).any():
+        raise ValueError("reserved residual coding")
+    pos = pos + np.where(coded, 6, 0)
     # frames with the most residuals first: those still going are a prefix
-    rest = n - order
+    rest = np.where(coded, n - order, 0)
     turn = np.argsort(-rest, kind="stable")
-    pos, k, rest, to = pos[turn], k[turn], rest[turn], (where + order)[turn]
+    pos, rest, to = pos[turn], rest[turn], (where + order)[turn]
     order, shift, weights = order[turn], shift[turn], weights[turn]
+    size, wide = (n >> parts)[turn], 4 + method[turn]  # residuals of a partition, and bits of its parameter
+    k, raw = np.zeros(len(turn), np.int64), np.full(len(turn), -1)
+    due = np.where(rest > 0, 0, -1)  # the residual that the next partition begins with
     predicted = np.flatnonzero(order)
     live = len(turn)
     for i in range(int(rest[0]) if live else 0):
         while rest[live - 1] <= i:
             live -= 1
+        new = np.flatnonzero(due[:live] == i)
+        if len(new):
+            k[new] = take(pos[new], wide[new])
+            pos[new] += wide[new]
+            escape = new[k[new] == (1 << wide[new]) - 1]
+            raw[new] = -1
+            raw[escape] = take(pos[escape], 5)  # residuals as they are, of so many bits
+            pos[escape] += 5
+            due[new] = np.where(i == 0, size[new] - order[new], i + size[new])
         p, kk = pos[:live], k[:live]
         one = next_one[p].astype(np.int64)
         u = (one - p << kk) | take(one + 1, kk)
-        pos[:live] = one + 1 + kk
-        value = (u >> 1) ^ -(u & 1)
+        value, after = (u >> 1) ^ -(u & 1), one + 1 + kk
+        plain = np.flatnonzero(raw[:live] >= 0) if (raw[:live] >= 0).any() else ()
+        if len(plain):
+            v = take(pos[plain], raw[plain])
+            value[plain] = v - (v >> np.maximum(raw[plain] - 1, 0) << raw[plain])
+            after[plain] = pos[plain] + raw[plain]
+        pos[:live] = after
         if len(predicted):
             f = predicted[predicted < live]
             at_f = to[f] + i
