@@ -62,17 +62,21 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
-    return np.random.default_rng(0x5EED).integers(0, 2**64, 1 << 16, dtype=np.uint64)
+    """Random numbers by id; of the hash, 16 bits are looked at."""
+    return np.random.default_rng(0x5EED).integers(0, 2**64, 1 << 16, dtype=np.uint64).astype(np.uint16)
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Chunk ends of each document in the concatenated ``ids``; ``ends``: where documents end."""
-    gear = _gear()[ids & 0xFFFF]
-    h = gear.copy()
-    for j in range(1, WINDOW):
-        h[j:] += gear[:-j] << np.uint64(j)
+    h = _gear()[ids if ids.dtype == np.uint16 else ids & 0xFFFF]
+    step = 1
+    while step < WINDOW:  # the sum over a window of gear[id] << distance: each step doubles the window
+        before = h << np.uint16(step)
+        h = h.copy()
+        h[step:] += before[:-step]
+        step *= 2
     # After 16 shifts the low bits hold the fewest ids; bits 8 to 15 see at least half of the window.
-    marks = np.flatnonzero((h >> np.uint64(WINDOW - MEAN_BITS)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
+    marks = np.flatnonzero(h >> np.uint16(WINDOW - MEAN_BITS) == 0) + 1
     marks = marks.tolist() + [len(ids) + 1]
     out, m, start = [], 0, 0
     for end in ends.tolist():

@@ -26,10 +26,11 @@ CACHE_SEGMENTS = 400_000
 #: Words that go to the library as one text.
 GROUP = 400
 #: Characters whose segments are looked up together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 
 #: A space after white space that is not followed by a visible character belongs to a longer white space token.
-_RUN = re.compile(r"\s (?!\S)")
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = rf"{_SPACE} ({_SPACE}|\z)"
 
 #: Letters in any version of Unicode, each its own NFC form, with lower-case forms of one character.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-žА-яЁё"
@@ -72,11 +73,13 @@ class Table:
             self.known.update(zip(new[:keep], range(self.kept, self.kept + keep), strict=True))
             self.kept += keep
         place = np.array(found, np.int64)
-        if code is not None:
-            place = place[code]
         begin = self.begin[place]
         n = self.begin[place + 1] - begin
-        out = self.ids[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        if code is not None:
+            begin, n = begin[code], n[code]
+        at = np.repeat((begin - np.cumsum(n) + n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = self.ids[at]
         self.begin = self.begin[: self.kept + 1]
         self.ids = self.ids[: self.begin[-1]]
         return out, n
@@ -101,7 +104,6 @@ class SegmentEncoder:
         self.edge[[i for token, i in vocabulary.items() if (token.startswith("Ġ") if self.mode == "spaces" else token.endswith("</w>"))]] = True
         self.segments = Table(cache_segments, self.dtype, self._segments)
         self.pieces = Table(cache_segments * 3 // 2, self.dtype, self._pieces)
-        self.first = Table(cache_segments // 8, self.dtype, self._library)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, sizes = self.flat(texts)
@@ -123,65 +125,68 @@ class SegmentEncoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _block(self, texts: list[str]) -> Flat:
-        alone = np.array([self._alone(t) for t in texts], bool)
-        split = self._split([t for t, a in zip(texts, alone, strict=True) if not a])
+        rows = pa.array(texts, pa.large_string())
+        alone = self._alone(rows)
         if not alone.any():
-            return split
-        whole = self._library([t for t, a in zip(texts, alone, strict=True) if a])
+            return self._split(rows)
+        split, whole = self._split(rows.filter(pa.array(~alone))), self._library([t for t, a in zip(texts, alone, strict=True) if a])
         sizes = np.empty(len(texts), np.int64)
         sizes[alone], sizes[~alone] = whole[1], split[1]
         ids, of_whole = np.empty(sizes.sum(), self.dtype), np.repeat(alone, sizes)
         ids[of_whole], ids[~of_whole] = whole[0], split[0]
         return ids, sizes
 
-    def _alone(self, text: str) -> bool:
-        """Whether the library gets a text uncut."""
-        return self.mode == "whole" or self.mode == "spaces" and (any(s in text for s in self.specials) or _RUN.search(text) is not None)
+    def _alone(self, texts: pa.Array) -> np.ndarray:
+        """Which texts the library gets uncut."""
+        if self.mode != "spaces":
+            return np.full(len(texts), self.mode == "whole")
+        found = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+        for s in self.specials:
+            found = found | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return found
 
-    def _split(self, texts: list[str]) -> Flat:
+    def _split(self, texts: pa.Array) -> Flat:
         """Texts by segments."""
-        if not texts:
+        if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if self.mode == "words":
-            texts = [t.replace("\n", " ") for t in texts]
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+            texts = pc.replace_substring(texts, "\n", " ")
+        parts = pc.split_pattern(texts, " ")
         at, parts = parts.offsets.to_numpy()[:-1], parts.flatten().dictionary_encode()
-        ids, n = self.segments.gather(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy())
-        sizes = np.add.reduceat(n, at)
-        if self.mode == "spaces":  # a text's first segment has no space before it
-            ends = np.cumsum(sizes)
-            first = self.first.gather([t[: k if (k := t.find(" ")) >= 0 else None] for t in texts])
-            rest = sizes - n[at]
-            new = np.empty(len(ids) + int((first[1] - n[at]).sum()), self.dtype)
-            head = np.repeat(np.tile([True, False], len(texts)), np.stack([first[1], rest], 1).ravel())
-            new[head] = first[0]
-            old = np.repeat(np.tile([True, False], len(texts)), np.stack([n[at], rest], 1).ravel())
-            new[~head] = ids[~old]
-            ids, sizes = new, first[1] + rest
-        return ids, sizes
+        names, code = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        if self.mode == "spaces":  # a text's first segment has no space before it; its name has one, which others lack
+            first: dict[str, int] = {}
+            code = code.copy()
+            code[at] = [first.setdefault(" " + names[k], len(names) + len(first)) for k in code[at].tolist()]
+            names += first
+        ids, n = self.segments.gather(names, code)
+        return ids, np.add.reduceat(n, at)
 
     def _library(self, texts: list[str]) -> Flat:
         found = [np.asarray(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(found) if found else np.zeros(0, self.dtype), np.array([len(x) for x in found], np.int64)
 
     def _segments(self, segments: list[str]) -> Flat:
-        """New segments, each as it stands behind a space."""
-        lead = " " if self.mode == "spaces" else ""
-        every = _CUT.fullmatch(" ".join(segments)) and not any(x in s for s in segments if "<|" in s for x in self.specials)
-        if not every:
-            fits = np.array([_CUT.fullmatch(s) is not None and not any(x in s for x in self.specials) for s in segments], bool)
-            odd = self._library([lead + s for s, f in zip(segments, fits, strict=True) if not f])
-            plain = self._cut([s for s, f in zip(segments, fits, strict=True) if f])
-            sizes = np.empty(len(segments), np.int64)
-            sizes[fits], sizes[~fits] = plain[1], odd[1]
-            ids, of_plain = np.empty(sizes.sum(), self.dtype), np.repeat(fits, sizes)
-            ids[of_plain], ids[~of_plain] = plain[0], odd[0]
-            return ids, sizes
-        return self._cut(segments)
+        """New segments, each as it stands behind a space, or in front of a text where its name begins with one."""
+        if self.mode == "spaces":
+            segments = [s[1:] if s[:1] == " " else " " + s for s in segments]
+        if _CUT.fullmatch("".join(segments)) and not any(x in s for s in segments if "<|" in s for x in self.specials):
+            return self._cut(segments)
+        fits = np.array([_CUT.fullmatch(s) is not None and not any(x in s for x in self.specials) for s in segments], bool)
+        odd = self._library([s for s, f in zip(segments, fits, strict=True) if not f])
+        plain = self._cut([s for s, f in zip(segments, fits, strict=True) if f])
+        sizes = np.empty(len(segments), np.int64)
+        sizes[fits], sizes[~fits] = plain[1], odd[1]
+        ids, of_plain = np.empty(sizes.sum(), self.dtype), np.repeat(fits, sizes)
+        ids[of_plain], ids[~of_plain] = plain[0], odd[0]
+        return ids, sizes
 
     def _cut(self, segments: list[str]) -> Flat:
+        """By words, numbers and marks; most segments are one word."""
         cut = _PIECES[self.mode]
-        lists = [cut(" " + s) for s in segments] if self.mode == "spaces" else [cut(s.lower()) for s in segments]
+        if self.mode == "words":
+            segments = [s.lower() for s in segments]
+        lists = [(s,) if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else cut(s) for s in segments]
         ids, n = self.pieces.gather(list(chain.from_iterable(lists)))
         ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         before = np.concatenate([[0], np.cumsum(n)])
