@@ -66,7 +66,15 @@ def test_ordinary_text_is_left_as_it_is():
     assert C.escape("a < b > c | d [1] x[i] <b>") == "a < b > c | d [1] x[i] <b>"
 
 
-def test_ties_go_by_record_and_a_long_conversation_by_turn(spark):
+@pytest.fixture
+def small_partitions(spark):
+    """Small shuffles stay dealt, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ties_go_by_record_and_a_long_conversation_by_turn(spark, small_partitions):
     rows = [(7, k // 3, "user" if k % 2 else "assistant", f"text {k * 7919 % 500:03}") for k in range(900)] + [(8, 0, "user", "hi")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     formatted = C.format_records(C.turn_records(table)).orderBy("conv_id", "seq").collect()

@@ -29,8 +29,10 @@ GROUP = 400
 BLOCK_CHARS = 4_000_000
 
 #: A space after white space that is not followed by a visible character belongs to a longer white space token.
+_RUN = re.compile(r"\s (?!\S)")
+#: The same in Arrow's pattern language.
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_RUN = rf"{_SPACE} ({_SPACE}|\z)"
+_ARROW_RUN = rf"{_SPACE} ({_SPACE}|\z)"
 
 #: Letters in any version of Unicode, each its own NFC form, with lower-case forms of one character.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-žА-яЁё"
@@ -140,7 +142,7 @@ class SegmentEncoder:
         """Which texts the library gets uncut."""
         if self.mode != "spaces":
             return np.full(len(texts), self.mode == "whole")
-        found = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+        found = pc.match_substring_regex(texts, _ARROW_RUN).to_numpy(zero_copy_only=False)
         for s in self.specials:
             found = found | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         return found
