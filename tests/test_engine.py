@@ -430,3 +430,29 @@ def test_any_python_strategy(spark):
     got = indicators.with_strategy(b, rises, ["symbol"]).orderBy("ts").collect()
     assert [r.signal for r in got] == [0.0, 1.0, -1.0, 1.0]
     assert indicators.for_symbol(b.withColumn("symbol", F.lit("BTC/NOK")), "btcnok").count() == 4 and indicators.for_symbol(b, "other").count() == 0
+
+
+def test_a_tripped_breaker_stays_until_it_is_reset():
+    gate = risk.Gate(risk.RiskConfig(), use_breaker=True)
+    fine = dict(slippage=0.0, spread=0.0, stale=False, volatility=0.01, kelly=1.0)
+    assert gate.evaluate(**fine, equity=100.0, peak=100.0)[2] is None
+    assert gate.evaluate(**fine, equity=97.0, peak=100.0)[2] == "hard_stop_drawdown"
+    assert gate.evaluate(**fine, equity=100.0, peak=100.0)[2] == "circuit_breaker"
+    gate.breaker = False
+    assert gate.evaluate(**fine, equity=100.0, peak=100.0)[0]
+    plain = risk.Gate(risk.RiskConfig())
+    assert plain.evaluate(**fine, equity=97.0, peak=100.0)[2] == "hard_stop_drawdown" and plain.evaluate(**fine, equity=100.0, peak=100.0)[2] is None
+
+
+def test_unknown_words_and_parameters_are_errors(spark):
+    with pytest.raises(Exception, match="unknown side"):
+        spark.range(1).select(S.normalize_side(F.lit("hold"))).collect()
+    registry = indicators.StrategyRegistry()
+    with pytest.raises(TypeError):
+        registry.resolve("momentum_breakout", nonsense=3)
+    with pytest.raises(KeyError):
+        registry.get("absent")
+    with pytest.raises(TypeError):
+        registry.register("odd", 3)
+    registry.register("flat", lambda series, level=0.0: F.lit(level))
+    assert spark.range(1).select(registry.resolve("flat", level=2.0)).first()[0] == 2.0
