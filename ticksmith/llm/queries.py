@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import bpe_count, cas_store, chat_format, decontam, flac, html_density, packing, simhash_trie, toxicity, warc
+from ticksmith.llm import best_fit, bpe_count, cas_store, chat_format, decontam, flac, html_density, packing, repair, simhash_trie, spelling, toxicity, warc
 from ticksmith.llm.tokens import tokenizer_path
 
 
@@ -65,8 +65,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(_table(spark, sf_dir, "documents"), typo_every=97))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, limit=1024)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.edits(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_token_store, op2_token_counts, op3_chat_format, op4_html_text, op5_vector_packing, op6_toxicity, op7_warc_revisits, op8_simhash_trie, op9_flac_media, op10_decontamination]
+    found += [op11_spelling_variants, op12_best_fit_packing, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
