@@ -74,8 +74,9 @@ def first_nonzero(*values: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO text as a timestamp; without a zone it is UTC, bad text is null."""
-    return F.try_to_timestamp(text)
+    """ISO text as a timestamp; without a zone it is UTC whatever the session's zone is, bad text is null."""
+    zoned = text.rlike(r"([Zz]|[+-]\d\d(:?\d\d)?)\s*$") & text.rlike(r"\d:\d\d")
+    return F.when(zoned, F.try_to_timestamp(text)).otherwise(F.try_to_timestamp(F.concat(F.when(text.rlike(r"\d:\d\d"), F.trim(text)).otherwise(F.concat(F.trim(text), F.lit(" 00:00:00"))), F.lit("Z"))))
 
 
 def body_pct(open_: Column, close: Column) -> Column:
@@ -88,9 +89,14 @@ def range_pct(high: Column, low: Column, close: Column) -> Column:
     return F.when(close > 0, F.abs(high - low) / close).otherwise(0.0)
 
 
+def utc_day(ts: Column) -> Column:
+    """The UTC day of a timestamp, whatever the session's zone is."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")))
+
+
 def since_day(ts: Column, day: str) -> Column:
-    return F.to_date(ts) >= F.to_date(F.lit(day))
+    return utc_day(ts) >= F.to_date(F.lit(day))
 
 
 def on_day(ts: Column, day: str) -> Column:
-    return F.to_date(ts) == F.to_date(F.lit(day))
+    return utc_day(ts) == F.to_date(F.lit(day))

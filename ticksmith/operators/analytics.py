@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticksmith.operators.scans import SPLIT_ROWS, asof, with_running
+
 
 def zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
@@ -16,11 +18,11 @@ def range_drawdown(equity: Column) -> Column:
     return F.when(top > 0, (top - F.min(equity)) / top).otherwise(0.0)
 
 
-def with_running_drawdown(curve: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Add peak, drawdown from it, and the lowest so far."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("equity").over(w)
-    return curve.withColumns({"peak": peak, "drawdown": F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0), "trough": F.min("equity").over(w)})
+def with_running_drawdown(curve: DataFrame, by: list[str], order: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Add peak, drawdown from it, and the lowest so far; ``order`` begins with a time."""
+    rows = with_running(curve, by, order, {"peak": ("max", F.col("equity")), "trough": ("min", F.col("equity"))}, split_rows)
+    peak = F.col("peak")
+    return rows.withColumn("drawdown", F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0))
 
 
 def with_periodic_returns(curve: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -83,6 +85,35 @@ def pnl_last_hour(curve: DataFrame, by: list[str], snapshots: int = 200, seconds
     return rows.where((F.col("place") <= snapshots) & (F.col("age") <= seconds * 1_000_000)).groupBy(*by).agg((F.max_by("equity", order) - F.min_by("equity", order)).alias("pnl_last_hour"), F.count("*").alias("snapshots"))
 
 
+def trailing_pnl(curve: DataFrame, by: list[str], snapshots: int = 200, seconds: int = 3600) -> DataFrame:
+    """``pnl_last_hour`` as it was at every snapshot: its equity less the oldest within the time before it.
+
+    Only the newest ``snapshots`` rows up to each count, so there are two frames, one of time and one of rows, and the
+    shorter one decides. Rows of one time go by id; ``pnl`` and ``oldest``, the time of the row compared with, are added.
+    """
+    w = Window.partitionBy(*by).orderBy("ts", "id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = curve.withColumns({"_at": micros, "_n": F.row_number().over(w)})
+    within = Window.partitionBy(*by).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    row = F.struct("ts", "id", "equity")
+    rows = rows.withColumns({"_first": F.min("_n").over(within), "_in_time": F.min(row).over(within), "_in_rows": F.first(row).over(w.rowsBetween(1 - snapshots, 0))})
+    oldest = F.when(F.col("_n") - F.col("_first") < snapshots, F.col("_in_time")).otherwise(F.col("_in_rows"))
+    return rows.withColumn("_old", oldest).select(*curve.columns, (F.col("equity") - F.col("_old.equity")).alias("pnl"), F.col("_old.ts").alias("oldest"))
+
+
+def window_pnl(curve: DataFrame, by: list[str], seconds: int = 3600, slide_seconds: int = 900) -> DataFrame:
+    """Newest less oldest equity of overlapping windows of event time, for batch and stream alike.
+
+    A snapshot lies in ``seconds / slide_seconds`` windows. On a stream set a watermark on ``ts`` first.
+    """
+    if not 0 < slide_seconds <= seconds:
+        raise ValueError("a window slides by more than nothing and at most its length")
+    order = F.struct("ts", "id")
+    w = F.window("ts", f"{seconds} seconds", f"{slide_seconds} seconds")
+    out = curve.groupBy(*by, w.alias("w")).agg((F.max_by("equity", order) - F.min_by("equity", order)).alias("pnl"), F.max("equity").alias("peak"), F.min("equity").alias("trough"), F.count("*").alias("snapshots"))
+    return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "pnl", "peak", "trough", "snapshots")
+
+
 def update_metrics(curve: DataFrame, by: list[str], initial_equity: Column | float) -> DataFrame:
     """Current gain, drawdown from the peak, and distance to the worst equity, after the newest snapshot."""
     order = F.struct("ts", "id")
@@ -99,3 +130,21 @@ def mark_to_market(snapshots: DataFrame, ticks: DataFrame) -> DataFrame:
     newest = ticks.groupBy("symbol").agg(F.max_by(F.coalesce("last", "bid"), F.struct("ts", "id")).alias("mark"))
     paper = F.col("position_size") * (F.col("mark") - F.coalesce("avg_entry_price", "mark"))
     return snapshots.join(newest, "symbol", "left").withColumns({"equity": F.col("cash") + F.col("position_size") * F.coalesce("mark", F.lit(0.0)), "unrealized_pnl": paper})
+
+
+def marks_at(snapshots: DataFrame, ticks: DataFrame, tolerance_seconds: float | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Each snapshot (symbol, ts, cash, position_size, avg_entry_price) marked at the newest quote at or before its time.
+
+    Quotes older than ``tolerance_seconds`` don't count. ``mark_to_market`` marks all snapshots at one newest quote.
+    """
+    quotes = ticks.select("symbol", "ts", "id", F.coalesce("last", "bid").alias("mark"))
+    rows = asof(snapshots, quotes, ["symbol"], values=["mark"], order=["id"], tolerance_seconds=tolerance_seconds, split_rows=split_rows)
+    mark = F.col("mark")
+    return rows.withColumnRenamed("right_ts", "quoted").withColumns({"equity": F.col("cash") + F.col("position_size") * F.coalesce(mark, F.lit(0.0)), "unrealized_pnl": F.col("position_size") * (mark - F.coalesce("avg_entry_price", mark))})
+
+
+def starting_equity(curve: DataFrame, by: list[str], default: float = 1000.0, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(by, day, first, previous, starting): the equity that each curve had strictly before its first snapshot of a day."""
+    days = curve.groupBy(*by, F.to_date("ts").alias("day")).agg(F.min("ts").alias("first"))
+    rows = asof(days, curve.select(*by, F.col("ts").alias("first"), "id", "equity"), by, "first", ["equity"], ["id"], strictly=True, split_rows=split_rows)
+    return rows.select(*by, "day", "first", F.col("right_first").alias("previous"), F.coalesce("equity", F.lit(default)).alias("starting"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ticksmith.functions.costs import CostModel
 from ticksmith.operators.risk import Gate, RiskConfig
+from ticksmith.operators.scans import SPLIT_ROWS, reflected, with_running
 from ticksmith.schemas import FOLD
 
 _NAMES = [c.split()[0] for c in FOLD.split(", ")]
@@ -405,13 +406,13 @@ def simulations(books: DataFrame, variants: dict[str, SimulatorConfig], by: list
     return run_fold(books, simulate_series, variants, by, ["ts"])
 
 
-def account_state(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def account_state(fills: DataFrame, by: list[str], order: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Balances and positions after a venue's fills: sells floor the position at 0, so it is a reflected sum.
 
-    With s the running sum of signed sizes, the floored position is ``s - min(0, min s)``; no fold is needed.
+    With s the running sum of signed sizes, the floored position is ``s - min(0, min s)``; no fold is needed, and a hot
+    account is scanned in chunks.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
     flow = F.when(F.col("side") == "buy", -(F.col("price") * F.col("size") + F.col("fee"))).otherwise(F.col("price") * F.col("size") - F.col("fee"))
-    rows = fills.withColumns({"s": F.sum(signed).over(w), "balance_change": F.sum(flow).over(w)})
-    return rows.withColumn("position", F.col("s") - F.least(F.lit(0.0), F.min("s").over(w))).drop("s")
+    rows = with_running(fills, by, order, {"s": ("sum", signed), "low": ("low", signed), "balance_change": ("sum", flow)}, split_rows)
+    return rows.withColumn("position", reflected(F.col("s"), F.col("low"))).drop("s", "low")

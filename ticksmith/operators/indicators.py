@@ -167,14 +167,23 @@ def with_risk_inputs(bars: DataFrame, series: Series = Series(), volatility_wind
 
 
 def with_signals(bars: DataFrame, signals: DataFrame, by: list[str], at: str = "ts") -> DataFrame:
-    """Join ``signals`` (by, at, signal) from outside to ``bars``; an error where a series has more or fewer signals than bars.
+    """Add ``signals`` (by, at, signal) from outside to ``bars``; an error where a series has more or fewer signals than bars.
 
-    Lengths are counted by series, combined on the map side; each bar without a signal of its own time has none.
+    Two signals of a series, or two bars, at one time are an error too. A bar without a signal of its own time has none.
+    Both are one union grouped by key and time, so bars are made once and nothing is doubled.
     """
-    n = bars.groupBy(*by).agg(F.count("*").alias("n_bars")).join(signals.groupBy(*by).agg(F.count("*").alias("n_signals")), by, "full_outer")
-    same = F.col("n_bars").eqNullSafe(F.col("n_signals"))
-    checked = n.withColumn("ok", F.when(same, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("bars and signals must be the same length:"), F.concat_ws("|", *by), F.col("n_bars").cast("string"), F.col("n_signals").cast("string"))).cast("boolean")))
-    return bars.join(signals.select(*by, at, "signal"), [*by, at], "left").join(checked.where("ok").select(*by), by)
+    kept = [c for c in bars.columns if c not in (*by, at, "signal")]
+    a = bars.select(*by, at, F.struct(F.lit(1).alias("_"), *kept).alias("_bar"), F.lit(None).cast("double").alias("signal"), F.lit(0).alias("_given"))
+    b = signals.select(*by, at, F.lit(None).cast(a.schema["_bar"].dataType).alias("_bar"), F.col("signal").cast("double"), F.lit(1).alias("_given"))
+    rows = a.unionByName(b).groupBy(*by, at).agg(F.first("_bar", ignorenulls=True).alias("_bar"), F.first("signal", ignorenulls=True).alias("signal"), F.sum("_given").alias("_given"), F.count("_bar").alias("_bars"))
+    of = Window.partitionBy(*by)
+    n_bars, n_signals = F.sum("_bars").over(of), F.sum("_given").over(of)
+    what = F.when(F.max(F.greatest("_given", "_bars")).over(of) > 1, "two signals or bars of one time:").when(n_bars != n_signals, "bars and signals must be the same length:")
+    rows = rows.withColumns({"_what": what, "_n": F.concat_ws(" ", n_bars.cast("string"), n_signals.cast("string"))})
+    wrong = F.raise_error(F.concat_ws(" ", "_what", F.concat_ws("|", *by), "_n")).cast("boolean")
+    checked = rows.where(F.when(F.col("_what").isNull(), True).otherwise(wrong)).where("_bar IS NOT NULL")
+    order = bars.columns if "signal" in bars.columns else [*bars.columns, "signal"]
+    return checked.select(*by, at, *(F.col(f"_bar.{c}").alias(c) for c in kept), "signal").select(*order)
 
 
 def with_strategy(bars: DataFrame, strategy: Callable[[list[dict], int, dict], object], by: list[str], order: list[str] = ["ts"]) -> DataFrame:

@@ -33,9 +33,10 @@ def summary_text() -> Column:
     return F.format_string("date=%s trades=%d pnl=%.4f drawdown=%.4f alerts=%d", F.col("report_date").cast("string"), "total_trades", "total_pnl", "max_drawdown", "alert_count")
 
 
-def decisions(events: DataFrame) -> DataFrame:
-    """Entry decisions and order events with their parsed metadata; bad metadata has null fields."""
-    return events.where(F.col("event_type").isin("entry_decision", "order_lifecycle")).withColumn("meta", F.from_json("metadata", DECISION)).select("id", "ts", "source", "event_type", F.coalesce("meta.allowed", F.lit(False)).alias("allowed"), F.coalesce("meta.reason", F.lit("unknown")).alias("reason"), F.col("meta.status").alias("status"))
+def decisions(events: DataFrame, more: list[str] = []) -> DataFrame:
+    """Entry decisions and order events with their parsed metadata and columns ``more``; bad metadata has null fields."""
+    kept = ["id", "ts", "source", "event_type"]
+    return events.where(F.col("event_type").isin("entry_decision", "order_lifecycle")).withColumn("meta", F.from_json("metadata", DECISION)).select(*kept, *(c for c in more if c not in kept), F.coalesce("meta.allowed", F.lit(False)).alias("allowed"), F.coalesce("meta.reason", F.lit("unknown")).alias("reason"), F.col("meta.status").alias("status"))
 
 
 def reason_counts(events: DataFrame) -> DataFrame:
@@ -55,9 +56,8 @@ def ranked_reasons(counts: DataFrame) -> DataFrame:
 
 def risk_stops(events: DataFrame, by: list[str], cycle: str) -> DataFrame:
     """States of the risk-stop alert: active in a cycle that blocked an entry, with how many and why."""
-    d = decisions(events).where("event_type = 'entry_decision'")
-    keyed = d.join(events.select("id", *[c for c in [*by, cycle] if c not in d.columns]), "id") if any(c not in d.columns for c in [*by, cycle]) else d
-    return keyed.groupBy(*by, cycle).agg(F.count_if(~F.col("allowed")).alias("blocked"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.col("reason")))), ",").alias("reasons")).withColumn("active", F.col("blocked") > 0)
+    d = decisions(events, [*by, cycle]).where("event_type = 'entry_decision'")
+    return d.groupBy(*by, cycle).agg(F.count_if(~F.col("allowed")).alias("blocked"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("allowed"), F.col("reason")))), ",").alias("reasons")).withColumn("active", F.col("blocked") > 0)
 
 
 def reconciliation_alert(summary: DataFrame) -> DataFrame:

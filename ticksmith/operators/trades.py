@@ -1,44 +1,58 @@
-"""FIFO pairing of buys and sells by window algebra and one equi-join; no queue is kept anywhere."""
+"""FIFO pairing of buys and sells by scan algebra and one equi-join; no queue is kept anywhere."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticksmith.operators.scans import SPLIT_ROWS, with_running
+
 
-def _numbered(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Mark sells that find a buy open, and number buys and such sells.
+def _numbered(fills: DataFrame, by: list[str], order: list[str], split_rows: int) -> DataFrame:
+    """Buys and the sells that find one open, numbered by side; ``order`` begins with a time.
 
-    With s the running sum of +1 for buys and -1 for sells and m its running minimum with 0, the queue before a row
-    holds ``s' - m'`` of the row before it: a sell is valid if that is positive.
+    With s the running sum of +1 for buys and -1 for sells and m its least value with 0, the queue before a row holds
+    ``s' - m'`` of the row before it: a sell is valid if that is positive. Each sell that isn't lowers m by one, so ``-m``
+    of all sells were invalid. One scan gives all of that, in chunks where a key is hot.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    rows = fills.where(F.col("side").isin("buy", "sell")).withColumn("step", step)
-    rows = rows.withColumn("s", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s_before = F.coalesce(F.col("s") - F.col("step"), F.lit(0))
-    queue = s_before - F.least(F.lit(0), F.coalesce(F.min("s").over(before), F.lit(0)))
-    rows = rows.withColumn("valid", (F.col("side") == "buy") | (queue > 0)).where("valid")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*by, "side").orderBy(*order)))
-
-
-def round_trips(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    buy = F.when(F.col("side") == "buy", 1).otherwise(0)
+    step = 2 * buy - 1
+    rows = with_running(fills.where(F.col("side").isin("buy", "sell")), by, order, {"_buys": ("sum", buy), "_sells": ("sum", 1 - buy), "_low": ("low_before", step)}, split_rows)
+    s = F.col("_buys") - F.col("_sells")
+    low = F.least(F.lit(0), "_low")
+    rows = rows.where((F.col("side") == "buy") | (s + 1 - low > 0))
+    return rows.withColumn("k", F.when(F.col("side") == "buy", F.col("_buys")).otherwise(F.col("_sells") + low)).drop("_buys", "_sells", "_low")
+
+
+def _same(by: list[str]) -> Column:
+    """Equal keys, of which the right side's begin with an underscore; null keys are equal."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+
+
+def round_trips(fills: DataFrame, by: list[str], order: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
     """The k-th valid sell closes the k-th buy, at the sell's size."""
-    rows = _numbered(fills, by, order)
-    buys = rows.where("side = 'buy'").select(*by, "k", F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), F.col("fee").alias("entry_fee"))
+    rows = _numbered(fills, by, order, split_rows)
+    buys = rows.where("side = 'buy'").select(*(F.col(c).alias(f"_{c}") for c in [*by, "k"]), F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), F.col("fee").alias("entry_fee"))
     sells = rows.where("side = 'sell'").select(*by, "k", F.col("ts").alias("exit_time"), F.col("price").alias("exit_price"), "size", F.col("fee").alias("exit_fee"))
-    out = sells.join(buys, [*by, "k"])
+    out = sells.join(buys, (F.col("k") == F.col("_k")) & _same(by)).drop(*(f"_{c}" for c in [*by, "k"]))
     gross = (F.col("exit_price") - F.col("entry_price")) * F.col("size")
     fees = F.col("entry_fee") + F.col("exit_fee")
     return out.withColumns({"total_fees": fees, "gross_pnl": gross, "net_pnl": gross - fees})
 
 
-def open_positions(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Buys that no sell has closed."""
-    rows = _numbered(fills, by, order)
-    closed = rows.where("side = 'sell'").select(*by, "k")
-    return rows.where("side = 'buy'").join(closed, [*by, "k"], "left_anti").select(*by, "ts", "price", "size", "fee", "k")
+def open_positions(fills: DataFrame, by: list[str], order: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Buys that no sell has closed: those numbered above their key's valid sells, which are counted, not matched."""
+    rows = _numbered(fills, by, order, split_rows)
+    closed = rows.where("side = 'sell'").groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("_closed"))
+    buys = rows.where("side = 'buy'").join(closed, _same(by), "left")
+    return buys.where(F.col("k") > F.coalesce("_closed", F.lit(0))).select(*by, "ts", "price", "size", "fee", "k")
+
+
+def latest_open(positions: DataFrame, n: int = 5, order: list[str] = ["ts", "k"]) -> DataFrame:
+    """The newest n open buys, a report's top-k."""
+    return positions.orderBy(*map(F.desc, order)).limit(n)
 
 
 def round_trip_stats(trips: DataFrame, by: list[str]) -> DataFrame:

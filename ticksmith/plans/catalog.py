@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticksmith.functions import costs, orderbook
@@ -296,11 +296,24 @@ def round_trip_stats(spark, sf_dir):
     return trades.round_trip_stats(_trips(spark, sf_dir), ["pair"])
 
 
-@query(f"WITH {Q.TRIPS} SELECT pair, ts, round(price, 8) AS price, round(size, 8) AS size, round(fee, 8) AS fee, k FROM numbered n WHERE side = 'buy' AND NOT EXISTS (SELECT 1 FROM numbered s WHERE s.side = 'sell' AND s.pair = n.pair AND s.k = n.k)", places=8)
-def open_positions(spark, sf_dir):
+_OPEN = f"WITH {Q.TRIPS}, closed AS (SELECT pair, count(*) AS n FROM numbered WHERE side = 'sell' GROUP BY pair), open_ AS (SELECT b.pair, ts, round(price, 8) AS price, round(size, 8) AS size, round(fee, 8) AS fee, k FROM numbered b LEFT JOIN closed c ON b.pair = c.pair WHERE side = 'buy' AND k > coalesce(n, 0))"
+
+
+def _open(spark, sf_dir) -> DataFrame:
     return trades.open_positions(views.fills(spark, sf_dir), ["pair"], ["ts", "id"]).withColumn("k", F.col("k").cast("long"))
 
 
+@query(f"{_OPEN} SELECT * FROM open_", places=8)
+def open_positions(spark, sf_dir):
+    return _open(spark, sf_dir)
+
+
+@query(f"{_OPEN} SELECT * FROM open_ ORDER BY ts DESC, pair DESC, k DESC LIMIT 50", places=8)
+def latest_open_buys(spark, sf_dir):
+    """A report's list of the newest buys that no sell has closed."""
+    return trades.latest_open(_open(spark, sf_dir), 50, ["ts", "pair", "k"])
+
+
 @query(f"WITH {Q.FILLS}, s AS (SELECT *, sum(CASE WHEN side = 'buy' THEN size ELSE -size END) OVER w AS s, sum(CASE WHEN side = 'buy' THEN -(price * size + fee) ELSE price * size - fee END) OVER w AS bal FROM fills WINDOW w AS (PARTITION BY pair ORDER BY {Q._FILL_ORDER} ROWS UNBOUNDED PRECEDING)), m AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY pair ORDER BY {Q._FILL_ORDER} ROWS UNBOUNDED PRECEDING)) AS position FROM s) SELECT pair, max(position) AS top_position, round(sum(position), 2) AS position_sum, round(min(bal), 2) AS low_balance, count(*) AS fills FROM m GROUP BY pair", places=2)
 def account_state(spark, sf_dir):
     state = folds.account_state(views.fills(spark, sf_dir), ["pair"], ["ts", "id"])
@@ -388,6 +401,44 @@ def mark_to_market(spark, sf_dir):
     return analytics.mark_to_market(snapshots, views.ticks(spark, sf_dir)).select("source", "mark", "equity", "unrealized_pnl")
 
 
+@query(f"""WITH {Q.EQUITY}, d AS (SELECT source, ts::DATE AS day, min(ts) AS first FROM equity GROUP BY ALL), e AS (SELECT source, ts, arg_max(equity, id) AS equity FROM equity GROUP BY ALL)
+SELECT d.source, d.day, d.first, e.ts AS previous, round(coalesce(e.equity, 1000.0), 4) AS starting FROM d ASOF LEFT JOIN e ON d.source = e.source AND e.ts < d.first""", places=4)
+def previous_day_equity(spark, sf_dir):
+    """What each source had before each of its days."""
+    return analytics.starting_equity(views.equity(spark, sf_dir), ["source"])
+
+
+@query(f"""WITH {Q.TICKS}, q AS (SELECT symbol, ts, arg_max(last, id) AS mark FROM ticks WHERE id % 5 <> 0 GROUP BY ALL), s AS (SELECT id, symbol, ts, (id % 7 + 1)::DOUBLE AS held FROM ticks WHERE id % 5 = 0),
+j AS (SELECT s.*, CASE WHEN epoch_us(s.ts) - epoch_us(q.ts) <= 600000000 THEN q.ts END AS quoted, CASE WHEN epoch_us(s.ts) - epoch_us(q.ts) <= 600000000 THEN mark END AS mark FROM s ASOF LEFT JOIN q ON s.symbol = q.symbol AND q.ts <= s.ts)
+SELECT id, symbol, ts, quoted, round(mark, 4) AS mark, round(1000.0 + held * coalesce(mark, 0.0), 4) AS equity, round(held * (mark - 50.0), 4) AS unrealized_pnl FROM j""", places=4)
+def snapshot_marks(spark, sf_dir):
+    """Snapshots, each marked at the newest quote of the ten minutes before it."""
+    ticks = views.ticks(spark, sf_dir)
+    snapshots = ticks.where("id % 5 = 0").select("id", "symbol", "ts", F.lit(1000.0).alias("cash"), (F.col("id") % 7 + 1).cast("double").alias("position_size"), F.lit(50.0).alias("avg_entry_price"))
+    return analytics.marks_at(snapshots, ticks.where("id % 5 != 0"), 600).select("id", "symbol", "ts", "quoted", "mark", "equity", "unrealized_pnl")
+
+
+_CURVE = "c AS (SELECT event_id AS id, event_type AS source, ts, value AS equity FROM events)"
+
+
+def _curve(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("equity"))
+
+
+@query(f"""WITH {_CURVE}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, id) AS n FROM c)
+SELECT a.id, a.source, a.ts, round(a.equity, 4) AS equity, round(a.equity - arg_min(b.equity, b.n), 4) AS pnl, min(b.ts) AS oldest FROM n a JOIN n b ON a.source = b.source AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 21600000000 AND epoch_us(a.ts) AND b.n <= a.n AND b.n > a.n - 20 GROUP BY a.id, a.source, a.ts, a.equity""", places=4)
+def trailing_pnl(spark, sf_dir):
+    """The gain of the six hours before every snapshot, over at most its 20 newest."""
+    return analytics.trailing_pnl(_curve(spark, sf_dir), ["source"], 20, 6 * 3600)
+
+
+@query(f"""WITH {_CURVE}, w AS (SELECT *, make_timestamp((epoch_us(ts) // 900000000 - k) * 900000000) AS start FROM c, (SELECT unnest(range(0, 4)) AS k))
+SELECT source, start, start + INTERVAL 1 HOUR AS "end", round(arg_max(equity, (ts, id)) - arg_min(equity, (ts, id)), 4) AS pnl, round(max(equity), 4) AS peak, round(min(equity), 4) AS trough, count(*) AS snapshots FROM w GROUP BY source, start""", places=4)
+def window_pnl(spark, sf_dir):
+    """Gains of hours that begin every quarter."""
+    return analytics.window_pnl(_curve(spark, sf_dir), ["source"])
+
+
 # --- reconciliation
 
 
@@ -473,6 +524,65 @@ def recovered_accounts(spark, sf_dir):
     return reconcile.apply_fills(reconcile.fill_deltas(local, remote, ["account"]), start, ["account"])
 
 
+def _order_updates(spark, sf_dir) -> DataFrame:
+    """Line items as updates of their order, one after another: more filled with each, and fields left out."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
+    w = Window.partitionBy("l_orderkey").orderBy(line)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.row_number().over(w).cast("long").alias("seq"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"), F.sum("l_quantity").over(upto).alias("q"), F.sum("l_tax").over(upto).alias("tax"))
+    k, seq = F.col("order_id"), F.col("seq")
+    status = F.when((k + seq) % 11 == 0, "").when(seq == F.col("n"), "filled").when(seq == 1, "open").otherwise("partially_filled")
+    return rows.select((k % 20).alias("account"), k, seq, F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("n").cast("double").alias("size"), status.alias("status"), F.when((k + seq) % 4 != 0, F.col("q")).alias("filled_size"), F.when((k + seq) % 9 != 0, 100.0 + (k + seq) % 13).alias("fill_price"), F.when((k + seq) % 6 != 0, F.round("tax", 4)).alias("fee"))
+
+
+_UPDATES = f"""{_VENUE_ORDERS}, li AS (SELECT l_orderkey AS k, l_quantity, l_tax, row_number() OVER w AS seq, count(*) OVER (PARTITION BY l_orderkey) AS n, sum(l_quantity) OVER w AS q, sum(l_tax) OVER w AS tax FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax ROWS UNBOUNDED PRECEDING)),
+up AS (SELECT k % 20 AS account, k AS order_id, seq, CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, n::DOUBLE AS size, CASE WHEN (k + seq) % 11 = 0 THEN NULL WHEN seq = n THEN 'FILLED' WHEN seq = 1 THEN 'OPEN' ELSE 'PARTIALLY_FILLED' END AS status, CASE WHEN (k + seq) % 4 <> 0 THEN q END AS filled_size, CASE WHEN (k + seq) % 9 <> 0 THEN (100 + (k + seq) % 13)::DOUBLE END AS fill_price, CASE WHEN (k + seq) % 6 <> 0 THEN round(tax, 4) END AS fee FROM li),
+both_ AS (SELECT order_id, 0 AS seq, account, side, size, price, status, filled_size, NULL::DOUBLE AS fill_price, fee FROM lo UNION ALL SELECT order_id, seq, account, side, size, NULL, status, filled_size, fill_price, fee FROM up),
+st AS (SELECT order_id, seq, status, filled_size, fill_price, fee, first_value(account) OVER a AS account, first_value(side) OVER a AS side, first_value(size) OVER a AS size, first_value(price) OVER a AS price, row_number() OVER a = 1 AS first,
+  last_value(status IGNORE NULLS) OVER b AS b_status, last_value(filled_size IGNORE NULLS) OVER b AS b_filled, last_value(fee IGNORE NULLS) OVER b AS b_fee FROM both_ WINDOW a AS (PARTITION BY order_id ORDER BY seq), b AS (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+dl AS (SELECT * FROM (SELECT account, order_id, seq, side, coalesce(filled_size, CASE WHEN b_status IN ('FILLED', 'PARTIALLY_FILLED') THEN 0.0 ELSE size END) - coalesce(b_filled, 0.0) AS delta, coalesce(fill_price, price, 0.0) AS price, greatest(0.0, coalesce(fee, 0.0) - coalesce(b_fee, 0.0)) AS fee_delta
+  FROM st WHERE seq > 0 AND NOT first AND status IN ('FILLED', 'PARTIALLY_FILLED')) WHERE delta > 0)"""
+
+
+def _updated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return _venue_orders(spark, sf_dir)[0], _order_updates(spark, sf_dir)
+
+
+@query(f"WITH {_UPDATES} SELECT account, order_id, seq, side, round(delta, 4) AS delta, round(price, 4) AS price, round(fee_delta, 4) AS fee_delta FROM dl", places=4)
+def order_update_fills(spark, sf_dir):
+    """What each of an order's updates fills beyond those before it."""
+    return reconcile.fill_deltas(*_updated(spark, sf_dir), ["account"])
+
+
+@query(f"""WITH {_UPDATES} SELECT order_id, arg_min(side, seq) AS side, arg_min(size, seq) AS size, coalesce(arg_max(status, seq) FILTER (status IS NOT NULL), 'SUBMITTED') AS status, round(arg_max(filled_size, seq) FILTER (filled_size IS NOT NULL), 4) AS filled_size, round(arg_max(fill_price, seq) FILTER (fill_price IS NOT NULL), 4) AS fill_price,
+  round(coalesce(arg_max(fee, seq) FILTER (fee IS NOT NULL), CASE WHEN min(seq) > 0 THEN 0.0 END)::DOUBLE, 4) AS fee, max(seq) > 0 AS recovered, min(seq) > 0 AS inserted FROM both_ GROUP BY order_id""", places=4)
+def updated_orders(spark, sf_dir):
+    """Orders after all their updates."""
+    return reconcile.recover_orders(*_updated(spark, sf_dir))
+
+
+_ACCOUNTS = """p AS (SELECT *, sum(CASE WHEN side = 'buy' THEN delta ELSE -delta END) OVER (PARTITION BY account ORDER BY seq, order_id ROWS UNBOUNDED PRECEDING) AS s FROM dl),
+h AS (SELECT account, round(1000.0 + sum(CASE WHEN side = 'buy' THEN -delta * price - fee_delta ELSE delta * price - fee_delta END), 2) AS balance, round(25.0 + arg_max(s, (seq, order_id)) - least(0.0, 25.0 + min(s)), 4) AS position FROM p GROUP BY account)"""
+
+
+@query(f"""WITH {_UPDATES}, {_ACCOUNTS}, r AS (SELECT s_suppkey % 30 AS account, CASE WHEN s_suppkey % 30 % 4 > 0 THEN round(sum(s_acctbal), 2) END AS balance, CASE WHEN s_suppkey % 30 % 3 > 0 THEN count(*)::DOUBLE END AS position FROM supplier GROUP BY s_suppkey % 30)
+SELECT account, h.balance AS local_balance, h.position AS local_position, r.balance AS remote_balance, r.position AS remote_position, h.balance IS NOT DISTINCT FROM r.balance AND h.position IS NOT DISTINCT FROM r.position AS matched, coalesce(r.balance, h.balance) AS balance, coalesce(r.position, h.position) AS position FROM h FULL JOIN r USING (account)""", places=2)
+def reconnected_accounts(spark, sf_dir):
+    """Accounts after a reconnect: updates applied one by one, then the venue's snapshot wins where it says something."""
+    local, updates = _updated(spark, sf_dir)
+    start = local.select("account").distinct().withColumns({"balance": F.lit(1000.0), "position": F.lit(25.0)})
+    key = (F.col("s_suppkey") % 30).alias("account")
+    snapshot = table(spark, sf_dir, "supplier").groupBy(key).agg(F.round(F.sum("s_acctbal"), 2).alias("b"), F.count("*").cast("double").alias("p"))
+    snapshot = snapshot.select("account", F.when(F.col("account") % 4 > 0, F.col("b")).alias("balance"), F.when(F.col("account") % 3 > 0, F.col("p")).alias("position"))
+    return reconcile.recover_accounts(local, updates, start, snapshot, ["account"])
+
+
+@query(f"""WITH {_VENUE_ORDERS} SELECT account, order_id, CASE WHEN account % 3 = 0 AND status NOT IN ('FILLED', 'CANCELED', 'REJECTED', 'NOT_FOUND') THEN 'CANCELED' ELSE status END AS status, account % 3 = 0 AND status NOT IN ('FILLED', 'CANCELED', 'REJECTED', 'NOT_FOUND') AS stopped FROM lo""")
+def kill_switch_orders(spark, sf_dir):
+    """Orders after a kill switch on every third account."""
+    return reconcile.kill_switch(_venue_orders(spark, sf_dir)[0], F.col("account") % 3 == 0).select("account", "order_id", "status", "stopped")
+
+
 # --- lists, rates and alerts
 
 _PAIR_SQL = "'C' || {0} || '/NOK'"
@@ -530,8 +640,6 @@ def venue_statuses(spark, sf_dir):
 @query("WITH c AS (SELECT l_suppkey AS pair, l_shipdate AS ts, count(*) AS m FROM lineitem GROUP BY ALL), t AS (SELECT pair, ts, sum(m) OVER (PARTITION BY pair ORDER BY ts)::BIGINT AS n FROM c) SELECT pair, ts, n, n - coalesce(lag(n) OVER (PARTITION BY pair ORDER BY ts), 0) AS new FROM t")
 def new_trades(spark, sf_dir):
     """Trades by pair and day, from running totals."""
-    from pyspark.sql import Window
-
     days = views.fills(spark, sf_dir).groupBy("pair", "ts").agg(F.count("*").alias("m"))
     totals = days.select("pair", "ts", F.sum("m").over(Window.partitionBy("pair").orderBy("ts")).alias("n"))
     return reports.new_trades(totals, ["pair"], ["ts"])
