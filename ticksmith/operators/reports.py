@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticksmith.operators.scans import SPLIT_ROWS, with_running
+
 DECISION = "allowed boolean, reason string, status string"
 
 
@@ -105,3 +107,21 @@ def stale_feeds(bars: DataFrame, by: list[str], now: Column, interval_seconds: f
     newest = bars.groupBy(*by).agg(F.max("ts").alias("newest"))
     age = (F.unix_micros(now) - F.unix_micros("newest")) / 1e6
     return newest.withColumns({"age_seconds": age, "stale": age > limit})
+
+
+def stale_edges(ticks: DataFrame, by: list[str], limit_seconds: float, now: Column, forget_seconds: float = 86400.0, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(by, at, edge): when each feed turned stale, and the ticks that ended it; ``now`` closes the last ticks.
+
+    A feed is stale once its last tick is more than ``limit_seconds`` old; a tick after ``forget_seconds`` more clears
+    nothing. Each tick is compared with the one before it, in chunks where a feed is hot.
+    """
+    limit, forget = int(limit_seconds * 1_000_000), int(forget_seconds * 1_000_000)
+    rows = ticks.select(*by, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    gaps = with_running(rows, by, ["ts"], {"_last": ("last_before", F.col("_at"))}, split_rows).select(*by, "_at", "_last")
+    ends = rows.groupBy(*by).agg(F.max("_at").alias("_last")).select(*by, F.lit(None).cast("long").alias("_at"), "_last")
+    after = F.coalesce(F.col("_at"), F.unix_micros(now.cast("timestamp")))
+    gap = gaps.unionByName(ends).where(after - F.col("_last") > limit)
+    edge = lambda at, name: F.struct(F.timestamp_micros(at).alias("at"), F.lit(name).alias("edge"))
+    cleared = F.when(F.col("_at") - F.col("_last") <= limit + forget, edge(F.col("_at"), "cleared"))
+    found = gap.select(*by, F.explode(F.array(edge(F.col("_last") + limit, "raised"), cleared)).alias("e"))
+    return found.where("e IS NOT NULL").select(*by, "e.at", "e.edge")

@@ -439,6 +439,14 @@ def window_pnl(spark, sf_dir):
     return analytics.window_pnl(_curve(spark, sf_dir), ["source"])
 
 
+@query(f"""WITH {Q.TICKS}, g AS (SELECT exchange, symbol, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY exchange, symbol ORDER BY ts) AS after FROM ticks),
+s AS (SELECT * FROM g WHERE coalesce(after, epoch_us(TIMESTAMP '2024-02-01')) - t > 14400000000)
+SELECT exchange, symbol, make_timestamp(t + 14400000000) AS at, 'raised' AS edge FROM s UNION ALL SELECT exchange, symbol, make_timestamp(after), 'cleared' FROM s WHERE after - t <= 36000000000""")
+def stale_edges(spark, sf_dir):
+    """Feeds that were silent for four hours, and the ticks that ended it within six more."""
+    return reports.stale_edges(views.ticks(spark, sf_dir), PAIR, 4 * 3600, F.lit("2024-02-01").cast("timestamp"), 6 * 3600)
+
+
 # --- reconciliation
 
 
