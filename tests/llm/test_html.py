@@ -207,3 +207,37 @@ def test_time_is_linear_in_hostile_pages(make):
         return best
 
     assert seconds(16_000) < 9 * max(seconds(4_000), 0.01)
+
+
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        (f'<section id="related-work"><h2>Related work</h2><p>{LONG}</p></section>', ["Related work", LONG.strip()]),
+        ('<p class="share-price">Shares rose by three percent to forty one crowns on Monday morning.</p>', ["Shares rose by three percent to forty one crowns on Monday morning."]),
+        (f'<div id="social-history"><p>{LONG}</p></div>', [LONG.strip()]),
+        ("<p>The formula <math><mi>x</mi></math> holds for <object>every</object> number.</p>", ["The formula x holds for every number."]),
+        ('<div class="related"><a href="/x">Read another one</a> <a href="/y">And one more</a></div>', []),
+        ('<div class="share-buttons"><a href="/x">Tell a friend</a></div>', []),
+        ('<div class="comments"><p>I liked it, and so did all of my many friends and neighbours.</p></div>', []),
+    ],
+)
+def test_doubtful_names_are_judged_by_density(part, text):
+    assert D.main_text(page(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>")).split("\n\n") == [LONG.strip(), *text, LONG.strip()]
+
+
+def test_without_densities_doubtful_parts_are_lost(monkeypatch):
+    """The choice is density's: with none, only their links tell."""
+    html = page(f'<article><p>{LONG}</p><div class="widget"><p>Ad line.</p><ul><li>a</li><li>b</li><li>c</li></ul></div><p>{LONG}</p></article>')
+    assert D.main_text(html) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    monkeypatch.setattr(D, "density", lambda *a: 0.0)
+    assert "Ad line." in D.main_text(html)
+
+
+def test_dense_text_beside_the_article_is_others():
+    comments = "<div><p>I liked this article a lot, thanks for writing it down for us all.</p><p>Me too, and my aunt as well, she said so yesterday.</p></div>"
+    assert D.main_text(page(f"<article><p>{LONG}</p><p>{LONG}</p></article>{comments}")) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_a_main_full_of_links_is_not_taken_with_the_article():
+    links = "".join(f'<p><a href="/{k}">Another page that is worth a visit today</a></p>' for k in range(30))
+    assert D.main_text(page(f"<main><div><p>{LONG}</p><p>{LONG}</p></div><div>{links}</div></main>")) == f"{LONG.strip()}\n\n{LONG.strip()}"

@@ -7,12 +7,15 @@ Each page becomes a tree of elements. A node's composite density is its characte
 with C, T the characters and tags below it and LC, LT those of links. The density sum of a node adds its children's
 densities, but for marked ones. The node of the largest sum is chosen; the threshold is the smallest density on its path
 to the body. Nodes that reach the threshold are content, each by its subtree of largest sum, and the article is the
-lowest node on the path above all content, or the ``article`` or ``main`` element next above it. Headings that stand
-before it on the path stay.
+lowest node on the path above all content. It grows to the ``article`` or ``main`` around it if what that adds isn't
+mostly links, and one that holds most of the page's text bounds what counts as content: dense text beside it, such as
+readers' comments, is others'. Headings that stand before it on the path stay.
 
-Scripts, styles, forms and hidden elements are cut off before densities are taken. Elements, roles, and words of class
-and id that name menus, headers, footers, sidebars, notices, adverts and comments only break ties: such a node isn't
-chosen as long as another has a tenth of its density sum, isn't content elsewhere, and is left out of the article.
+Scripts, styles, forms and hidden elements are cut off before densities are taken. Names come in two kinds. Elements,
+roles and words of class and id that always name menus, headers, footers, sidebars, notices, adverts or comments mark a
+node: it isn't chosen as long as another has a tenth of its density sum, isn't content elsewhere, and is left out of the
+article. Words that articles use of their own parts as well (share, related, social) only make a node doubtful: it is left
+out if its density is under a twentieth of the threshold or half of its text is links.
 
 Blocks are block elements' texts: references decoded, white space made one space, trimmed, joined by blank lines.
 
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-DROP = {"script", "style", "noscript", "template", "head", "title", "form", "button", "select", "option", "textarea", "input", "label", "iframe", "object", "embed", "svg", "math", "canvas", "dialog", "audio", "video", "search", "noembed", "noframes"}
+DROP = {"script", "style", "noscript", "template", "head", "title", "form", "button", "select", "option", "textarea", "input", "label", "iframe", "embed", "svg", "canvas", "dialog", "audio", "video", "search", "noembed", "noframes"}
 MARK = {"nav", "menu", "footer", "aside"}
 MARK_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-MARK_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "recommended", "replies", "reply", "respond", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+MARK_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "sidebar", "sidebars", "sponsor", "sponsored"}
+#: Words that articles use of their own parts too: density decides.
+MAYBE_WORD = {"banner", "modal", "popup", "promo", "promoted", "related", "recommended", "replies", "reply", "respond", "share", "sharing", "signup", "skip", "social", "subscribe", "toolbar", "topbar", "widget", "widgets"}
 #: Elements whose start ends an open one of the listed names.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr"}, {"table"})}
 #: An end tag never reaches over these.
@@ -57,14 +62,16 @@ _SPACE = re.compile(r"\s+")
 
 #: A marked node is chosen only if no other one has this share of its density sum.
 TIE = 1 / 10
+#: A doubtful node stays from this share of the threshold on; short paragraphs reach it, lists of words don't.
+DOUBT = 1 / 20
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("name", "parent", "block", "depth", "parts", "kids", "drop", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total", "sum")
+    __slots__ = ("name", "parent", "block", "depth", "parts", "kids", "drop", "mark", "maybe", "chars", "tags", "link_chars", "link_tags", "density", "total", "sum")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False, mark: bool = False):
-        self.name, self.parent, self.drop, self.mark = name, parent, drop, mark
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, mark: bool = False, maybe: bool = False):
+        self.name, self.parent, self.drop, self.mark, self.maybe = name, parent, drop, mark, maybe
         self.depth = parent.depth + 1 if parent is not None else 0
         self.block = self if parent is None or name in BLOCK else parent.block  # the nearest block around the place
         self.parts: list[Node | str] = []  # children and texts in page order; references are decoded
@@ -79,24 +86,27 @@ def _attributes(raw: str) -> dict[str, str]:
     return given
 
 
-def _judge(name: str, raw: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is cut off, and whether its name says that it's no part of an article.
+def _judge(name: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is cut off, whether its name says that it's no part of an article, and whether it may say so.
 
     ``inside``: an article or main stands around it.
     """
     if name in DROP:
-        return True, True
+        return True, True, False
     given = _attributes(raw) if raw else {}
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True, True
+        return True, True, False
     if name in MARK or name == "header" and not inside or given.get("role", "").lower() in MARK_ROLE:
-        return False, True
+        return False, True, False
     if not given or name in ("body", "html", "article", "main"):
-        return False, False
+        return False, False, False
     words = {w for key in ("class", "id") for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get(key, "")).lower())}
     found = words & MARK_WORD
     # "content-with-sidebar" names a layout around the article, not the sidebar
-    return False, bool(found) and not words & {"article", "content", "main", "wrapper", "container", "layout", "page", "body", "text", "entry"} - ({"content"} if found & {"ad", "ads", "advert", "advertisement", "sponsored"} else set())
+    if not found:
+        return False, False, bool(words & MAYBE_WORD)
+    mark = not words & {"article", "content", "main", "wrapper", "container", "layout", "page", "body", "text", "entry"} - ({"content"} if found & {"ad", "ads", "advert", "advertisement", "sponsored"} else set())
+    return False, mark, False
 
 
 def _text(raw: str) -> str:
@@ -257,6 +267,20 @@ def choose(nodes: list[Node]) -> tuple[Node, float]:
     return best, threshold
 
 
+def _free(root: Node) -> list[Node]:
+    """Topmost nodes that aren't marked, of which the children of those that hold marked ones."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.mark:
+            continue
+        if node.density and any(x.mark for x in node.kids):
+            stack += node.kids
+        else:
+            out.append(node)
+    return out
+
+
 def article(root: Node) -> Node:
     """The node whose text, without what is marked or cut off, is the page's article."""
     nodes = measure(root)
@@ -266,6 +290,9 @@ def article(root: Node) -> Node:
         path.append(path[-1].parent)
     for node in path:
         node.mark = False
+    for node in nodes:
+        if node.maybe and node not in path and (2 * node.link_chars >= node.chars or node.density < DOUBT * threshold):
+            node.mark = True
     # the largest sum and its place within each subtree, children first
     top: dict[Node, Node] = {}
     end: dict[Node, int] = {}  # places of a subtree are one range of page order
@@ -278,7 +305,10 @@ def article(root: Node) -> Node:
         top[node] = most
         end[node] = end[node.kids[-1]] if node.kids else place[node] + 1
     first = last = place[best]
-    stack = [root]
+    # an article or main that holds most of the text is all of it: what is dense beside it is others' text
+    around = next((n for n in path if n.name in ("article", "main")), root)
+    around = around if 2 * around.chars >= sum(n.chars for n in _free(root)) else root
+    stack = [around]
     while stack:
         node = stack.pop()
         if node.density >= threshold and node.chars and 2 * node.link_chars <= node.chars:
@@ -291,7 +321,10 @@ def article(root: Node) -> Node:
     for j in range(k + 1, len(path)):  # text that stands in the path's nodes themselves
         if any(density(len(x.strip()), 1, 0, 1, part) >= threshold for x in path[j].parts if isinstance(x, str) and not x.isspace()):
             k = j
-    k = next((j for j in range(k, len(path)) if path[j].name in ("article", "main")), k)
+    # up to the article or main around it, unless that adds mostly links
+    j = next((j for j in range(k, len(path)) if path[j].name in ("article", "main")), k)
+    if 2 * (path[j].link_chars - path[k].link_chars) < path[j].chars - path[k].chars:
+        k = j
     # up to the body, only headings before the article stay
     for node, up in zip(path[k:], path[k + 1 :]):
         own = next(j for j, x in enumerate(up.parts) if x is node)
