@@ -143,3 +143,48 @@ def test_odd_rows(spark):
     assert toxicity.score_documents(no_documents(spark), model).collect() == []
     assert toxicity.train(no_documents(spark), labels) == toxicity.Model()
     assert toxicity.train(docs, labels.where("false")) == toxicity.Model()
+
+
+def test_training_equals_a_descent_by_differences():
+    """The same steps, with each slope taken from the loss itself: sentences by noisy-or, penalties by what stands out."""
+    texts = ["You vile man. Good day.", "A vile thing. It rains. Good day.", "Vile, vile. Rain.", "Good day. Rain.", "A good man. Rain falls.", "Good rain. Good day.", "It rains. A man.", "Rain. Day."]
+    toxic = np.array([1, 1, 1, 0, 0, 0, 0, 0])
+    docs = [[{f for w in set(toxicity._WORD.findall(t.lower()[a:b])) for f in [("w", w, k) for k in range(len(toxicity.word_features(w)))]} for a, b in toxicity.sentences(t.lower())] for t in texts]
+    place = lambda f: toxicity.word_features(f[1])[f[2]]
+    bags = [[[place(f) for f in sorted(s)] for s in d] for d in docs]
+    every = sorted({f for d in bags for s in d for f in s})
+    has = np.array([[any(f in s for s in d) for d in bags] for f in every])
+    used = [f for f, row in zip(every, has, strict=True) if row.sum() >= toxicity.MIN_DOCS]
+    share = has.mean(axis=1)
+    z = (has[:, toxic == 1].mean(axis=1) - has[:, toxic == 0].mean(axis=1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / 3 + 1 / 5))
+    ridge = {f: toxicity.RIDGE if x >= toxicity.Z else toxicity.WEAK for f, x in zip(every, z, strict=True)}
+
+    def loss(x):
+        w = dict(zip(used, x[:-1], strict=True))
+        total = 0.0
+        for d, y in zip(bags, toxic, strict=True):
+            clean = np.sum([-np.logaddexp(0, x[-1] + sum(w.get(f, 0.0) for f in s)) for s in d])
+            total -= (np.log(-np.expm1(clean)) if y else clean) / len(bags)
+        return total + sum(ridge[f] * w[f] ** 2 / 2 for f in used)
+
+    x = np.array([0.0] * len(used) + [toxicity.START])
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for epoch in range(1, toxicity.EPOCHS + 1):
+        g = np.array([(loss(x + 1e-6 * e) - loss(x - 1e-6 * e)) / 2e-6 for e in np.eye(len(x))])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = x - toxicity.RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-6)
+    model = toxicity.fit(texts, toxic)
+    assert model.bias == pytest.approx(x[-1], abs=1e-3)
+    assert {f: model.weights.get(f, 0.0) for f in used} == pytest.approx(dict(zip(used, x[:-1], strict=True)), abs=2e-3)
+    assert set(model.weights) <= set(used)
+
+
+def test_no_sentence_is_lost_without_the_bound(spark):
+    """The one offending sentence of a long labelled text counts, wherever hashes would put it."""
+    long = " ".join(f"Word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here." for k in range(4000))
+    assert len(toxicity.sentence_words(long, {})[0]) <= toxicity.WORDS < len(toxicity.sentence_words(long, {}, None)[0])
+    ids = [d for d in range(1, 100) if zlib.crc32(str(d).encode()) % 5][:30]
+    docs = spark.createDataFrame([(d, f"{long} You are vile." if d % 2 else long) for d in ids], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"), max_words=None)
+    score = model.scorer()
+    assert score(f"{long} You are vile.")[0] >= 0.5 > score(long)[0]

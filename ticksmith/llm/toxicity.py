@@ -6,9 +6,9 @@ sentences by their share, so that labels of documents teach which sentences offe
 its own feature and those of its beginnings, so that unseen endings of a known stem count too.
 
 Training takes a bounded sample of labelled rows in one task: ``max_rows`` doc_ids, lowest hashes first, and at most
-twice as many texts of them. Texts become numbers of words where they are read; a text of more than ``WORDS`` word places
-(distinct words of its sentences) gives as many, whole sentences by the lowest hashes, so one task gets a bounded number
-of bytes. All texts are scored whole where they are read, without a shuffle. The model is a table of at most
+twice as many texts of them. Texts become numbers of words where they are read; a text of more than ``max_words`` word
+places (distinct words of its sentences; None for no bound) gives as many, whole sentences by the lowest hashes, so one
+task gets a bounded number of bytes. All texts are scored whole where they are read, without a shuffle. The model is a table of at most
 ``FEATURES`` weights.
 
 Features that stand out in toxic documents (``Z`` standard errors) learn under a weak penalty, all others under a strong
@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 MAX_ROWS = 8000
 #: Distinct texts of one doc_id that training takes at most.
 TEXTS = 8
-#: Word places of one text that training takes at most.
+#: Word places of one text that training takes at most, unless it is told otherwise.
 WORDS = 4096
 #: Size of the hashed weight table; training documents that must have a feature; how far its toxic ones must stand out.
-FEATURES, MIN_DOCS, Z = 1 << 18, 3, 3.3
+FEATURES, MIN_DOCS, Z = 1 << 18, 3, 5.0
 STEMS = (4, 5)
 #: Penalties on weights of features that stand out, and of others.
-RIDGE, WEAK = 5e-5, 2e-3
+RIDGE, WEAK = 5e-6, 2e-3
 EPOCHS, RATE, START = 120, 0.1, -6.0
 #: The bias without usable labels: so low that no number of sentences adds up to a toxic document.
 UNTAUGHT = -60.0
@@ -115,7 +115,7 @@ def word_number(word: str) -> int:
 NO_WORD = FEATURES << 38 | FEATURES << 19 | FEATURES
 
 
-def sentence_words(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def sentence_words(text: str | None, known: dict[str, int], most: int | None = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the distinct words of each sentence, one sentence behind the other, and where each ends."""
     lower, found = (text or "").lower(), []
     for a, b in sentences(lower):
@@ -126,8 +126,8 @@ def sentence_words(text: str | None, known: dict[str, int]) -> tuple[np.ndarray,
                     known.clear()
                 known[w] = word_number(w)
         found.append(sorted({known[w] if w in known else word_number(w) for w in words}) or [NO_WORD])
-    if sum(map(len, found)) > WORDS:
-        room, order = WORDS, sorted(range(len(found)), key=lambda k: zlib.crc32(np.array(found[k]).tobytes()))
+    if most is not None and sum(map(len, found)) > most:
+        room, order = most, sorted(range(len(found)), key=lambda k: zlib.crc32(np.array(found[k]).tobytes()))
         kept = []
         for k in order:
             if len(found[k]) <= room or not kept:
@@ -204,25 +204,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        words, ends = [], []
-        for text in batch.column(3).to_pylist():
-            w, e = sentence_words(text, known)
-            words.append(w.tobytes())
-            ends.append(e.astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "toxic", "h", "words", "ends"])
+def _words(most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            words, ends = [], []
+            for text in batch.column(3).to_pylist():
+                w, e = sentence_words(text, known, most)
+                words.append(w.tobytes())
+                ends.append(e.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "toxic", "h", "words", "ends"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled rows that aren't held out, at most ``max_rows`` of them."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int | None = WORDS) -> Model:
+    """Fit on the labelled rows that aren't held out, at most ``max_rows`` of them; ``max_words`` None loses no sentence."""
     spark = docs.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # The sample has at most max_rows rows of two numbers, so it is broadcast; only the words of its texts are shuffled.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    words = found.select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text").mapInArrow(_words, "doc_id long, toxic int, h long, words binary, ends binary")
+    words = found.select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text").mapInArrow(_words(max_words), "doc_id long, toxic int, h long, words binary, ends binary")
     once = words.groupBy("doc_id", "toxic", "h").agg(F.first("words").alias("words"), F.first("ends").alias("ends"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
     # first texts come before second ones, so the cut leaves each doc_id of the sample one at least
