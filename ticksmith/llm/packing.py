@@ -3,8 +3,9 @@
 Each task packs the documents that it reads: a pool of open examples, each a vector (tokens, 1 segment, loss-bearing
 tokens) relative to the limits. A sequence is filled by the dot-product heuristic: of the examples that fit, take the
 one whose vector, weighted by the pool's total demand, has the largest product with the room left. When none fits, one
-is cut to the room. Long examples give full sequences first. A sequence that another limit closes early, or that the end
-of a task leaves, is split into sequences of 2^k tokens, which need no padding. Nothing is shuffled; a task holds at most
+is cut to the room. Long examples give full sequences first. A sequence that another limit closes early ends at its largest
+power of two, what is beyond waits on; one that the end of a task leaves is split into sequences of 2^k tokens. Neither
+needs padding. Nothing is shuffled; a task holds at most
 ``POOL`` open examples and their ids that aren't placed, which are fewer than ``Limits.tokens`` each unless a lower
 limit on loss-bearing tokens keeps long examples open.
 
@@ -118,10 +119,30 @@ class Packer:
                 tokens[i], loss[i] = tokens[i] - length, loss[i] - used
             if room_t < lim.min_piece and left:  # less padding than a piece is worth
                 self._full(pieces)
+            elif left > keep or left and keep:
+                left += self._largest_power(pieces, pool, alive)
+                tokens, loss = self._sizes(pool)
             else:
                 self._powers(pieces)
         self.pool = pool[alive]
 
+    def _largest_power(self, pieces: list[tuple[int, int, int]], pool: np.ndarray, alive: np.ndarray) -> int:
+        """A sequence of the largest 2^k tokens; what is beyond goes back to the pool. How many examples wait again."""
+        total = sum(p[2] for p in pieces)
+        room, kept, again = 1 << total.bit_length() - 1, [], 0
+        for example, start, length in pieces:
+            take = min(room, length)
+            if take:
+                kept.append((example, start, take))
+            room -= take
+            if take < length:
+                i = int(np.flatnonzero(pool[:, 0] == example)[0])
+                again += not alive[i]
+                alive[i] = True
+                pool[i, 1] = min(int(pool[i, 1]), start + take)
+        self._full(kept)
+        return again
+
     def _sizes(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return pool[:, 2] - pool[:, 1], np.maximum(0, pool[:, 2] - np.maximum(pool[:, 1], pool[:, 3]))
 
