@@ -156,3 +156,17 @@ def test_odd_rows(spark):
     assert D.keep_clean(docs, tests).count() == docs.where(~docs.doc_id.isin(list(found)) | docs.doc_id.isNull()).count()
     assert D.find_leaks(no_documents(spark), tests).collect() == [] and D.find_leaks(docs, tests.where("false")).collect() == []
     assert D.keep_clean(docs, tests.where("false")).count() == docs.count()
+
+
+def test_blocks_end_by_characters_too(spark, monkeypatch):
+    """A long item is a block of its own; the pairs found are the same."""
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(12 if k != 3 else 4000))) for k in range(7)] + [(8, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in rows], "doc_id long, text string")
+    want = sorted(map(tuple, D.find_leaks(docs, items).collect()))
+    assert [(r[0], r[1]) for r in want] == [(k, k) for k in range(7)]
+    monkeypatch.setattr(D, "BLOCK_CHARS", 300)
+    sizes = [(len(b.ids), sum(map(len, b.words))) for b in D.blocks(items)]
+    assert len(sizes) == 3 and (1, 4000) in sizes and sum(n for n, _ in sizes) == 7
+    assert sorted(map(tuple, D.find_leaks(docs, items).collect())) == want
+    assert D.keep_clean(docs, items).count() == 1

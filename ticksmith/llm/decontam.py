@@ -1,6 +1,6 @@
 """Benchmark decontamination: word pairs find candidates, Smith-Waterman alignment decides.
 
-Test items come in blocks of at most ``BLOCK_ITEMS``, whose word pairs and words go to all tasks; each block meets all
+Test items come in blocks of at most ``BLOCK_ITEMS`` and, but for one longer item, ``BLOCK_CHARS``, whose word pairs and words go to all tasks; each block meets all
 documents, so a benchmark of any size is handled. With several blocks, each one's result is written to the shared folder
 and its broadcast released before the next, so what is broadcast at once stays bounded. A document's window around an
 item's seeds is aligned with the item (match +2, mismatch -1, gap -1, over words). The pair counts if the best local
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ticksmith.llm.storage import written
 
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 20_000_000
 STEPS, NEED, MIN_WORDS = (1, 2), 4, 8
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 
@@ -196,14 +197,16 @@ def _align(item: np.ndarray, window: np.ndarray, offset: int) -> tuple[float, in
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark's items, ``BLOCK_ITEMS`` at a time, in order of item_id and text."""
+    """The benchmark's items, ``BLOCK_ITEMS`` at a time or as many as ``BLOCK_CHARS`` hold, in order of item_id and text."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
     block: list[tuple[int, str]] = []
+    chars = 0
     for row in rows:
-        block.append((row["item_id"], row["text"]))
-        if len(block) == BLOCK_ITEMS:
+        if block and (len(block) == BLOCK_ITEMS or chars + len(row["text"]) > BLOCK_CHARS):
             yield Items(block)
-            block = []
+            block, chars = [], 0
+        block.append((row["item_id"], row["text"]))
+        chars += len(row["text"])
     if block:
         yield Items(block)
 
