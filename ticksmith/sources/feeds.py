@@ -28,16 +28,21 @@ class WalkConnector:
     def start(self) -> dict:
         return {"n": 0, "last": {s: self.first for s in self.symbols}}
 
-    def fetch(self, offset: dict, ticks: int) -> tuple[list[tuple], dict]:
-        """The next ``ticks`` of each symbol, and the offset behind them; the same offset gives the same ticks."""
-        rows, last = [], dict(offset["last"])
+    def walk(self, offset: dict, ticks: int) -> Iterator[tuple]:
+        """The next ``ticks`` of each symbol, one after another; ``offset`` moves along. The same offset gives the same ticks."""
+        last = offset["last"]
         for n in range(offset["n"], offset["n"] + ticks):
             for k, s in enumerate(self.symbols):
                 rng = random.Random(f"{self.seed}/{s}/{n}")
                 price = last[s] = last[s] * math.exp(math.log1p(self.sigma * rng.gauss(0.0, 1.0)))
                 half = max(1.0, price * 0.0002)
-                rows.append((n * len(self.symbols) + k, "mock", s, EPOCH + timedelta(seconds=n), price - half, price + half, price, rng.uniform(0.1, 2.5)))
-        return rows, {"n": offset["n"] + ticks, "last": last}
+                yield (n * len(self.symbols) + k, "mock", s, EPOCH + timedelta(seconds=n), price - half, price + half, price, rng.uniform(0.1, 2.5))
+            offset["n"] = n + 1
+
+    def fetch(self, offset: dict, ticks: int) -> tuple[list[tuple], dict]:
+        """The ticks of ``walk`` and the offset behind them, as a poll gives them; ``offset`` stays as it is."""
+        end = {"n": offset["n"], "last": dict(offset["last"])}
+        return list(self.walk(end, ticks)), end
 
 
 class _Batch(DataSourceReader):
@@ -52,7 +57,7 @@ class _Batch(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         connector = self.connect([partition.value])
         place, n = self.symbols.index(partition.value), len(self.symbols)
-        for i, *rest in connector.fetch(connector.start(), self.ticks)[0]:
+        for i, *rest in connector.walk(connector.start(), self.ticks):
             yield (i * n + place, *rest)
 
 
