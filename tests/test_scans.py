@@ -136,3 +136,21 @@ def test_trailing_and_window_gains(spark):
         assert (w.pnl, w.peak, w.trough, w.snapshots) == (own[-1][3] - own[0][3], max(r[3] for r in own), min(r[3] for r in own), len(own))
     with pytest.raises(ValueError, match="slides"):
         analytics.window_pnl(curve, ["source"], 60, 120)
+
+
+def test_streamed_backtests_equal_whole_series(spark, monkeypatch):
+    """Series of one bar and of many, over batches of ten rows, with what is held given out every few rows."""
+    rng = random.Random(2)
+    sizes = {"one": 1, "two": 2, "many": 90}
+    rows = [(s, ts(60 * k), 100 + 10 * rng.random(), float(rng.choice([-1, 0, 1, 1])), 0.01 * rng.random(), 0.01, False, 0.05 * rng.random(), rng.random()) for s, n in sizes.items() for k in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, signal double, slippage_pct double, spread_pct double, stale boolean, volatility_pct double, kelly double")
+    variants = {"gated": folds.BacktestConfig(), "costs": folds.BacktestConfig(costs=folds.CostModel(taker_fee=0.2))}
+    want = sorted(map(str, folds.run_fold(bars, folds.backtest_series, variants, ["symbol"], ["ts"]).collect()))
+    monkeypatch.setattr(folds, "_FLUSH", 7)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = sorted(map(str, folds.backtests(bars.repartition(3), variants, ["symbol"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == want and len(got) > 180

@@ -1,13 +1,14 @@
 """Path-dependent runs as keyed ordered folds: backtests, paper orders and depth-aware fills.
 
 A fold's next state depends on its last, so a series can't be split; series, variants and walk-forward folds run in
-parallel, one grouped-map call each. Backtests without a risk gate aren't path-dependent, and are windows. Everything that depends on bars alone comes in as columns. Output is one tagged
-schema (``schemas.FOLD``); callers filter by ``kind``. Rows are put in order inside the call, by the order columns.
+parallel. Gated backtests stream a series' bars through one task; order simulators are one grouped-map call a series.
+Backtests without a risk gate aren't path-dependent, and are windows. Everything that depends on bars alone comes in as
+columns. Output is one tagged schema (``schemas.FOLD``); callers filter by ``kind``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -49,44 +50,98 @@ class BacktestConfig:
     risk: RiskConfig | None = field(default_factory=RiskConfig)
 
 
-def backtest_series(rows: pd.DataFrame, config: BacktestConfig, out: _Rows) -> None:
+class _Backtest:
     """One position at a time, fully invested by the gate's size; opens and closes at closes, equity moves on exits.
 
     The first bar only starts the series. A signal that is opposed or zero closes; the last bar closes what is open,
-    and may open what nothing closes. A bar makes one transition at most.
+    and may open what nothing closes. A bar makes one transition at most. All state is here, so bars can stream.
     """
-    if len(rows) < 2:
-        return
-    price = (lambda p, side: config.costs.price(p, side)) if config.costs else (lambda p, side: p)
-    gate = Gate(config.risk) if config.risk else None
-    col = {n: rows[n].tolist() for n in ("ts", "close", "signal")}
-    if gate:
-        col |= {n: rows[n].tolist() for n in ("slippage_pct", "spread_pct", "stale", "volatility_pct", "kelly")}
-    equity = peak = config.initial_equity
-    position, entry, size = 0, 0.0, 1.0
-    out.add("equity", ts=col["ts"][0], equity=equity)
-    for i in range(1, len(rows)):
-        close, signal, ts = col["close"][i], col["signal"][i], col["ts"][i]
-        last = i == len(rows) - 1
-        if position and (last or signal * position <= 0):
-            exit_price = price(close, "sell" if position > 0 else "buy")
-            ret = position * (exit_price - entry) / entry
-            equity *= 1 + size * ret
-            out.add("trade", ts=ts, side="long" if position > 0 else "short", entry_price=entry, exit_price=exit_price, size=size, return_pct=ret, equity=equity, cost=abs(exit_price - close) + abs(entry - close))
-            position = 0
-        elif not position:
+
+    def __init__(self, config: BacktestConfig, out: _Rows):
+        self.out, self.costs = out, config.costs
+        self.gate = Gate(config.risk) if config.risk else None
+        self.equity = self.peak = config.initial_equity
+        self.position, self.entry, self.size, self.begun = 0, 0.0, 1.0, False
+
+    def _price(self, price: float, side: str) -> float:
+        return self.costs.price(price, side) if self.costs else price
+
+    def step(self, bar: dict, last: bool) -> None:
+        """Take the next bar; ``last``: none follows. A series of one bar gives nothing."""
+        if not self.begun:
+            self.begun = True
+            if not last:
+                self.out.add("equity", ts=bar["ts"], equity=self.equity)
+            return
+        close, signal, ts = bar["close"], bar["signal"], bar["ts"]
+        if self.position and (last or signal * self.position <= 0):
+            exit_price = self._price(close, "sell" if self.position > 0 else "buy")
+            ret = self.position * (exit_price - self.entry) / self.entry
+            self.equity *= 1 + self.size * ret
+            self.out.add("trade", ts=ts, side="long" if self.position > 0 else "short", entry_price=self.entry, exit_price=exit_price, size=self.size, return_pct=ret, equity=self.equity, cost=abs(exit_price - close) + abs(self.entry - close))
+            self.position = 0
+        elif not self.position:
             allowed, risk_size, reason = True, 1.0, None
             side = "buy" if signal > 0 else "sell" if signal < 0 else None
-            if gate:
-                allowed, risk_size, reason = gate.evaluate(slippage=col["slippage_pct"][i], spread=col["spread_pct"][i], stale=col["stale"][i], volatility=col["volatility_pct"][i], kelly=col["kelly"][i], equity=equity, peak=peak, side=side)
+            if self.gate:
+                allowed, risk_size, reason = self.gate.evaluate(slippage=bar["slippage_pct"], spread=bar["spread_pct"], stale=bar["stale"], volatility=bar["volatility_pct"], kelly=bar["kelly"], equity=self.equity, peak=self.peak, side=side)
             if side:
-                out.add("decision", ts=ts, side=side, allowed=allowed, reason=reason, size=risk_size, price=close)
+                self.out.add("decision", ts=ts, side=side, allowed=allowed, reason=reason, size=risk_size, price=close)
             if side and allowed:
-                position, entry, size = (1 if signal > 0 else -1), price(close, side), risk_size
+                self.position, self.entry, self.size = (1 if signal > 0 else -1), self._price(close, side), risk_size
             else:
-                size = 1.0
-        peak = max(peak, equity)
-        out.add("equity", ts=ts, equity=equity)
+                self.size = 1.0
+        self.peak = max(self.peak, self.equity)
+        self.out.add("equity", ts=ts, equity=self.equity)
+
+
+_GATE_INPUTS = ["slippage_pct", "spread_pct", "stale", "volatility_pct", "kelly"]
+
+
+def backtest_series(rows: pd.DataFrame, config: BacktestConfig, out: _Rows) -> None:
+    """All bars of a series at once."""
+    run = _Backtest(config, out)
+    names = ["ts", "close", "signal", *(_GATE_INPUTS if config.risk else [])]
+    bars = zip(*(rows[n].tolist() for n in names), strict=True)
+    for i, bar in enumerate(bars):
+        run.step(dict(zip(names, bar, strict=True)), i == len(rows) - 1)
+
+
+#: Rows that a streamed fold holds before it gives them out.
+_FLUSH = 20_000
+
+
+def stream_backtests(bars: DataFrame, variants: dict[str, BacktestConfig], by: list[str]) -> DataFrame:
+    """Gated backtests of every variant over every series, with bounded memory.
+
+    A gate needs the run so far, so a series is one task's, but its bars stream through in order: what is held is a batch,
+    the state, and one bar, until it is known whether another follows.
+    """
+    names = ["ts", "close", "signal", *_GATE_INPUTS]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold, out, held = None, None, None, None
+        for frame in frames:
+            for series, variant, *values in zip(*(frame[n].tolist() for n in ["series", "variant", *names]), strict=True):
+                if (series, variant) != key:
+                    if fold:
+                        fold.step(held, True)
+                        yield out.frame()
+                    key, out = (series, variant), _Rows(series, variant)
+                    fold = _Backtest(variants[variant], out)
+                else:
+                    fold.step(held, False)
+                    if len(out.rows) >= _FLUSH:
+                        yield out.frame()
+                        out.rows.clear()
+                held = dict(zip(names, values, strict=True))
+        if fold:
+            fold.step(held, True)
+            yield out.frame()
+
+    keyed = bars.select(F.concat_ws("|", *by).alias("series"), F.explode(F.array(*map(F.lit, variants))).alias("variant"), *names)
+    dealt = keyed.repartition("series", "variant").sortWithinPartitions("series", "variant", "ts")
+    return dealt.mapInPandas(run, FOLD)
 
 
 @dataclass(frozen=True)
@@ -347,7 +402,7 @@ def backtests(bars: DataFrame, variants: dict[str, BacktestConfig], by: list[str
     gated = {k: v for k, v in variants.items() if v.risk is not None}
     if not gated:
         return ungated_backtests(bars, free, by)
-    run = run_fold(bars, backtest_series, gated, by, ["ts"])
+    run = stream_backtests(bars, gated, by)
     return run.unionByName(ungated_backtests(bars, free, by)) if free else run
 
 
