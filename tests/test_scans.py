@@ -44,9 +44,12 @@ def test_running_values_equal_a_loop(spark, by, split):
 def test_a_hot_key_is_many_tasks(spark):
     """With one key for all rows, no chunk has more than its share."""
     df = spark.range(4000).select(F.lit("all").alias("key"), F.col("id").alias("t"))
-    sizes = [r[0] for r in scans._with_chunks(df, ["key"], "t", 100, 8).groupBy(scans._CHUNK).count().select("count").collect()]
+    chunks = lambda split: scans._with_chunks(df, ["key"], "t", scans._hot_keys(df, ["key"], split), 8)
+    sizes = [r[0] for r in chunks(100).groupBy(scans._CHUNK).count().select("count").collect()]
     assert len(sizes) == 8 and max(sizes) < 700
-    assert [r[0] for r in scans._with_chunks(df, ["key"], "t", 4000, 8).select(scans._CHUNK).distinct().collect()] == [0]
+    assert [r[0] for r in chunks(4000).select(scans._CHUNK).distinct().collect()] == [0]
+    running = lambda split: scans.with_running(df, ["key"], ["t"], {"s": ("sum", F.col("t"))}, split, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in running(100) and "Join" not in running(4000)
     with pytest.raises(ValueError, match="unknown kinds"):
         scans.with_running(df, ["key"], ["t"], {"x": ("median", F.col("t"))})
 

@@ -7,6 +7,9 @@ sum, the last value that isn't null. Only keys with more than ``split_rows`` row
 
 Rows are shuffled once, by key and chunk. The hot keys are at most ``HOT_KEYS``: any other key has fewer rows than each
 of these, so under one in ``HOT_KEYS`` of all. Therefore what is broadcast is bounded: ``HOT_KEYS`` times ``PIECES`` rows.
+
+Whether any key is hot is counted when a scan is made, a job that moves one row a key and task. Without hot keys the scan
+is a plain window; else the rows are read three times more, for the ends of chunks, their totals and the scan.
 """
 
 from __future__ import annotations
@@ -31,9 +34,13 @@ def _number(rows: DataFrame, at: str) -> Column:
     return F.unix_date(at).cast("long") if kind == "date" else F.col(at)
 
 
-def _with_chunks(rows: DataFrame, by: list[str], at: str, split_rows: int, pieces: int) -> DataFrame:
+def _hot_keys(rows: DataFrame, by: list[str], split_rows: int) -> DataFrame:
+    """The keys with more than ``split_rows`` rows, the largest ``HOT_KEYS`` of them."""
+    return rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > split_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
+
+
+def _with_chunks(rows: DataFrame, by: list[str], at: str, large: DataFrame, pieces: int) -> DataFrame:
     """Add the chunk of each row, and whether its key is cut: chunks rise with ``at``, nulls first, and split no tie."""
-    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > split_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
     number = _number(rows, at)
     ends = F.percentile_approx("_at", [k / pieces for k in range(1, pieces)], 1000)
     slim = rows.select(*by, number.alias("_at"))
@@ -56,7 +63,9 @@ def with_running(rows: DataFrame, by: list[str], order: list[str], given: dict[s
     """
     if unknown := {k for k, _ in given.values()} - _KINDS.keys():
         raise ValueError(f"unknown kinds {sorted(unknown)}")
-    keys = [*by, _CHUNK]
+    large = _hot_keys(rows, by, split_rows)
+    cut = not large.isEmpty()
+    keys = [*by, _CHUNK] if cut else by
     w = Window.partitionBy(*keys).orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     lows = {n: c for n, (k, c) in given.items() if k.startswith("low")}
@@ -67,7 +76,10 @@ def with_running(rows: DataFrame, by: list[str], order: list[str], given: dict[s
         values = {n: _KINDS[k](F.col(f"_sum_{n}") if n in lows else c).over(before if k.endswith("_before") else upto) for n, (k, c) in given.items()}
         return part.withColumns({f"_run_{n}": c for n, c in values.items()})
 
-    chunked = _with_chunks(rows, by, order[0], split_rows, pieces)
+    if not cut:
+        out = scanned(rows)
+        return out.select(*(F.col(c) for c in rows.columns), *(F.col(f"_run_{n}").alias(n) for n in given))
+    chunked = _with_chunks(rows, by, order[0], large, pieces)
     # a chunk's totals, and what all chunks before it come to
     totals = []
     for n, (k, c) in given.items():
