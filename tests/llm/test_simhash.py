@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -38,6 +39,16 @@ def brute_components(fps: list[int], budget: int = 4) -> list[int]:
     return [root(i) for i in range(len(fps))]
 
 
+def brute_components_by(values: np.ndarray, group: np.ndarray) -> list[list[int]]:
+    """Each place's component, as places, with links only inside groups."""
+    out: list[list[int]] = []
+    for g in range(int(group.max()) + 1):
+        at = np.flatnonzero(group == g)
+        label = brute_components([int(v) for v in values[at]])
+        out += [[int(at[i]) for i, x in enumerate(label) if x == mine] for mine in label]
+    return out
+
+
 def check(got, docs):
     docs = sorted(docs)
     fps = [brute_fingerprint(t) for _, t in docs]
@@ -84,6 +95,34 @@ def test_self_join_equals_all_pairs(spark, exact):
     assert [root(i) for i in range(len(fps))] == brute_components(fps)
 
 
+@pytest.mark.parametrize("depth", [0, 21, 35])
+def test_large_subtrees_rotated_again_equal_all_pairs(monkeypatch, depth):
+    """Subtrees beyond the limit, some by more than one level, between small ones."""
+    monkeypatch.setattr(S, "DEEP", 16)
+    rng = np.random.default_rng(depth)
+    free = 64 - depth
+    fps: set[int] = set()
+    for top, n in ((0, 300), (1, 3), (2, 60), (3, 1)):
+        for _ in range(n if depth else n // 2):
+            x = (top << free if depth else 0) | int(rng.integers(0, 1 << min(free, 62)))
+            fps.add(x)
+            for _ in range(int(rng.integers(0, 4))):
+                fps.add(x ^ sum(1 << int(b) for b in rng.choice(free, int(rng.integers(1, 7)), replace=False)))
+    values = np.array(sorted(fps), np.uint64)
+    group = np.unique(values >> np.uint64(free), return_inverse=True)[1] if depth else np.zeros(len(values), int)
+    want = [min(p) for p in brute_components_by(values, group)]
+    assert S.trie_links(values, group, depth).tolist() == want
+
+
+def test_a_subtree_with_many_leaves_is_walked_in_near_linear_time():
+    values = np.unique(np.random.default_rng(5).integers(0, 1 << 43, 160_000, dtype=np.uint64))
+    began = time.perf_counter()
+    label = S.trie_links(values, np.zeros(len(values), int), 21)
+    assert time.perf_counter() - began < 15
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    assert len(linked) and all(np.bitwise_count(np.delete(values, i) ^ values[i]).min() <= 4 for i in linked[:50])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in S.components(edges).collect()}

@@ -4,7 +4,9 @@ Equal texts share a fingerprint, so the join works on distinct fingerprints. Wit
 ``exact`` of ``exact + k`` bit blocks agree between two linked fingerprints. Each choice of ``exact`` blocks rotates
 the fingerprint so that the chosen bits come first; fingerprints that agree on them form one subtree of that
 rotation's trie. A task holds its subtrees as one sorted array and walks pairs of nodes together, level by level: a
-pair goes to its child pairs, differing bits add up, and a pair beyond the budget is dropped with all below it.
+pair goes to its child pairs, differing bits add up, and a pair beyond the budget is dropped with all below it. A subtree
+with more than ``DEEP`` leaves is rotated again by blocks of its remaining bits, so that a hot one is walked as many
+small ones; time stays near linear in its leaves.
 
 What leaves a task is a spanning forest, never all pairs: at most one edge for each fingerprint of a subtree. Large
 groups of near copies are linked to their neighbours first; pairs of nodes whose leaves are already in one tree are
@@ -34,6 +36,8 @@ BITS, SEED, SHINGLE, BUDGET = 64, 42, 4, 4
 EXACT = 2
 #: Node pairs that are walked at once; more wait on a stack.
 FRONTIER = 1 << 20
+#: Larger subtrees are rotated again.
+DEEP = 1 << 12
 #: Node pairs with so few leaf pairs are compared leaf by leaf.
 SMALL = 8
 
@@ -82,14 +86,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the trie self-join
 
 
-@lru_cache(maxsize=8)
-def rotations(budget: int, exact: int) -> list[tuple[int, np.ndarray]]:
-    """(bits that must agree, order of bits from the top) for each choice of blocks."""
-    blocks = np.array_split(np.arange(BITS), budget + exact)
+@lru_cache(maxsize=128)
+def rotations(budget: int, exact: int, depth: int = 0) -> list[tuple[int, np.ndarray]]:
+    """(bits that must agree, order of bits from the top) for each choice of blocks of the bits below ``depth``."""
+    blocks = np.array_split(np.arange(depth, BITS), budget + exact)
     out = []
     for chosen in combinations(range(len(blocks)), exact):
-        order = np.concatenate([blocks[i] for i in chosen] + [b for i, b in enumerate(blocks) if i not in chosen])
-        out.append((sum(len(blocks[i]) for i in chosen), order))
+        order = np.concatenate([np.arange(depth)] + [blocks[i] for i in chosen] + [b for i, b in enumerate(blocks) if i not in chosen])
+        out.append((depth + sum(len(blocks[i]) for i in chosen), order))
     return out
 
 
@@ -136,6 +140,15 @@ def trie_links(values: np.ndarray, group: np.ndarray, depth: int, budget: int =
     """
     n = len(values)
     forest = Forest(n)
+    deep = _deep(group, depth)
+    for lo, hi in deep:
+        part = values[lo:hi]
+        for deeper, order in rotations(budget, EXACT, depth):
+            value = rotate(part, order)
+            at = np.argsort(value)
+            top = value[at] >> np.uint64(BITS - deeper)
+            label = trie_links(value[at], np.concatenate([[0], np.cumsum(top[1:] != top[:-1])]), deeper, budget)
+            forest.link(lo + at, lo + at[label])
     for gap in (1, 2, 3):  # neighbours in the trie first: dense groups become one tree at once
         if n > gap:
             near = np.flatnonzero((group[gap:] == group[:-gap]) & (np.bitwise_count(values[gap:] ^ values[:-gap]) <= budget))
@@ -143,6 +156,8 @@ def trie_links(values: np.ndarray, group: np.ndarray, depth: int, budget: int =
     edges = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
     some = hi - lo > 1
+    if deep:
+        some &= hi - lo <= DEEP
     lo, hi = lo[some], hi[some]
     zero = np.zeros(len(lo), np.int8)
     stack = [(depth, lo, hi, lo, hi, zero)] if len(lo) else []
@@ -189,6 +204,14 @@ def trie_links(values: np.ndarray, group: np.ndarray, depth: int, budget: int =
     return forest.label
 
 
+def _deep(group: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """(first, end) of the subtrees with more than ``DEEP`` leaves, while a third of the bits are left to rotate by."""
+    if BITS - depth < BITS // 3 or len(group) <= DEEP:
+        return []
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    return [(int(a), int(b)) for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a > DEEP]
+
+
 def _leaf_pairs(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     wide = b1 - b0
     size = (a1 - a0) * wide
