@@ -175,6 +175,18 @@ def test_gate_and_its_twin(spark, reason, given, config, exchange):
     assert (r.allowed, r.reason) == (allowed, reason) and r.position_size == pytest.approx(size)
 
 
+def test_own_rules_come_after_the_limits(spark):
+    """Ties in what blocks, null conditions, and sizes beyond the venue's limit, below 0 or null."""
+    inputs = "exchange string, slippage_pct double, spread_pct double, stale boolean, volatility_pct double, kelly double, equity double, peak_equity double, position double, open_positions int, venue_open_positions int, open_orders int, venue_notional double, inventory_skew double, signal_side string, hard_stop boolean, breaker boolean, mood int, factor double"
+    rows = [("kraken", 0.0, 0.0, False, 0.05, 0.5, 100.0, 100.0, float(blocked), 0, 0, 0, 0.0, 0.0, "buy", False, False, mood, factor) for blocked, mood, factor in [(1, 3, 1.0), (0, 3, 1.0), (0, 2, 1.0), (0, None, 0.5), (0, 0, 9.0), (0, 0, -1.0), (0, 0, None)]]
+    rules = [(F.col("mood") > 2, "mood"), (F.col("mood") > 1, "later")]
+    out = risk.decide(spark.createDataFrame(rows, inputs), rules=rules, sizing=lambda size: size * F.col("factor"))
+    own = risk.decide(spark.createDataFrame(rows[3:4], inputs)).first().position_size
+    assert own > 0
+    got = [(r.reason, r.allowed, pytest.approx(r.position_size)) for r in out.collect()]
+    assert got == [("position_open", False, 0.0), ("mood", False, 0.0), ("later", False, 0.0), (None, True, own / 2), (None, True, 0.5), (None, True, 0.0), (None, True, 0.0)]
+
+
 def test_round_trips_equal_a_queue(spark):
     rng = random.Random(4)
     rows = [(k % 3, ts(k), k, rng.choice(["buy", "sell"]), rng.uniform(1, 9), rng.uniform(1, 3), 0.1) for k in range(400)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,13 @@ def with_caps(rows: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     return joined.withColumns({f"cap_{n}": F.coalesce(f"cap_{n}", F.lit(base[n])) for n in names})
 
 
-def decide(rows: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
+def decide(rows: DataFrame, config: RiskConfig = RiskConfig(), rules: Sequence[tuple[Column, str]] = (), sizing: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add allowed, position_size and reason.
 
+    ``rules``: further (condition, reason), asked in turn after the limits here; a null condition doesn't block. ``sizing``
+    makes the size of what is allowed from the gate's own; what it gives is kept between 0 and the venue's limit, and null
+    is 0. Both are column expressions over all columns of ``rows`` and the venue's limits (``cap_...``).
+
     ``rows`` have the gate's inputs: exchange; slippage_pct, spread_pct, stale, volatility_pct and kelly of the bar;
     equity, peak_equity, position, open_positions, venue_open_positions, open_orders, venue_notional, inventory_skew;
     signal_side; hard_stop and breaker flags.
@@ -94,12 +99,16 @@ def decide(rows: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
         (c("open_orders") >= c("cap_max_open_orders"), "open_order_limit"),
         ((c("cap_max_total_notional") > 0) & (c("venue_notional") >= c("cap_max_total_notional")), "exchange_notional_limit"),
         (live & (c("volatility_pct") > cfg.max_volatility_pct), "volatility_limit"),
+        *rules,
     ]
+    size = position_size(cfg)
+    if sizing:
+        size = F.greatest(F.lit(0.0), F.least(c("cap_max_position_size"), F.coalesce(sizing(size), F.lit(0.0))))
     reason = F.when(chain[0][0], chain[0][1])
     for condition, name in chain[1:]:
         reason = reason.when(condition, name)
     limited = with_caps(rows, cfg).withColumn("reason", reason)
-    return limited.withColumns({"allowed": c("reason").isNull(), "position_size": F.when(c("reason").isNotNull(), 0.0).otherwise(position_size(cfg))})
+    return limited.withColumns({"allowed": c("reason").isNull(), "position_size": F.when(c("reason").isNotNull(), 0.0).otherwise(size)})
 
 
 def position_size(config: RiskConfig) -> Column:

@@ -263,6 +263,19 @@ def order_sizes(spark, sf_dir):
     return rows.select("feed", "symbol", "ts", risk.order_size(F.lit(1.0), F.col("position_size"), F.lit(50.0), F.col("equity"), F.lit(100.0), 0.02).alias("order_size"))
 
 
+_OWN_REASON = "CASE WHEN reason IS NOT NULL THEN reason WHEN skew >= 0.9 THEN 'skew_rule' WHEN kelly < 0.3 THEN 'kelly_rule' END"
+
+
+@query(
+    f"{_GATE_SQL}, o AS (SELECT * EXCLUDE (reason), {_OWN_REASON} AS reason FROM h) SELECT feed, exchange, symbol, ts, reason IS NULL AS allowed, round((CASE WHEN reason IS NOT NULL THEN 0.0 WHEN is_buy THEN position_size ELSE position_size / 2 END)::DOUBLE, 6) AS position_size, reason FROM o"
+)
+def own_risk_rules(spark, sf_dir):
+    """The gate with two rules of the user's own, and half the size for sells."""
+    rules = [(F.col("inventory_skew") >= 0.9, "skew_rule"), (F.col("kelly") < 0.3, "kelly_rule")]
+    half = lambda size: F.when(F.col("signal_side") == "sell", size / 2).otherwise(size)
+    return risk.decide(_gate_rows(spark, sf_dir), rules=rules, sizing=half).select("feed", "exchange", "symbol", "ts", "allowed", "position_size", "reason")
+
+
 _WORDS = "CASE WHEN lower(trim({0})) IN ('buy','long','1','true','enter') THEN 1.0::DOUBLE WHEN lower(trim({0})) IN ('sell','short','-1','false','exit') THEN -1.0::DOUBLE ELSE coalesce(try_cast(lower(trim({0})) AS DOUBLE), 0.0::DOUBLE) END"
 _RAW_SIGNAL = "CASE k % 6 WHEN 0 THEN ' Buy' WHEN 1 THEN 'SHORT' WHEN 2 THEN '-1' WHEN 3 THEN k::VARCHAR WHEN 4 THEN 'hold' ELSE 'enter' END"
 _RAW_STATUS = "CASE k % 6 WHEN 0 THEN 'Closed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'partial' WHEN 3 THEN 'active' WHEN 4 THEN 'strange' ELSE ' FILLED ' END"
