@@ -54,6 +54,19 @@ def test_a_hot_key_is_many_tasks(spark):
         scans.with_running(df, ["key"], ["t"], {"x": ("median", F.col("t"))})
 
 
+def test_totals_and_scan_take_the_same_chunks(spark, monkeypatch):
+    """Approximate percentiles that come out otherwise each time, as they do when parts arrive in another order."""
+    plain = F.percentile_approx
+    other = F.udf(lambda ends: sorted(random.SystemRandom().sample(range(1000), len(ends))), "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *args: other(plain(*args)))
+    df = spark.range(1000).select((F.col("id") % 2).alias("key"), F.col("id").alias("t"), F.when(F.col("id") % 11 < 2, F.col("id")).alias("x"))
+    got = scans.with_running(df, ["key"], ["t"], {"s": ("sum", F.lit(1)), "la": ("last", F.col("x"))}, 100, 8).collect()
+    assert len(got) == 1000
+    for r in got:
+        known = [t for t in range(r.t, -1, -2) if t % 11 < 2]
+        assert (r.s, r.la) == (r.t // 2 + 1, known[0] if known else None)
+
+
 @pytest.mark.parametrize("split", SPLITS)
 def test_one_hot_pair_gives_the_same_trips_accounts_and_drawdowns(spark, split):
     rng = random.Random(8)
