@@ -154,6 +154,41 @@ def test_trailing_and_window_gains(spark):
         analytics.window_pnl(curve, ["source"], 60, 120)
 
 
+@pytest.mark.parametrize("snapshots", [1, 3, 70, 1000])
+def test_trailing_gains_of_a_hot_series(spark, snapshots):
+    """Frames longer than chunks, ties, and rows without a time or source."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, *(ts(20 * s) for s in range(150))]), float(rng.randrange(90))) for k in range(500)]
+    curve = spark.createDataFrame(rows, "id long, source string, ts timestamp, equity double").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[2] is not None, r[2] or ts(0), r[0]))
+    for split in SPLITS:
+        out = analytics.trailing_pnl(curve, ["source"], snapshots, 900, split_rows=split)
+        assert out.columns == ["id", "source", "ts", "equity", "pnl", "oldest"]
+        got = {r.id: (r.pnl, r.oldest) for r in out.collect()}
+        assert len(got) == len(rows)
+        for source in ("hot", "cold", None):
+            own = [r for r in ordered if r[1] == source]
+            for i, r in enumerate(own):
+                old = next(x for x in own[max(0, i + 1 - snapshots) : i + 1] if r[2] is None or x[2] is not None and (r[2] - x[2]).total_seconds() <= 900)
+                assert got[r[0]] == (r[3] - old[3], old[2])
+
+
+def test_no_frame_of_trailing_gains_grows_with_time(spark):
+    """A sliding frame is summed up anew for each row, so one that holds all rows of some hours is quadratic in them."""
+    curve = spark.createDataFrame([(1, "s", ts(0), 1.0)], "id long, source string, ts timestamp, equity double")
+    assert "RangeFrame" not in analytics.trailing_pnl(curve, ["source"], 20, 3600)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_frame_takes_rows_of_many_chunks(spark):
+    df = spark.range(400).select((F.col("id") / 399).cast("long").alias("key"), (F.col("id") / 3).cast("long").alias("t"), "id")
+    for by in (["key"], []):
+        for split in SPLITS:
+            got = {r.id: (r.n, r.oldest) for r in scans.with_trailing(df, by, ["t", "id"], 150, {"n": F.count("*"), "oldest": F.min("id")}, split, 8).collect()}
+            assert got == {k: (1, 399) if by and k == 399 else (min(k + 1, 150), max(0, k - 149)) for k in range(400)}
+    with pytest.raises(ValueError, match="one row"):
+        scans.with_trailing(df, ["key"], ["t"], 0, {})
+
+
 def test_streamed_backtests_equal_whole_series(spark, monkeypatch):
     """Series of one bar and of many, over batches of ten rows, with what is held given out every few rows."""
     rng = random.Random(2)
