@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ticksmith.operators import analytics, folds, scans, trades
+from ticksmith.plans import catalog
 
 SPLITS = [10**6, 25]
 
@@ -179,6 +181,44 @@ def test_no_frame_of_trailing_gains_grows_with_time(spark):
     assert "RangeFrame" not in analytics.trailing_pnl(curve, ["source"], 20, 3600)._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("seconds", [0, 20, 900, 10**6])
+def test_trailing_gains_over_all_rows_of_the_time(spark, seconds):
+    """Without a number of snapshots all within the time count, ties and rows without a time or source too."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, *(ts(20 * s) for s in range(150))]), rng.choice([None, *map(float, range(90))])) for k in rng.sample(range(900), 500)]
+    curve = spark.createDataFrame(rows, "id long, source string, ts timestamp, equity double").repartition(5)
+    for by in (["source"], []):
+        for split in SPLITS:
+            out = analytics.trailing_pnl(curve, by, seconds=seconds, split_rows=split)
+            assert out.columns == ["id", "source", "ts", "equity", "pnl", "oldest"]
+            got = out.collect()
+            assert sorted(tuple(r[:4]) for r in got if r.ts and r.source and r.equity) == sorted(r for r in rows if r[1] and r[2] and r[3]) and len(got) == len(rows)
+            for r in got:
+                own = [x for x in rows if (not by or x[1] == r.source) and (x[2] is None if r.ts is None else x[2] is not None and 0 <= (r.ts - x[2]).total_seconds() <= seconds)]
+                old = min(own, key=lambda x: (x[2] or ts(0), x[0]))
+                assert (r.pnl, r.oldest) == (None if r.equity is None or old[3] is None else r.equity - old[3], old[2])
+
+
+def test_the_query_of_trailing_gains_has_no_bound_of_rows(spark, tmp_path):
+    """A hundred snapshots of two hours: the first is the oldest of all, for the query and its SQL."""
+    rows = [(k, ts(60 * k), 1, "s", float(k * k), "{}") for k in range(100)] + [(100, ts(21600), 1, "s", 7.0, "{}"), (101, ts(21601), 1, "s", 8.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {k: (float(k * k), ts(0)) for k in range(100)} | {100: (7.0, ts(0)), 101: (7.0, ts(60))}
+    assert {r.id: (r.pnl, r.oldest) for r in catalog.queries()["trailing_pnl"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert {r[0]: r[4:] for r in con.execute(catalog.oracle_sql()["trailing_pnl"]).fetchall()} == want
+
+
+def test_all_rows_of_a_time_take_one_scan_and_chunks(spark):
+    """No sliding frame and no list of rows; a hot series is cut."""
+    curve = spark.range(200).select("id", F.lit("s").alias("source"), F.timestamp_seconds("id").alias("ts"), F.lit(1.0).alias("equity"))
+    plan = lambda split: analytics.trailing_pnl(curve, ["source"], split_rows=split)._jdf.queryExecution().optimizedPlan().toString()
+    for split in (50, 10**6):
+        assert "RangeFrame" not in plan(split) and "collect_list" not in plan(split)
+    assert "_chunk" in plan(50) and "_chunk" not in plan(10**6)
+
+
 def test_a_frame_takes_rows_of_many_chunks(spark):
     df = spark.range(400).select((F.col("id") / 399).cast("long").alias("key"), (F.col("id") / 3).cast("long").alias("t"), "id")
     for by in (["key"], []):
